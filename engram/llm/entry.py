@@ -6,13 +6,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions.text import norm_id
-from engram.llm import neardup, runs, sequences, timeline, tokens
+from engram.llm import mapping, neardup, quality, runs, sequences, timeline, tokens
+from engram.plans.staging import stage
 from engram.sources.tables import newest, table
 
 #: p3: the share of all records that must contain a pattern.
 SUPPORT = 0.06
 
 
+#: The mention kinds that name an entity type.
+KINDS = {"person": "Person", "tool": "Tool", "project": "Project", "file": "File", "concept": "Concept"}
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """The entities with all their names, one row for each name."""
+    rows = newest(table(spark, d, "entities"), norm_id("entity_id"), [], ["primary_type", "canonical_name", "aliases", "identifiers", "entity_id"], "norm_key")
+    none = F.array().cast("array<string>")
+    names = F.concat(F.array("canonical_name"), F.coalesce("aliases.value", none), F.coalesce("identifiers.value", none))
+    return rows.select("entity_id", "primary_type", F.explode(names).alias("name"))
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["canonical_entity_id", "surface", "entity_kind", "aliases"]
+    return newest(table(spark, d, "mentions"), F.col("mention_id"), [], cols, "mention_id")
+
+
+def _mapped(spark: SparkSession, d: str, labelled: bool = False) -> DataFrame:
+    """The mentions without a known entity (or, to measure, those with one) mapped to the entry meant."""
+    known = table(spark, d, "entities").select(norm_id("entity_id").alias("own")).distinct()
+    todo = _mentions(spark, d).withColumn("own", norm_id("canonical_entity_id")).join(known, "own", "left_semi" if labelled else "left_anti")
+    todo = stage(todo.select("mention_id", "surface", F.col("entity_kind").alias("kind"), "aliases", "own"))
+    return mapping.map_mentions(todo, _entries(spark, d), KINDS)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entity that each mention without a known one means, '' if none."""
+    return _mapped(spark, d).select("mention_id", "entity_id")
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The spellings that fit no entry, with their number of mentions."""
+    none = _mapped(spark, d).where(F.col("entity_id") == "").select("mention_id")
+    return _mentions(spark, d).join(none, "mention_id").groupBy("surface").agg(F.count("*").alias("mentions"))
+
+
+def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The mapping measured on the mentions whose entity is known: right, other and none."""
+    own = _mentions(spark, d).select("mention_id", norm_id("canonical_entity_id").alias("own"))
+    state = F.when(F.col("entity_id") == "", "none").when(norm_id("entity_id") == F.col("own"), "right").otherwise("other")
+    return _mapped(spark, d, True).join(own, "mention_id").groupBy(state.alias("state")).agg(F.count("*").alias("mentions"))
+
+
 def _patterns(spark: SparkSession, d: str) -> list[tuple]:
     lines, nodes = table(spark, d, "timeline_events"), table(spark, d, "tool_nodes")
     count = lambda df: df.select(norm_id("record_id").alias("r")).agg(F.count_distinct("r")).first()[0]
@@ -70,7 +114,25 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = (p3_found, p3_patterns, p6_found, p6_runs, p7_found, p7_classes, p8_ids)
+def _common(spark: SparkSession, d: str) -> dict[str, set[str]]:
+    """The reference list of common words: a few hundred rows."""
+    out: dict[str, set[str]] = {}
+    for r in table(spark, d, "common_words").where(F.col("lang").isNotNull() & F.col("word").isNotNull()).collect():
+        out.setdefault(r["lang"], set()).add(r["word"])
+    return out
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every text."""
+    return quality.text_statistics(table(spark, d, "documents"), "doc_id", "text", _common(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which running sentences make up less than half of the visible characters."""
+    return p10_stats(spark, d).where((F.col("n_visible") > 0) & (F.col("prose_share") < 0.5)).select("doc_id")
+
+
+QUERIES = (p1_found, p1_unmatched, p1_agreement, p3_found, p3_patterns, p6_found, p6_runs, p7_found, p7_classes, p8_ids, p10_found, p10_stats)
 
 
 def queries() -> dict:
