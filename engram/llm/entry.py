@@ -58,10 +58,10 @@ def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _patterns(spark: SparkSession, d: str) -> list[tuple]:
-    lines, nodes = table(spark, d, "timeline_events"), table(spark, d, "tool_nodes")
-    count = lambda df: df.select(norm_id("record_id").alias("r")).agg(F.count_distinct("r")).first()[0]
-    found = sequences.sequence_patterns(timeline.events(lines).select("rid", F.col("kind").alias("name"), "t", "pos"), count(lines), SUPPORT)
-    return found + sequences.dependency_patterns(timeline.tool_nodes(nodes).withColumnRenamed("tool", "name"), count(nodes), SUPPORT)
+    lines = timeline.events(table(spark, d, "timeline_events"), refs=False)
+    nodes = timeline.tool_nodes(table(spark, d, "tool_nodes"))
+    found = sequences.sequence_patterns(lines.select("rid", F.col("kind").alias("name"), "t", F.col("pos").cast("long").alias("pos")), SUPPORT)
+    return found + sequences.dependency_patterns(nodes.withColumnRenamed("tool", "name"), SUPPORT)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 LONG = 4_096
 
 
-def useful(items: list[int], length: int) -> list[int]:
+def useful(items: list, length: int) -> list[int]:
     """The indexes of a sequence that earliest embeddings of patterns of up to ``length`` steps can use.
 
     The first occurrence of each item, then the next occurrence of each item after any of those, and so on. All
     other events can be dropped without changing which patterns the sequence contains; the result depends on the
     items and not on the sequence's length, and reducing a prefix first gives the same.
     """
-    after: dict[int, list[int]] = {}
+    after: dict[object, list[int]] = {}
     for i, x in enumerate(items):
         after.setdefault(x, []).append(i)
     ends, keep = {-1}, set()
@@ -68,12 +68,6 @@ def _among(df: DataFrame, pats: set[int]) -> DataFrame:
     return df.join(F.broadcast(few), "pat", "left_semi")
 
 
-def _items(rows: DataFrame, least: float) -> list[str]:
-    """The frequent items, in order."""
-    counts = rows.select("rid", "name").distinct().groupBy("name").agg(F.count("*").alias("n"))
-    return sorted(r["name"] for r in counts.where(F.col("n") >= least).collect())
-
-
 def _names(found: dict[int, int], length: int, items: list[str], kind: str) -> list[tuple]:
     k, out = len(items), []
     for p, n in found.items():
@@ -85,68 +79,95 @@ def _names(found: dict[int, int], length: int, items: list[str], kind: str) -> l
     return out
 
 
-def sequence_patterns(events: DataFrame, n_entities: int, support: float, lengths: tuple[int, ...] = (3, 4), kind: str = "event") -> list[tuple]:
-    """(kind, pattern, length, support) of the patterns of ``events`` (rid, name, order columns t and pos).
+def _frequent(names: DataFrame, support: float) -> tuple[list[str], float]:
+    """The frequent items in order and the least support; ``names``: one array of distinct names for each entity."""
+    each = names.select(F.explode(F.concat("names", F.array(F.lit("")))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    counts = {r["name"]: r["n"] for r in each.where(F.col("n") >= support * F.lit(0.999)).collect()}
+    least = max(1.0, support * counts.pop("", 0) - 1e-9)
+    return sorted(x for x, n in counts.items() if n >= least), least
 
-    Rows with a null rid, name or t are left out; an entity counts once for a pattern. Without entities: no patterns.
-    """
-    rows = events.where(F.col("rid").isNotNull() & F.col("name").isNotNull() & F.col("t").isNotNull()).select("rid", "name", "t", "pos").persist()
-    try:
-        return _sequence_patterns(rows, n_entities, support, lengths, kind)
-    finally:
-        rows.unpersist()
 
+def sequence_patterns(events: DataFrame, support: float, lengths: tuple[int, ...] = (3, 4), kind: str = "event") -> list[tuple]:
+    """(kind, pattern, length, support) of the patterns that a share ``support`` of the entities contains.
 
-def _sequence_patterns(rows: DataFrame, n_entities: int, support: float, lengths: tuple[int, ...], kind: str) -> list[tuple]:
-    spark, least, longest = rows.sparkSession, max(1.0, support * n_entities - 1e-9), max(lengths)
-    items = _items(rows, least)
-    if not items:
-        return []
-    k = len(items)
-    codes = spark.createDataFrame(list(zip(items, range(k))), "name string, item long")
-    coded = rows.join(F.broadcast(codes), "name").select("rid", "t", "pos", "item")
-    long_ = coded.groupBy("rid").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("rid")
-    if not long_.isEmpty():
-        hot = (
-            coded.join(long_, "rid", "left_semi")
+    ``events``: rid, name, t, pos, in the order (t, pos). Rows without a name or t are left out, but their entities
+    count; rows with a null rid do not exist. An entity counts once for a pattern. No entities: no patterns.
+    """
+    spark, longest = events.sparkSession, max(lengths)
+    rows = events.where(F.col("rid").isNotNull()).select("rid", F.when(F.col("t").isNotNull(), F.nullif("name", F.lit(""))).alias("name"), "t", "pos").persist()
+    long_ = rows.groupBy("rid").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("rid")
+    short = rows
+    if hot := not long_.isEmpty():
+        long_ = long_.persist()
+        short = rows.join(long_, "rid", "left_anti")
+    step = F.when(F.col("name").isNotNull(), F.struct("t", "pos", "name"))  # collect_list leaves nulls out
+    seqs = short.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["name"]).alias("seq"))
+    if hot:
+        reduced = (
+            rows.join(long_, "rid", "left_semi")
+            .where(F.col("name").isNotNull())
+            .withColumn("item", F.col("name"))
             .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid", "t", "pos")
             .sortWithinPartitions("rid", "t", "pos")
-            .mapInPandas(_reduce_long(longest), coded.schema)
+            .mapInPandas(_reduce_long(longest), "rid string, name string, t timestamp, pos long, item string")
         )
-        coded = coded.join(long_, "rid", "left_anti").unionByName(hot)
-    # one row for each entity; its events in order, each with the place before it of the same item
-    seqs = coded.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "pos", "item"))), lambda x: x["item"]).alias("seq"))
-    lists = seqs.select("rid", F.posexplode("seq").alias("at", "item"))
-    w = Window.partitionBy("rid", "item").orderBy("at")
-    lists = lists.withColumn("prev", F.coalesce(F.lag("at").over(w), F.lit(-1))).persist()
+        # an entity without named events is still one
+        kept = long_.select("rid", F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("name"))
+        seqs = seqs.unionByName(
+            reduced.select("rid", "t", "pos", "name").unionByName(kept).groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["name"]).alias("seq"))
+        )
+    seqs = seqs.persist()
     try:
-        out, level = [], {}
-        first = lists.where(F.col("prev") == -1).select("rid", F.col("item").alias("pat"), F.col("at").alias("end"))
-        later = lists.select("rid", "item", "at", "prev")
+        items, least = _frequent(seqs.select(F.array_distinct("seq").alias("names")), support)
+        k = len(items)
+        if not k:
+            return []
+        codes = spark.createDataFrame(list(zip(items, range(k))), "name string, item long")
+        w = Window.partitionBy("rid", "item").orderBy("at")
+        lists = (
+            seqs.select("rid", F.posexplode("seq").alias("at", "name"))
+            .join(F.broadcast(codes), "name")
+            .select("rid", "item", "at", F.coalesce(F.lag("at").over(w), F.lit(-1)).alias("prev"))
+            .persist()
+        )
+        try:
+            return _grow(lists, k, items, least, lengths, kind)
+        finally:
+            lists.unpersist()
+    finally:
+        seqs.unpersist()
+        rows.unpersist()
+        if hot:
+            long_.unpersist()
 
-        def extend(ends: DataFrame) -> DataFrame:
-            return (
-                ends.join(later, "rid")
-                .where((F.col("at") > F.col("end")) & (F.col("prev") <= F.col("end")))
-                .select("rid", (F.col("pat") * k + F.col("item")).alias("pat"), F.col("at").alias("end"))
-            )
 
-        for length in range(2, longest + 1):
-            ends = first
-            for i in range(2, length):  # only the prefixes of patterns that are still frequent
-                ends = _among(extend(ends), {p // k ** (length - 1 - i) for p in level})
-            level = _level(extend(ends).groupBy("pat").agg(F.count("*").alias("support")), least)
-            if not level:
-                break
-            if length in lengths:
-                out += _names(level, length, items, kind)
-        return out
-    finally:
-        lists.unpersist()
+def _grow(lists: DataFrame, k: int, items: list[str], least: float, lengths: tuple[int, ...], kind: str) -> list[tuple]:
+    """Extend the frequent patterns step by step."""
+    out, level, longest = [], {}, max(lengths)
+    first = lists.where(F.col("prev") == -1).select("rid", F.col("item").alias("pat"), F.col("at").alias("end"))
+    later = lists.select("rid", "item", "at", "prev")
+
+    def extend(ends: DataFrame) -> DataFrame:
+        return (
+            ends.join(later, "rid")
+            .where((F.col("at") > F.col("end")) & (F.col("prev") <= F.col("end")))
+            .select("rid", (F.col("pat") * k + F.col("item")).alias("pat"), F.col("at").alias("end"))
+        )
+
+    for length in range(2, longest + 1):
+        ends = first
+        for i in range(2, length):  # only the prefixes of patterns that are still frequent
+            ends = _among(extend(ends), {p // k ** (length - 1 - i) for p in level})
+        level = _level(extend(ends).groupBy("pat").agg(F.count("*").alias("support")), least)
+        if not level:
+            break
+        if length in lengths:
+            out += _names(level, length, items, kind)
+    return out
 
 
 def _closure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(rid, u, v, item of v) for each node v that depends on u, directly or through other nodes."""
+    """(rid, u, v) and both items for each node v that depends on u, directly or through other nodes."""
     for pdf in batches:
         out = []
         for rid, nodes, items, deps in zip(pdf["rid"], pdf["nodes"], pdf["items"], pdf["deps"]):
@@ -171,48 +192,57 @@ def _closure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         u = low.bit_length() - 1
                         bits ^= low
                         if items[u] >= 0:
-                            out.append((rid, u, v, items[v]))
-        yield pd.DataFrame(out, columns=["rid", "u", "v", "item"])
+                            out.append((rid, u, items[u], v, items[v]))
+        yield pd.DataFrame(out, columns=["rid", "u", "first", "v", "item"])
 
 
-def dependency_patterns(nodes: DataFrame, n_entities: int, support: float, lengths: tuple[int, ...] = (3, 4), kind: str = "tool") -> list[tuple]:
+def dependency_patterns(nodes: DataFrame, support: float, lengths: tuple[int, ...] = (3, 4), kind: str = "tool") -> list[tuple]:
     """The same for graphs: each step's node depends on the previous step's node, directly or through others.
 
     ``nodes``: rid, node, name, deps, one row for each node. Dependencies that name no node, and repeated ones, do
     not count; nodes without a name only connect; a loop's nodes depend on each other and on themselves. A graph is
     one record's payload, so one row holds it.
     """
-    spark, least, longest = nodes.sparkSession, max(1.0, support * n_entities - 1e-9), max(lengths)
-    items = _items(nodes.where(F.col("name").isNotNull()), least)
-    if not items:
-        return []
-    k = len(items)
-    codes = spark.createDataFrame(list(zip(items, range(k))), "name string, item long")
+    spark, longest = nodes.sparkSession, max(lengths)
     graphs = (
         nodes.where(F.col("rid").isNotNull())
-        .join(F.broadcast(codes), "name", "left")
         .groupBy("rid")
-        .agg(F.collect_list(F.struct("node", F.coalesce("item", F.lit(-1)).alias("item"), "deps")).alias("g"))
-        .select("rid", F.col("g.node").alias("nodes"), F.col("g.item").alias("items"), F.col("g.deps").alias("deps"))
+        .agg(F.collect_list(F.struct("node", F.coalesce("name", F.lit("")).alias("name"), "deps")).alias("g"))
+        .persist()
     )
-    steps = graphs.mapInPandas(_closure, "rid string, u long, v long, item long").persist()
-    tools = graphs.select("rid", F.posexplode("items").alias("v", "item")).where(F.col("item") >= 0)
+    steps = None
     try:
+        items, least = _frequent(graphs.select(F.array_except(F.array_distinct("g.name"), F.array(F.lit(""))).alias("names")), support)
+        k = len(items)
+        if not k:
+            return []
+        number = {x: i for i, x in enumerate(items)}
+
+        def closure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return _closure(pdf.assign(items=[[number.get(x, -1) for x in names] for names in pdf["names"]]) for pdf in batches)
+
+        steps = (
+            graphs.select("rid", F.col("g.node").alias("nodes"), F.col("g.name").alias("names"), F.col("g.deps").alias("deps"))
+            .mapInPandas(closure, "rid string, u long, first long, v long, item long")
+            .persist()
+        )
+        later = steps.select("rid", "u", "v", "item")
         out, level = [], {}
 
         def extend(ends: DataFrame) -> DataFrame:
-            return ends.join(steps, ["rid", "u"]).select("rid", (F.col("pat") * k + F.col("item")).alias("pat"), F.col("v").alias("u")).distinct()
+            return ends.join(later, ["rid", "u"]).select("rid", (F.col("pat") * k + F.col("item")).alias("pat"), F.col("v").alias("u")).distinct()
 
-        first = tools.select("rid", F.col("item").alias("pat"), F.col("v").cast("long").alias("u"))
         for length in range(2, longest + 1):
-            ends = first
+            ends = steps.select("rid", (F.col("first") * k + F.col("item")).alias("pat"), F.col("v").alias("u")).distinct()
             for i in range(2, length):
-                ends = _among(extend(ends), {p // k ** (length - 1 - i) for p in level})
-            level = _level(extend(ends).select("rid", "pat").distinct().groupBy("pat").agg(F.count("*").alias("support")), least)
+                ends = extend(_among(ends, {p // k ** (length - 1 - i) for p in level}))
+            level = _level(ends.select("rid", "pat").distinct().groupBy("pat").agg(F.count("*").alias("support")), least)
             if not level:
                 break
             if length in lengths:
                 out += _names(level, length, items, kind)
         return out
     finally:
-        steps.unpersist()
+        graphs.unpersist()
+        if steps is not None:
+            steps.unpersist()

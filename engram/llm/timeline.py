@@ -21,19 +21,21 @@ def ref_key(c: Column | str) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(norm(c), ATTEMPT, ""), r"[^\p{L}\p{N}]+", ""), F.lit(""))
 
 
-def events(df: DataFrame) -> DataFrame:
+def events(df: DataFrame, refs: bool = True) -> DataFrame:
     """(rid, record_id, pos, t, kind, ref) of timeline rows, one for each (record_id, pos): the one ingested last.
 
-    Rows without record_id or pos have no key and drop out; kind and ref are canonical.
+    Rows without record_id or pos have no key and drop out; kind and ref are canonical. Without ``refs`` there are
+    only rid, pos, t and kind, and less is moved.
     """
-    best = F.max(F.struct("ingested_at", "t", "event_kind", "ref", "record_id")).alias("b")
-    return (
-        df.select(norm_id("record_id").alias("rid"), "pos", "ingested_at", "t", "event_kind", "ref", "record_id")
+    cols = ["ingested_at", "t", "event_kind", *(["ref", "record_id"] if refs else [])]
+    rows = (
+        df.select(norm_id("record_id").alias("rid"), "pos", *cols)
         .where(F.col("rid").isNotNull() & F.col("pos").isNotNull())
         .groupBy("rid", "pos")
-        .agg(best)
-        .select("rid", F.col("b.record_id").alias("record_id"), "pos", F.col("b.t").alias("t"), kind_key("b.event_kind").alias("kind"), ref_key("b.ref").alias("ref"))
+        .agg(F.max(F.struct(*cols)).alias("b"))
     )
+    more = [F.col("b.record_id").alias("record_id"), ref_key("b.ref").alias("ref")] if refs else []
+    return rows.select("rid", "pos", F.col("b.t").alias("t"), kind_key("b.event_kind").alias("kind"), *more)
 
 
 def tool_nodes(df: DataFrame) -> DataFrame:
