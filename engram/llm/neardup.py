@@ -3,8 +3,9 @@
 Texts become sets of words; equal sets are one set. Words are ordered from rare to frequent by a count over all sets,
 kept as a histogram of fixed size (hash buckets), so what is broadcast does not grow with the data; any total order
 gives the same pairs. Sets with the same size and the same prefix in that order form one group. Groups that share a
-prefix word and pass the length and position filters are candidates; only then are groups expanded into their
-members, which are verified on their whole sets.
+prefix word and pass the length, position and bitmap filters are candidates; only then are groups expanded into
+their members, which are verified on their whole sets. The bitmap of a set has a bit for each word's hash; bits that
+differ between two sets, counted where each group's members agree, are words that only one of the two has.
 """
 
 from __future__ import annotations
@@ -47,7 +48,10 @@ def _prefixes(counts: np.ndarray, num: int, den: int):
             flat = flat[np.lexsort((flat, counts[flat & (BUCKETS - 1)], row))]
             keep = sizes - (num * sizes + den - 1) // den + 1
             start = np.cumsum(sizes) - sizes
-            yield pd.DataFrame({"set_id": pdf["set_id"], "tokens": pdf["tokens"], "prefix": [flat[a : a + k] for a, k in zip(start, keep)]})
+            bit = (flat >> 20) & 127
+            one = np.left_shift(np.int64(1), bit & 63)
+            low, high = (np.bitwise_or.reduceat(np.where(part, one, 0), start) for part in (bit < 64, bit >= 64))
+            yield pd.DataFrame({"set_id": pdf["set_id"], "tokens": pdf["tokens"], "prefix": [flat[a : a + k] for a, k in zip(start, keep)], "low": low, "high": high})
 
     return scan
 
@@ -60,7 +64,7 @@ def similar_sets(rows: DataFrame, num: int = 4, den: int = 5, min_size: int = 1)
     pair once. Sets of fewer than ``min_size`` words, and null keys, are left out; sets are compared within a field.
     """
     spark = rows.sparkSession
-    sized = rows.where(F.col("key").isNotNull() & (F.size("words") >= max(1, min_size))).withColumn("set_id", F.md5(F.concat_ws(" ", "field", "words")))
+    sized = rows.where(F.col("key").isNotNull() & (F.size("words") >= max(1, min_size))).withColumn("set_id", F.unhex(F.md5(F.concat_ws(" ", "field", "words"))))
     members = stage(sized.select("field", "key", "set_id", "words"))
     token = F.transform("words", lambda w: F.xxhash64(F.col("field"), w))
     sets = stage(members.select("set_id", token.alias("tokens")).dropDuplicates(["set_id"]))
@@ -68,20 +72,28 @@ def similar_sets(rows: DataFrame, num: int = 4, den: int = 5, min_size: int = 1)
     counts = np.zeros(BUCKETS, np.int64)
     for b, n in heard.toPandas().itertuples(index=False):  # at most BUCKETS rows
         counts[b] = n
-    grouped = sets.mapInPandas(_prefixes(counts, num, den), "set_id string, tokens array<long>, prefix array<long>")
-    grouped = stage(grouped.select("set_id", "tokens", "prefix", F.size("tokens").alias("size"), F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), F.col("prefix").cast("array<string>"))).alias("gid")))
-    groups = grouped.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count("*").alias("members"))
-    at = groups.select("gid", "size", F.posexplode("prefix").alias("at", "w"))
-    a, b = (at.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "size", "at")]) for s in "ab")
-    need = F.ceil(F.lit(num) * (F.col("size_a") + F.col("size_b")) / F.lit(num + den))
-    left = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) - 1
+    grouped = sets.mapInPandas(_prefixes(counts, num, den), "set_id binary, tokens array<long>, prefix array<long>, low long, high long")
+    gid = F.unhex(F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), F.col("prefix").cast("array<string>"))))
+    grouped = stage(grouped.select("set_id", "tokens", "prefix", "low", "high", F.size("tokens").alias("size"), gid.alias("gid")))
+    agree = lambda c: F.bitwise_not(F.bit_or(c).bitwiseXOR(F.bit_and(c)))
+    groups = grouped.groupBy("gid").agg(
+        F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count("*").alias("members"),
+        F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), agree("low").alias("low_same"), agree("high").alias("high_same"),
+    )
+    at = groups.select("gid", "size", "low", "high", "low_same", "high_same", F.posexplode("prefix").alias("at", "w"))
+    a, b = (at.select("w", *[F.col(c).alias(f"{c}_{s}") for c in at.columns if c != "w"]) for s in "ab")
+    both = F.col("size_a") + F.col("size_b")
+    need = F.ceil(F.lit(num) * both / F.lit(num + den))
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")).bitwiseAND(F.col(f"{c}_same_a")).bitwiseAND(F.col(f"{c}_same_b")))
     near = (
         a.join(b, "w")
         .where(
             (F.col("size_a") <= F.col("size_b"))
-            & ((F.col("size_a") < F.col("size_b")) | (F.col("gid_a") < F.col("gid_b")))
             & (F.col("size_a") * den >= F.col("size_b") * num)
             & (left >= need)
+            & (bits("low") + bits("high") <= both - 2 * need)
+            & ((F.col("size_a") < F.col("size_b")) | (F.col("gid_a") < F.col("gid_b")))
         )
         .select("gid_a", "gid_b")
         .distinct()
@@ -114,4 +126,4 @@ def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
     size = members.groupBy("set_id").agg(F.count("*").alias("copies"))
     both = pairs.select("set_a", "set_b").unionByName(pairs.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b")))
     links = both.join(size.select(F.col("set_id").alias("set_b"), "copies"), "set_b").groupBy(F.col("set_a").alias("set_id")).agg(F.sum("copies").alias("links"))
-    return members.join(size, "set_id").join(links, "set_id", "left").select("field", "key", F.col("set_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(size, "set_id").join(links, "set_id", "left").select("field", "key", F.lower(F.hex("set_id")).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
