@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions.text import norm_id
-from engram.llm import mapping, neardup, quality, runs, sequences, timeline, tokens
+from engram.llm import mapping, mixing, neardup, quality, runs, sequences, timeline, tokens
 from engram.plans.staging import stage
 from engram.sources.tables import newest, table
 
@@ -122,6 +122,23 @@ def _common(spark: SparkSession, d: str) -> dict[str, set[str]]:
     return out
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with their copies."""
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets")).where(F.col("copies") > 0)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source reaches beside its target."""
+    sized = stage(_sized(spark, d))
+    return mixing.shares(mixing.mix(sized, table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source and number of tokens of each document."""
+    docs = table(spark, d, "documents")
+    return tokens.encode_corpus(docs, "doc_id", "text", counts_only=True, keep=("source",))
+
+
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every text."""
     return quality.text_statistics(table(spark, d, "documents"), "doc_id", "text", _common(spark, d))
@@ -132,7 +149,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_stats(spark, d).where((F.col("n_visible") > 0) & (F.col("prose_share") < 0.5)).select("doc_id")
 
 
-QUERIES = (p1_found, p1_unmatched, p1_agreement, p3_found, p3_patterns, p6_found, p6_runs, p7_found, p7_classes, p8_ids, p10_found, p10_stats)
+QUERIES = (p1_found, p1_unmatched, p1_agreement, p3_found, p3_patterns, p6_found, p6_runs, p7_found, p7_classes, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)
 
 
 def queries() -> dict:

@@ -167,38 +167,48 @@ def concat(enc, parts: list[Coded]) -> Coded:
 
 
 def encode_corpus(
-    df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES, chunk: int = CHUNK, counts_only: bool = False
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    name: str = "byte_bpe_50k",
+    folder: str = VOCABULARIES,
+    chunk: int = CHUNK,
+    counts_only: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id_col, ids) of every text, without special tokens; with ``counts_only`` (id_col, n_tokens).
+    """(id_col, *keep, ids) of every text, without special tokens; with ``counts_only`` n_tokens instead of ids.
 
     Empty and null texts have an empty list. Rows of one id are one row: that with the smallest text, nulls last; null
-    ids drop out. Other columns are ignored.
+    ids drop out. ``keep``: columns that stay beside the id; others are ignored, and their names do not matter.
     """
+    made = "n_tokens" if counts_only else "ids"
     out = "n_tokens long" if counts_only else "ids array<int>"
-    id_type = df.schema[id_col].dataType.simpleString()
-    rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
+    kept = [f"k{i}" for i in range(len(keep))]
+    row = F.struct(F.col(text_col).isNull().alias("none"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
+    rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(row).alias("r")).select("id", "r.text", *[f"r.{k}" for k in kept])
     long_ = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    head = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ["id", *kept])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(folder, name)
         for pdf in batches:
             ids = [enc.encode_ordinary(t) if t else [] for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], out.split()[0]: [len(x) for x in ids] if counts_only else ids})
+            yield pdf.drop(columns="text").assign(**{made: [len(x) for x in ids] if counts_only else ids})
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(folder, name)
         for pdf in batches:
             yield pdf.assign(ids=[enc.encode_ordinary(t) for t in pdf["text"]])
 
-    def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoding(folder, name)
         pdf = pdf.sort_values("no")
         ids = concat(enc, [Coded(t, list(map(int, i))) for t, i in zip(pdf["text"], pdf["ids"])]).ids
-        return pd.DataFrame({"id": [key[0]], out.split()[0]: [len(ids) if counts_only else ids]})
-
-    short = rows.where(~long_).mapInPandas(whole, f"id {id_type}, {out}")
-    cuts = rows.where(long_).select("id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk))).alias("no"))
-    spread = cuts.select("id", "no", F.substr("text", (F.col("no") * chunk + 1).cast("int"), F.lit(chunk)).alias("text")).repartition("id", "no")
-    coded = spread.mapInPandas(parts, f"id {id_type}, no long, text string, ids array<int>")
-    joined = coded.groupBy("id").applyInPandas(tree, f"id {id_type}, {out}")
-    return short.unionByName(joined).withColumnRenamed("id", id_col)
+        return pdf[["id", *kept]].iloc[:1].assign(**{made: [len(ids) if counts_only else ids]})
+
+    short = rows.where(~long_).mapInPandas(whole, f"{head}, {out}")
+    cuts = rows.where(long_).select("id", *kept, "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk))).alias("no"))
+    spread = cuts.select("id", *kept, "no", F.substr("text", (F.col("no") * chunk + 1).cast("int"), F.lit(chunk)).alias("text")).repartition("id", "no")
+    coded = spread.mapInPandas(parts, f"{head}, no long, text string, ids array<int>")
+    joined = coded.groupBy("id").applyInPandas(tree, f"{head}, {out}")
+    return short.unionByName(joined).select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(keep, kept)], made)
