@@ -29,6 +29,8 @@ SPEAKER = re.compile(r"^\s*[^\W\d_]{2,20}:\s+")
 
 #: Smallest share of common words in a running sentence, and how many different ones.
 SHARE, DIFFERENT, LEAST_WORDS = 0.2, 2, 4
+#: Largest share of symbols in a running sentence.
+SYMBOLS = 0.25
 #: Smallest share of characters in common Japanese words.
 KANA_SHARE = 0.06
 
@@ -80,6 +82,8 @@ class Prose:
         words = [plain(w) for w in TOKEN.findall(unit)]
         if len(words) < LEAST_WORDS:
             return None
+        if len(SYMBOL.sub("", unit)) > SYMBOLS * visible(unit):
+            return False
         share, different = self.common_share(words)
         return share >= SHARE and different >= DIFFERENT
 
