@@ -48,6 +48,11 @@ def plain(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
 
 
+def word_key(w: str) -> str:
+    """A word for comparison; single letters keep their accents, since most of them are words in some language."""
+    return plain(w) if len(w) > 1 else w.lower()
+
+
 def visible(s: str) -> int:
     """The characters that leave a mark: no white space, control or format characters."""
     return len(UNSEEN.sub("", s))
@@ -57,7 +62,7 @@ class Prose:
     """Tells running sentences by the common words of the languages: {language: words}."""
 
     def __init__(self, common: dict[str, set[str]]):
-        self.spaced = {lang: {plain(w) for w in ws} for lang, ws in common.items() if not any(CJK.search(w) for w in ws)}
+        self.spaced = {lang: {word_key(w) for w in ws} for lang, ws in common.items() if not any(CJK.search(w) for w in ws)}
         self.known = set().union(*self.spaced.values())
         solid = sorted({w for ws in common.values() for w in ws if CJK.search(w)}, key=len, reverse=True)
         self.solid = re.compile("|".join(map(re.escape, solid))) if solid else None
@@ -79,10 +84,11 @@ class Prose:
                 if len(body) < 6:
                     return None
                 return bool(KANA.search(body)) and sum(map(len, self.solid.findall(body))) >= KANA_SHARE * len(body)
-        words = [plain(w) for w in TOKEN.findall(unit)]
+        words = [word_key(w) for w in TOKEN.findall(unit)]
         if len(words) < LEAST_WORDS:
             return None
-        if len(SYMBOL.sub("", unit)) > SYMBOLS * visible(unit):
+        marks = UNSEEN.sub("", unit)
+        if len(SYMBOL.sub("", marks)) > SYMBOLS * len(marks):
             return False
         share, different = self.common_share(words)
         return share >= SHARE and different >= DIFFERENT
@@ -152,7 +158,7 @@ def statistics(text: str | None, prose: Prose, lang: str | None = None) -> tuple
         kind = "list" if lists >= 0.5 else "table" if table_ else "junk" if dense or not words else "list"
     return (
         len(text), seen, len(words), sum(map(len, words)) / max(1, len(words)), symbols / len(text), digits / len(text),
-        len(lines), sum(bool(ENDS.search(x)) for x in lines) / len(lines), lists, prose.common_share([plain(w) for w in words])[0], share, repeated,
+        len(lines), sum(bool(ENDS.search(x)) for x in lines) / len(lines), lists, prose.common_share([word_key(w) for w in words])[0], share, repeated,
         _repeated(paragraphs), coverage, kind,
     )
 
