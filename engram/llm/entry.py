@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions.text import norm_id
-from engram.llm import mapping, mixing, neardup, quality, runs, sequences, timeline, tokens
+from engram.llm import mapping, mixing, neardup, oracle, quality, runs, sequences, timeline, tokens
 from engram.plans.staging import stage
 from engram.sources.tables import newest, table
 
@@ -157,4 +157,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
