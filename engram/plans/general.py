@@ -135,3 +135,39 @@ def p5_tool_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_paths, p4_descendants, p5_found, p5_nodes, p5_tool_nodes)}
+
+
+# --- the same in SQL, by plainer means
+
+_ID = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')"
+_JSON = """SELECT id, record_id, ts, j FROM (SELECT id, record_id, ts, CASE WHEN json_valid(j) AND json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$') ELSE j END AS j FROM
+    (SELECT {key} AS id, record_id, {at} AS ts, {col} AS j FROM {table} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {at} DESC NULLS LAST) = 1)) WHERE id IS NOT NULL AND json_valid(j) AND json_type(j) = 'OBJECT'"""
+
+
+def _items(field: str) -> str:
+    return f"CASE json_type(j, '$.{field}') WHEN 'ARRAY' THEN json_extract(j, '$.{field}[*]') WHEN 'OBJECT' THEN [json_extract(j, '$.{field}')] END"
+
+
+def _tree(source: str, table_: str, col: str, at: str, names: tuple[str, ...]) -> str:
+    lone = "|".join(names)
+    return f"""SELECT '{source}' AS source_table, record_id, regexp_replace(substr(fullkey, 3), '^({lone})(\\.|$)', '\\1[0]\\2') AS path, type FROM
+    ({_JSON.format(key=_ID.format('record_id'), at=at, col=col, table=table_)}) r, json_tree(r.j) t WHERE type = 'OBJECT' AND fullkey <> '$'"""
+
+
+SQL = {
+    "p2_found": f"""WITH i AS ({_JSON.format(key=_ID.format('record_id'), at='interpreted_at', col='interpretation_json', table='interpretations')}),
+    e AS (SELECT 'relation_candidates.target_record_id' AS ref_field, 'm' AS tab, record_id, ts, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS ref_pos FROM (SELECT record_id, ts, {_items('relation_candidates')} AS l FROM i)
+      UNION ALL SELECT 'reference_candidates.target_entity_id', 'e', record_id, ts, unnest(l), generate_subscripts(l, 1) - 1 FROM (SELECT record_id, ts, {_items('reference_candidates')} AS l FROM i)),
+    refs AS (SELECT ref_field, tab, record_id, ts, ref_pos, json_extract_string(o, CASE tab WHEN 'm' THEN '$.target_record_id' ELSE '$.target_entity_id' END) AS target FROM e WHERE json_type(o) = 'OBJECT'
+      UNION ALL SELECT 'revision.superseded_by', 'm', record_id, updated_at, 0, superseded_by FROM (SELECT * FROM semantic_facts QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')} ORDER BY updated_at DESC NULLS LAST) = 1)),
+    parents AS (SELECT 'm' AS tab, {_ID.format('id')} AS id, min(ingested_at) AS seen, max(deleted_at) AS gone FROM memory_records GROUP BY ALL UNION ALL SELECT 'e', {_ID.format('entity_id')}, min(created_at), max(deleted_at) FROM entities GROUP BY ALL)
+    SELECT ref_field, record_id, ref_pos::INTEGER AS ref_pos FROM refs r LEFT JOIN parents p ON p.tab = r.tab AND p.id = {_ID.format('r.target')} WHERE {_ID.format('r.target')} IS NOT NULL AND (p.id IS NULL OR p.gone IS NOT NULL OR p.seen > r.ts)""",
+    "p4_found": f"""WITH RECURSIVE f AS (SELECT {_ID.format('record_id')} AS id, record_id, {_ID.format('supersedes')} AS older, {_ID.format('superseded_by')} AS newer FROM semantic_facts
+      QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')} ORDER BY updated_at DESC NULLS LAST) = 1),
+    links AS (SELECT id, first(parent ORDER BY rank, parent) AS parent FROM (SELECT id, older AS parent, 0 AS rank FROM f WHERE older IN (SELECT id FROM f) UNION ALL SELECT newer, id, 1 FROM f WHERE newer IN (SELECT id FROM f)) GROUP BY id),
+    nodes AS (SELECT id FROM links UNION SELECT parent FROM links),
+    t(id, root, depth) AS (SELECT id, id, 0 FROM nodes WHERE id NOT IN (SELECT id FROM links) UNION ALL SELECT l.id, t.root, t.depth + 1 FROM t JOIN links l ON l.parent = t.id)
+    SELECT f.record_id, coalesce(g.record_id, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth FROM nodes n JOIN f USING (id) LEFT JOIN t USING (id) LEFT JOIN f g ON g.id = t.root""",
+    "p5_found": f"""SELECT source_table, record_id, path FROM ({_tree('payloads', 'payloads', 'payload_json', 'written_at', PAYLOAD_ARRAYS)}
+      UNION ALL {_tree('interpretations', 'interpretations', 'interpretation_json', 'interpreted_at', INTERPRETATION_ARRAYS)}) WHERE path LIKE '%]'""",
+}
