@@ -1,9 +1,11 @@
 """Near-duplicate records with small edits: an exact set-similarity join with grouped prefixes.
 
-Texts become sets of words; equal sets are one set. Words are ordered from rare to frequent by a count over all sets,
+Texts become sets of words; equal sets are one set. Sets of usual sizes share, if similar, at least two words within
+slightly longer prefixes, so they meet on pairs of prefix words, which stay rare when single words are in many sets;
+small and very large sets meet on single prefix words. Words are ordered from rare to frequent by a count over all sets,
 kept as a histogram of fixed size (hash buckets), so what is broadcast does not grow with the data; any total order
 gives the same pairs. Sets with the same size and the same prefix in that order form one group. Groups that share a
-prefix word and pass the length, position and bitmap filters are candidates; only then are groups expanded into
+prefix key and pass the length, position and bitmap filters are candidates; only then are groups expanded into
 their members, which are verified on their whole sets. The bitmap of a set has a bit for each word's hash; bits that
 differ between two sets, counted where each group's members agree, are words that only one of the two has.
 """
@@ -22,6 +24,9 @@ from engram.plans.staging import stage
 #: Buckets of the word histogram (2 MB).
 BUCKETS = 1 << 18
 WORD = "[a-z0-9]+"
+#: Sets from the first to the second size meet on pairs of words (a set of n words makes about (0.4 n)^2 / 2 of them at
+#: 0.6); sets outside meet on single words, and so do those near the ends, whose partners may lie outside.
+PAIRED = (4, 64)
 
 
 def words(text: Column) -> Column:
@@ -46,7 +51,7 @@ def _prefixes(counts: np.ndarray, num: int, den: int):
             flat = np.concatenate(pdf["tokens"].to_numpy()).astype(np.int64)
             row = np.repeat(np.arange(len(pdf)), sizes)
             flat = flat[np.lexsort((flat, counts[flat & (BUCKETS - 1)], row))]
-            keep = sizes - (num * sizes + den - 1) // den + 1
+            keep = np.minimum(sizes, sizes - (num * sizes + den - 1) // den + 2)
             start = np.cumsum(sizes) - sizes
             bit = (flat >> 20) & 127
             one = np.left_shift(np.int64(1), bit & 63)
@@ -80,11 +85,22 @@ def similar_sets(rows: DataFrame, num: int = 4, den: int = 5, min_size: int = 1)
         F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count("*").alias("members"),
         F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), agree("low").alias("low_same"), agree("high").alias("high_same"),
     )
-    at = groups.select("gid", "size", "low", "high", "low_same", "high_same", F.posexplode("prefix").alias("at", "w"))
+    n = F.col("size")
+    one = (n - F.ceil(F.lit(num) * n / F.lit(den)) + 1).cast("int")  # the prefix in which similar sets share a word
+    few, many = PAIRED
+    # rest: how many words two sets can share if the key's words are the first that they share
+    single = F.transform(F.slice("prefix", F.lit(1), one), lambda w, i: F.struct(F.xxhash64(F.lit(1), w).alias("w"), (n - i).alias("rest")))
+    pair = lambda w, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda x, m: F.struct(F.xxhash64(F.lit(2), w, x).alias("w"), (n - i - m).alias("rest")))
+    pairs_ = F.flatten(F.transform("prefix", pair))
+    none = F.array().cast("array<struct<w:bigint,rest:int>>")
+    keys = F.concat(
+        F.when((n * num < few * den) | (n * den >= many * num), single).otherwise(none), F.when((n >= few) & (n <= many), pairs_).otherwise(none)
+    )
+    at = groups.select("gid", "size", "low", "high", "low_same", "high_same", F.inline(keys))
     a, b = (at.select("w", *[F.col(c).alias(f"{c}_{s}") for c in at.columns if c != "w"]) for s in "ab")
     both = F.col("size_a") + F.col("size_b")
     need = F.ceil(F.lit(num) * both / F.lit(num + den))
-    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    left = F.least("rest_a", "rest_b")
     bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")).bitwiseAND(F.col(f"{c}_same_a")).bitwiseAND(F.col(f"{c}_same_b")))
     near = (
         a.join(b, "w")
