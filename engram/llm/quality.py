@@ -53,6 +53,11 @@ def word_key(w: str) -> str:
     return plain(w) if len(w) > 1 else w.lower()
 
 
+def word_keys(s: str) -> list[str]:
+    """The words of a text for comparison."""
+    return TOKEN.findall(s.lower()) if s.isascii() else [word_key(w) for w in TOKEN.findall(s)]
+
+
 def visible(s: str) -> int:
     """The characters that leave a mark: no white space, control or format characters."""
     return len(UNSEEN.sub("", s))
@@ -84,7 +89,7 @@ class Prose:
                 if len(body) < 6:
                     return None
                 return bool(KANA.search(body)) and sum(map(len, self.solid.findall(body))) >= KANA_SHARE * len(body)
-        words = [word_key(w) for w in TOKEN.findall(unit)]
+        words = word_keys(unit)
         if len(words) < LEAST_WORDS:
             return None
         marks = UNSEEN.sub("", unit)
@@ -158,7 +163,7 @@ def statistics(text: str | None, prose: Prose, lang: str | None = None) -> tuple
         kind = "list" if lists >= 0.5 else "table" if table_ else "junk" if dense or not words else "list"
     return (
         len(text), seen, len(words), sum(map(len, words)) / max(1, len(words)), symbols / len(text), digits / len(text),
-        len(lines), sum(bool(ENDS.search(x)) for x in lines) / len(lines), lists, prose.common_share([word_key(w) for w in words])[0], share, repeated,
+        len(lines), sum(bool(ENDS.search(x)) for x in lines) / len(lines), lists, prose.common_share(word_keys(text))[0], share, repeated,
         _repeated(paragraphs), coverage, kind,
     )
 
