@@ -105,7 +105,7 @@ def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     end grows with its length. The beginning of several words written as one (solid) is no spelling of all of them.
     """
     # so few bytes would be read by one task, though each token makes many keys
-    spread = tokens.select("token").repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    spread = tokens.select("token").repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = spread.mapInPandas(_each(lambda t: [(k,) for k in query_keys(t)], "token", "k"), "token string, k string")
     right = vocabulary.select("word").mapInPandas(_each(lambda t: [(k,) for k in reference_keys(t)], "word", "k"), "word string, k string")
     pairs = left.join(right, "k").select("token", "word").distinct().join(vocabulary.select("word", "solid"), "word")
