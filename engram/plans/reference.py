@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import exprs as ex
 from engram.functions.text import norm
-from engram.operators import capture, consolidate, evalkit, graph, lifecycle, metrics, retrieve, revise, store, trust
+from engram.operators import capture, consolidate, evalkit, graph, lifecycle, metrics, retrieve, revise, store, texts, trust
 from engram.plans import views as v
 from engram.plans.views import as_of, sql
 from engram.sources.tables import table
@@ -402,6 +402,24 @@ def edge_pairs(spark, d):
     return capture.edge_pairs(m.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()), as_of()).select("source_id", "predicate", "target_id")
 
 
+@query("ref_trigger_text", """SELECT key AS id, CASE memory_type WHEN 'episodic' THEN CASE WHEN coalesce(summary, '') <> '' THEN summary ELSE coalesce(event_kind, '') || ' ' || coalesce(ref, '') END
+    WHEN 'working' THEN concat_ws(' ', nullif(state, ''), CASE WHEN len(next_actions) > 0 THEN array_to_string(next_actions, ' ') END)
+    WHEN 'semantic' THEN trim(coalesce(subject, '') || ' ' || coalesce(predicate, '') || ' ' || coalesce(object, '')) WHEN 'competence' THEN trim(coalesce(skill_name, '') || ' ' || coalesce(array_to_string([t FOR t IN triggers IF coalesce(t, '') <> ''], ' '), ''))
+    WHEN 'plan_graph' THEN coalesce(nullif(intent, ''), array_to_string([n.op FOR n IN nodes IF coalesce(n.op, '') <> ''], ' '), '') ELSE '' END AS text FROM (SELECT DISTINCT ON (key) * FROM recall_dataset WHERE type = 'record')""")
+def trigger_text(spark, d):
+    """The text each record is embedded by."""
+    rows = table(spark, d, "recall_dataset").where("type = 'record'").dropDuplicates(["key"])
+    return rows.select(F.col("key").alias("id"), texts.trigger_text(rows).alias("text"))
+
+
+@query("ref_interpretation_status")
+def interpretation_status(spark, d):
+    """The interpretations by the status that their open parts give them."""
+    i = F.from_json("interpretation_json", texts.INTERPRETATION)
+    rows = v.newest(table(spark, d, "interpretations"), v.norm_id("record_id"), ["interpreted_at"], ["interpretation_json"], "id").withColumn("i", i)
+    return rows.groupBy(texts.final_status(F.col("i")).alias("status")).agg(F.count("*").alias("n"))
+
+
 @query("ref_capture_candidates")
 def capture_candidates(spark, d):
     """For each query of the evaluation set, the existing records it may refer to, best first."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import exprs as ex
 from engram.functions.text import norm, norm_id
-from engram.operators import capture, consolidate, evalkit, graph, lifecycle, metrics, retrieve, revise, store, trust
+from engram.operators import capture, consolidate, evalkit, graph, lifecycle, metrics, retrieve, revise, store, texts, trust
 from engram.sources import io
 from engram.streaming import jobs
 
@@ -338,6 +338,26 @@ def test_candidate_scores(spark):
     assert len(capture.score_candidates(q, c, AS_OF, pool=1, kept=1).collect()) == 2
 
 
+def test_texts(spark):
+    lit = lambda t, x: F.from_json(F.lit(json.dumps(x)) if x is not None else F.lit(None).cast("string"), t)
+    ep = lit(texts.EPISODIC, {"timeline": [{"event_kind": "a", "ref": "r#1 ", "summary": "one"}, {"event_kind": "b", "summary": " "}, {"event_kind": "c"}], "tool_graph": [{"tool": "bash", "result": " ok "}, {"tool": "apt"}], "outcome": "success"})
+    assert value(spark, texts.episode_content(ep)) == "a: one\ntool bash -> ok\ntool apt\noutcome: success"
+    assert value(spark, texts.episodic_text(ep["timeline"])) == " " and value(spark, texts.names_reference(ep["timeline"], F.lit("R#1"))) and not value(spark, texts.names_reference(ep["timeline"], F.lit("")))
+    bare = lit(texts.EPISODIC, {"timeline": [{"event_kind": "a", "ref": "x"}]})
+    assert value(spark, texts.episodic_text(bare["timeline"])) == "a x" and value(spark, texts.episodic_text(lit(texts.EPISODIC, {"timeline": []})["timeline"])) == ""
+    assert value(spark, texts.working_text(F.lit("s"), F.lit(""), F.array(F.lit("x"), F.lit("y")))) == "s x y" and value(spark, texts.competence_text(F.lit("k"), F.array(F.lit(""), F.lit("t")))) == "k t"
+    a = lit(texts.INTERPRETATION, {"status": "resolved", "summary": "s", "topical_labels": ["X"], "mentions": [{"surface": "m", "canonical_entity_id": "e"}], "extraction_confidence": 0.3})
+    b = lit(texts.INTERPRETATION, {"summary": "", "topical_labels": ["x", "y"], "reference_candidates": [{"ref": "r"}], "extraction_confidence": 0.0})
+    m = value(spark, texts.merged(a, b))
+    assert (m["summary"], m["topical_labels"], m["mentions"][0]["surface"], m["extraction_confidence"]) == ("s", ["X", "y"], "m", 0.3)
+    assert value(spark, texts.final_status(a)) == "resolved" and value(spark, texts.final_status(b)) == "tentative" and value(spark, texts.final_status(lit(texts.INTERPRETATION, None))) == "tentative"
+    none = F.lit(None).cast("array<string>")
+    assert value(spark, texts.query_terms(F.array(F.lit("T")), none, F.lit('{"project":"P"}'), a)) == ["T", "P", "X", "m"] and value(spark, texts.search_terms(F.array(F.lit("id")), none, a)) == ["id", "s", "X", "m"]
+    assert value(spark, texts.derived_tags(F.array(F.lit("Consolidated"), F.lit("z")))) == ["consolidated", "z"] and value(spark, texts.looks_like_entity_id(F.lit("a-b-c-d-e"))) and not value(spark, texts.looks_like_entity_id(F.lit("a-b")))
+    nodes = F.array(F.struct(F.lit("build").alias("op"), F.lit('{"repo":"r","x":1}').alias("params")), F.struct(F.lit("").alias("op"), F.lit(None).cast("string").alias("params")))
+    assert value(spark, texts.plan_entity_terms(nodes)) == ["build", "r"] and value(spark, texts.matches_term(F.array(F.lit("The Gate")), F.lit("gate")))
+
+
 # --- sources and streams
 
 
