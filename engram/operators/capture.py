@@ -157,3 +157,48 @@ def facts_of(requests: DataFrame, as_of: Column) -> DataFrame:
 
 def same_name(a: Column, b: Column) -> Column:
     return lexical_match(a, b) & (norm(a) == norm(b))
+
+
+def resolve_references(references: DataFrame, records: DataFrame, entities: DataFrame, timeline: DataFrame) -> DataFrame:
+    """(source_id, ref, target_id) by record id, else entity id, else a timeline event with that reference.
+
+    ``references``: source_id, ref; ``records``: id; ``entities``: entity_id; ``timeline``: id, ref. Unknown ones have
+    a null target. Of several events the smallest record id is meant.
+    """
+    r = references.where(norm("ref") != "").withColumn("key", norm("ref"))
+    by_record = records.select(norm("id").alias("key"), F.col("id").alias("a")).dropDuplicates(["key"])
+    by_entity = entities.select(norm("entity_id").alias("key"), F.col("entity_id").alias("b")).dropDuplicates(["key"])
+    by_event = timeline.where(norm("ref") != "").groupBy(norm("ref").alias("key")).agg(F.min("id").alias("c"))
+    joined = r.join(by_record, "key", "left").join(by_entity, "key", "left").join(by_event, "key", "left")
+    return joined.select("source_id", "ref", F.coalesce("a", "b", "c").alias("target_id"))
+
+
+def capture_batch(requests: DataFrame, records: DataFrame, entities: DataFrame, terms: DataFrame, timeline: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """A batch of requests as rows to add: 'records', 'facts', 'entities' and 'edges'; nothing is written here.
+
+    ``requests``: request_id, source, source_kind, content, summary, reason_to_remember, tags, scope, sensitivity,
+    proposed_type, extraction_confidence. Every request has one record of its own; mentions resolve to existing or new
+    entities, references to existing records and entities (a reference to itself makes no edge); observations, proposed
+    facts and sure interpretations also become facts. Requests of one id are one request, whichever row comes first in
+    order of content.
+    """
+    one = requests.where(F.col("request_id").isNotNull()).groupBy("request_id").agg(F.min(F.struct("content", *[c for c in requests.columns if c not in ("request_id", "content")])).alias("r")).select("request_id", "r.*")
+    ready = fallback(policy(one)).withColumn("id", F.concat(F.lit("rec-"), F.substring(F.sha2("request_id", 256), 1, 16)))
+    kind = primary_type(F.col("source_kind"))
+    made = ready.select(
+        "id", kind.alias("type"), "sensitivity", F.col("policy_confidence").alias("confidence"), "salience", F.coalesce("scope", F.lit("")).alias("scope"), "tags", as_of.alias("created_at"),
+        as_of.alias("updated_at"), as_of.alias("last_reinforced_at"), half_life(kind).cast("long").alias("half_life_seconds"), F.lit(0.0).alias("min_salience"), F.lit(0).cast("long").alias("max_age_seconds"),
+        F.lit(0.0).alias("reinforcement_gain"), F.lit(False).alias("pinned"), "deletion_policy", F.col("content").alias("payload_json"), F.lit(None).cast("string").alias("status"),
+    )
+    said = ready.select(F.col("id").alias("record_id"), "scope", F.explode("i_mentions").alias("m")).select(
+        "record_id", "scope", "m.surface", "m.entity_kind", F.when(F.startswith("m.surface", F.lit("entity-")), F.col("m.surface")).alias("canonical_entity_id"), "m.confidence"
+    )
+    found, new = resolve_mentions(said, entities, terms)
+    named = found.select(F.col("record_id").alias("source_id"), F.lit("mentions_entity").alias("predicate"), F.col("entity_id").alias("target_id"), "confidence")
+    refs = ready.select(F.col("id").alias("source_id"), F.explode("i_references.ref").alias("ref"))
+    linked = resolve_references(refs, records, entities, timeline).where(F.col("target_id").isNotNull())
+    named = named.unionByName(linked.select("source_id", F.lit("references_record").alias("predicate"), "target_id", F.lit(0.5).alias("confidence")))
+    facts = facts_of(ready, as_of).join(ready.select("request_id", F.col("id").alias("source_id")), "request_id")
+    facts = facts.withColumn("id", F.concat(F.lit("fact-"), F.substring(F.sha2(F.concat_ws("\x1f", "source_id", "subject", "predicate", "object"), 256), 1, 16)))
+    derived = facts.select("source_id", F.lit("derived_semantic").alias("predicate"), F.col("id").alias("target_id"), "confidence")
+    return {"records": made, "facts": facts, "entities": new, "edges": edge_pairs(named.unionByName(derived), as_of)}

@@ -135,3 +135,22 @@ def release(log: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
     """Mark extracted episodes (record_id, triple_count) as done, and give failed ones back."""
     rest = log.join(failed.select("record_id"), "record_id", "left_anti").join(done.withColumnRenamed("triple_count", "__n"), "record_id", "left")
     return rest.select("record_id", F.coalesce("__n", "triple_count").alias("triple_count"), "claimed_at")
+
+
+def run_all(records: DataFrame, timeline: DataFrame, nodes: DataFrame, known_facts: DataFrame, known_skills: DataFrame, planned: DataFrame, as_of: Column) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All steps in order: (results, counters). ``timeline``: record_id, place, event_kind, summary; ``nodes``: record_id,
+    place, node, tool, deps; ``records`` with ``outcome``. The first failing step raises, and nothing is written here."""
+    good = records.where((F.col("type") == "episodic") & (F.col("outcome") == "success")).select(F.col("id").alias("record_id"), F.col("created_at").alias("at"), "scope", "sensitivity")
+    told = timeline.join(good.select("record_id", "at"), "record_id").select("record_id", F.struct("at", "record_id", "place").alias("place"), "event_kind", "summary")
+    new_facts, more_facts = semantic_facts(told, known_facts)
+    new_skills, more_skills = skills(nodes.select("record_id", "place", "tool"), good.withColumnRenamed("at", "place"), known_skills)
+    new_plans, edges = plans(nodes, timeline, planned)
+    due = compress(records, as_of)
+    out = {"records": due, "facts": new_facts, "facts_reinforced": more_facts, "skills": new_skills, "skills_reinforced": more_skills, "plans": new_plans, "plan_edges": edges}
+    shrunk = due.join(records.select("id", F.col("salience").alias("before")), "id").where(F.col("salience") != F.col("before"))
+    counted = [("episodes_compressed", shrunk), ("facts_created", new_facts), ("facts_reinforced", more_facts), ("skills_created", new_skills), ("skills_reinforced", more_skills), ("plans_created", new_plans)]
+    rows = [df.agg(F.lit(name).alias("counter"), F.count(F.lit(1)).alias("n")) for name, df in counted]
+    total = rows[0]
+    for r in rows[1:]:
+        total = total.unionByName(r)
+    return out, total

@@ -358,6 +358,38 @@ def test_texts(spark):
     assert value(spark, texts.plan_entity_terms(nodes)) == ["build", "r"] and value(spark, texts.matches_term(F.array(F.lit("The Gate")), F.lit("gate")))
 
 
+REQUEST = "request_id string, source string, source_kind string, content string, summary string, reason_to_remember string, tags array<string>, scope string, sensitivity string, proposed_type string, extraction_confidence double"
+
+
+def test_capture_batch(spark):
+    rows = [
+        ("r1", "app", "event", json.dumps({"ref": "evt-1", "text": "t", "project": "Orchid"}), None, "why", ["A"], "s1", None, None, None),
+        ("r2", "app", "observation", json.dumps({"subject": "Orchid", "predicate": "deploy_target_for", "object": "staging"}), None, None, None, "s2", None, None, None),
+        ("r3", None, None, None, None, None, None, None, None, None, None), (None, None, "event", "{}", None, None, None, None, None, None, None),
+    ]
+    req = spark.createDataFrame(rows + rows[:1], REQUEST)
+    ents = spark.createDataFrame([("entity-1", "Orchid", "s1")], "entity_id string, canonical_name string, scope string")
+    terms = ents.select(F.lower("canonical_name").alias("term"), "entity_id", "scope")
+    line = spark.createDataFrame([("old", "EVT-1 "), ("old2", None)], "id string, ref string")
+    out = {k: df.collect() for k, df in capture.capture_batch(req, records(spark, record("old")), ents, terms, line, AS_OF).items()}
+    assert sorted(r["type"] for r in out["records"]) == ["episodic"] * 3 and len(out["facts"]) == 1 and [e["canonical_name"] for e in out["entities"]] == ["Orchid"]
+    kinds = sorted((e["predicate"], e["target_id"] in ("entity-1", "old")) for e in out["edges"])
+    assert kinds == sorted([("mentions_entity", True), ("mentioned_in", False), ("references_record", True), ("referenced_by", False), ("mentions_entity", False), ("mentioned_in", False), ("derived_semantic", False), ("derived_from", False)])
+    none = {k: df.collect() for k, df in capture.capture_batch(req.limit(0), records(spark, record("old")), ents, terms, line, AS_OF).items()}
+    assert all(v == [] for v in none.values())
+
+
+def test_run_all(spark):
+    recs = records(spark, *[record(f"e{i}", type="episodic", created_at=ago(hours=30 + i)) for i in range(2)]).withColumn("outcome", F.lit("success"))
+    line = spark.createDataFrame([("e0", 1, "build", "ok"), ("e1", 1, "known", "ok")], "record_id string, place int, event_kind string, summary string")
+    nodes = spark.createDataFrame([(e, i, f"n{i}", t, []) for e in ("e0", "e1") for i, t in enumerate("abc")], "record_id string, place int, node string, tool string, deps array<string>")
+    facts = spark.createDataFrame([("known", "f", 0.5)], "subject string, fact_id string, salience double")
+    skill = spark.createDataFrame([], "skill_name string, skill_id string, salience double")
+    out, counts = consolidate.run_all(recs, line, nodes, facts, skill, spark.createDataFrame([("e1",)], "record_id string"), AS_OF)
+    assert {r["counter"]: r["n"] for r in counts.collect()} == {"episodes_compressed": 2, "facts_created": 1, "facts_reinforced": 1, "skills_created": 1, "skills_reinforced": 0, "plans_created": 1}
+    assert out["skills"].first()["skill_name"] == "skill:a+b+c"
+
+
 # --- sources and streams
 
 
