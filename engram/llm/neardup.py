@@ -1,8 +1,8 @@
 """Near-duplicate records with small edits: an exact set-similarity join with grouped prefixes.
 
 Texts become sets of words; equal sets are one set. Sets of usual sizes share, if similar, at least two words within
-slightly longer prefixes, so they meet on pairs of prefix words, which stay rare when single words are in many sets;
-small and very large sets meet on single prefix words. Words are ordered from rare to frequent by a count over all sets,
+slightly longer prefixes, so they meet on a rare prefix word or on a pair of frequent ones; small and very large sets
+meet on single prefix words. Words are ordered from rare to frequent by a count over all sets,
 kept as a histogram of fixed size (hash buckets), so what is broadcast does not grow with the data; any total order
 gives the same pairs. Sets with the same size and the same prefix in that order form one group. Groups that share a
 prefix key and pass the length, position and bitmap filters are candidates; only then are groups expanded into
@@ -27,6 +27,9 @@ WORD = "[a-z0-9]+"
 #: Sets from the first to the second size meet on pairs of words (a set of n words makes about (0.4 n)^2 / 2 of them at
 #: 0.6); sets outside meet on single words, and so do those near the ends, whose partners may lie outside.
 PAIRED = (4, 64)
+#: A word in no more sets than this is a key by itself: if the first word that two sets share is rare, they meet on it,
+#: else all shared words are frequent, and they meet on a pair of frequent ones.
+RARE = 256
 
 
 def words(text: Column) -> Column:
@@ -42,7 +45,7 @@ def shingles(text: Column, n: int = 5) -> Column:
     )
 
 
-def _prefixes(counts: np.ndarray, num: int, den: int):
+def _prefixes(counts: np.ndarray, num: int, den: int, rare: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
@@ -56,7 +59,7 @@ def _prefixes(counts: np.ndarray, num: int, den: int):
             bit = (flat >> 20) & 127
             one = np.left_shift(np.int64(1), bit & 63)
             low, high = (np.bitwise_or.reduceat(np.where(part, one, 0), start) for part in (bit < 64, bit >= 64))
-            yield pd.DataFrame({"set_id": pdf["set_id"], "tokens": pdf["tokens"], "prefix": [flat[a : a + k] for a, k in zip(start, keep)], "low": low, "high": high})
+            yield pd.DataFrame({"set_id": pdf["set_id"], "tokens": pdf["tokens"], "prefix": [flat[a : a + k] for a, k in zip(start, keep)], "low": low, "high": high, "rare": np.add.reduceat(counts[flat & (BUCKETS - 1)] <= rare, start, dtype=np.int64)})
 
     return scan
 
@@ -77,25 +80,27 @@ def similar_sets(rows: DataFrame, num: int = 4, den: int = 5, min_size: int = 1)
     counts = np.zeros(BUCKETS, np.int64)
     for b, n in heard.toPandas().itertuples(index=False):  # at most BUCKETS rows
         counts[b] = n
-    grouped = sets.mapInPandas(_prefixes(counts, num, den), "set_id binary, tokens array<long>, prefix array<long>, low long, high long")
+    grouped = sets.mapInPandas(_prefixes(counts, num, den, RARE), "set_id binary, tokens array<long>, prefix array<long>, low long, high long, rare int")
     gid = F.unhex(F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), F.col("prefix").cast("array<string>"))))
-    grouped = stage(grouped.select("set_id", "tokens", "prefix", "low", "high", F.size("tokens").alias("size"), gid.alias("gid")))
+    grouped = stage(grouped.select("set_id", "tokens", "prefix", "low", "high", "rare", F.size("tokens").alias("size"), gid.alias("gid")))
     agree = lambda c: F.bitwise_not(F.bit_or(c).bitwiseXOR(F.bit_and(c)))
     groups = grouped.groupBy("gid").agg(
-        F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count("*").alias("members"),
+        F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.max("rare").alias("rare"), F.count("*").alias("members"),
         F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), agree("low").alias("low_same"), agree("high").alias("high_same"),
     )
     n = F.col("size")
     one = (n - F.ceil(F.lit(num) * n / F.lit(den)) + 1).cast("int")  # the prefix in which similar sets share a word
     few, many = PAIRED
     # rest: how many words two sets can share if the key's words are the first that they share
-    single = F.transform(F.slice("prefix", F.lit(1), one), lambda w, i: F.struct(F.xxhash64(F.lit(1), w).alias("w"), (n - i).alias("rest")))
-    pair = lambda w, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda x, m: F.struct(F.xxhash64(F.lit(2), w, x).alias("w"), (n - i - m).alias("rest")))
+    alone = (n * num < few * den) | (n * den >= many * num)
+    first = F.when(alone, one).otherwise(F.least(one, "rare"))
+    single = F.transform(F.slice("prefix", F.lit(1), first), lambda w, i: F.struct(F.xxhash64(F.lit(1), w).alias("w"), (n - i).alias("rest")))
+    pair = lambda w, i: F.transform(
+        F.slice("prefix", i + 2, F.when(i >= F.col("rare"), F.size("prefix")).otherwise(0)), lambda x, m: F.struct(F.xxhash64(F.lit(2), w, x).alias("w"), (n - i - m).alias("rest"))
+    )
     pairs_ = F.flatten(F.transform("prefix", pair))
     none = F.array().cast("array<struct<w:bigint,rest:int>>")
-    keys = F.concat(
-        F.when((n * num < few * den) | (n * den >= many * num), single).otherwise(none), F.when((n >= few) & (n <= many), pairs_).otherwise(none)
-    )
+    keys = F.concat(single, F.when((n >= few) & (n <= many), pairs_).otherwise(none))
     at = groups.select("gid", "size", "low", "high", "low_same", "high_same", F.inline(keys))
     a, b = (at.select("w", *[F.col(c).alias(f"{c}_{s}") for c in at.columns if c != "w"]) for s in "ab")
     both = F.col("size_a") + F.col("size_b")

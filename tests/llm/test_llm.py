@@ -137,8 +137,9 @@ def brute_pairs(rows, num, den, least):
     return {(f, min(a, b), max(a, b)) for (f, a, x), (g, b, y) in itertools.combinations(w, 2) if f == g and len(x & y) * den >= num * len(x | y)}
 
 
-@pytest.mark.parametrize("num,den,least", [(3, 5, 6), (4, 5, 1)])
-def test_near_duplicates(spark, num, den, least):
+@pytest.mark.parametrize("num,den,least,rare", [(3, 5, 6, 256), (4, 5, 1, 5), (3, 5, 1, 0)])
+def test_near_duplicates(spark, monkeypatch, num, den, least, rare):
+    monkeypatch.setattr(neardup, "RARE", rare)
     rnd = random.Random(num)
     vocab = [f"w{i}" for i in range(60)] + ["the", "of", "a"] * 4
     rows = []
