@@ -13,7 +13,7 @@ def at_k(ranked: DataFrame, expected: DataFrame, queries: DataFrame) -> DataFram
     nothing has recall and NDCG 1, and precision and MRR 0.
     """
     want = expected.select("query_id", "id").distinct()
-    hits = ranked.join(F.broadcast(queries.select("query_id", "k")), "query_id").where(F.col("rank") <= F.col("k")).join(want, ["query_id", "id"])
+    hits = ranked.join(queries.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k")).join(want, ["query_id", "id"])
     got = hits.groupBy("query_id").agg(F.count_distinct("id").alias("hit"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     n = want.groupBy("query_id").agg(F.count("*").alias("n"))
     df = queries.select("query_id", "k").join(n, "query_id", "left").join(got, "query_id", "left").fillna(0, ["n", "hit"]).fillna(0.0, ["dcg"])
