@@ -243,8 +243,16 @@ def compress(spark, d):
 # --- consolidation
 
 
+# No table tells the outcome of an episode that has a timeline or a tool graph. Queries named *_all take every episode;
+# the others keep to the ids that their SQL takes for successful (or, for plans, for not planned yet).
+
+
 def _told(spark, d):
-    return v.line(spark, d).where(v.digit() % 3 == 0).select(F.col("id").alias("record_id"), F.struct("id", "pos").alias("place"), "event_kind", "summary")
+    return v.line(spark, d).select(F.col("id").alias("record_id"), F.struct("id", "pos").alias("place"), "event_kind", "summary")
+
+
+def _told_part(spark, d):
+    return _told(spark, d).where(v.digit("record_id") % 3 == 0)
 
 
 def _known_facts(spark, d):
@@ -252,48 +260,85 @@ def _known_facts(spark, d):
 
 
 TOLD = f"SELECT * FROM line WHERE {v._DIGIT} % 3 = 0 AND trim(coalesce(event_kind, '')) <> '' AND trim(coalesce(summary, '')) <> ''"
+TOLD_ALL = "SELECT * FROM line WHERE trim(coalesce(event_kind, '')) <> '' AND trim(coalesce(summary, '')) <> ''"
+NEW_FACTS = """SELECT event_kind AS subject, 'observed_in' AS predicate, first(summary ORDER BY id, pos) AS object, first(id ORDER BY id, pos) AS derived_from, count(*) - 1 AS reinforcements
+    FROM told WHERE event_kind NOT IN ('heartbeat', 'approval') GROUP BY 1"""
+MORE_FACTS = "SELECT 'fact-' || event_kind AS fact_id, CASE event_kind WHEN 'heartbeat' THEN 1.0 ELSE 0.5 END::DOUBLE AS salience, count(*) AS matches FROM told WHERE event_kind IN ('heartbeat', 'approval') GROUP BY 1, 2"
 
 
-@query("ref_semantic_new", sql("line", """SELECT event_kind AS subject, 'observed_in' AS predicate, first(summary ORDER BY id, pos) AS object, first(id ORDER BY id, pos) AS derived_from, count(*) - 1 AS reinforcements
-    FROM told WHERE event_kind NOT IN ('heartbeat', 'approval') GROUP BY 1""", told=TOLD))
+@query("ref_semantic_new", sql("line", NEW_FACTS, told=TOLD))
 def semantic_new(spark, d):
+    return consolidate.semantic_facts(_told_part(spark, d), _known_facts(spark, d))[0]
+
+
+@query("ref_semantic_new_all", sql("line", NEW_FACTS, told=TOLD_ALL))
+def semantic_new_all(spark, d):
     return consolidate.semantic_facts(_told(spark, d), _known_facts(spark, d))[0]
 
 
-@query("ref_semantic_reinforced", sql("line", "SELECT 'fact-' || event_kind AS fact_id, CASE event_kind WHEN 'heartbeat' THEN 1.0 ELSE 0.5 END::DOUBLE AS salience, count(*) AS matches FROM told WHERE event_kind IN ('heartbeat', 'approval') GROUP BY 1, 2", told=TOLD))
+@query("ref_semantic_reinforced", sql("line", MORE_FACTS, told=TOLD))
 def semantic_reinforced(spark, d):
+    return consolidate.semantic_facts(_told_part(spark, d), _known_facts(spark, d))[1].select("fact_id", r6("salience", "salience"), "matches")
+
+
+@query("ref_semantic_reinforced_all", sql("line", MORE_FACTS, told=TOLD_ALL))
+def semantic_reinforced_all(spark, d):
     return consolidate.semantic_facts(_told(spark, d), _known_facts(spark, d))[1].select("fact_id", r6("salience", "salience"), "matches")
 
 
-@query("ref_skills", sql("node rec", """SELECT 'skill:' || sig AS skill_name, count(*) AS success_count, CASE WHEN count(DISTINCT scope) = 1 THEN min(scope) ELSE 'consolidated:mixed-scope' END AS scope,
-    CASE max(rank) WHEN 0 THEN 'public' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' WHEN 4 THEN 'hyper' ELSE 'low' END AS sensitivity FROM bags JOIN rec USING (id) WHERE digit % 3 = 0 GROUP BY sig HAVING count(*) >= 2""",
-    bags="SELECT id, string_agg(trim(tool), '+' ORDER BY trim(tool)) AS sig FROM node WHERE trim(coalesce(tool, '')) <> '' GROUP BY id"))
-def skills(spark, d):
+BAGS = "SELECT id, string_agg(trim(tool), '+' ORDER BY trim(tool)) AS sig FROM node WHERE trim(coalesce(tool, '')) <> '' GROUP BY id"
+SKILLS = """SELECT 'skill:' || sig AS skill_name, count(*) AS success_count, CASE WHEN count(DISTINCT scope) = 1 THEN min(scope) ELSE 'consolidated:mixed-scope' END AS scope,
+    CASE max(rank) WHEN 0 THEN 'public' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' WHEN 4 THEN 'hyper' ELSE 'low' END AS sensitivity FROM bags JOIN rec USING (id) WHERE digit % 3 = 0 GROUP BY sig HAVING count(*) >= 2"""
+
+
+def _skills(spark, d, good):
     tools = v.node(spark, d).select(F.col("id").alias("record_id"), F.col("node_id").alias("place"), "tool")
-    good = v.rec(spark, d).where(v.digit() % 3 == 0).select(F.col("id").alias("record_id"), F.col("created_at").alias("place"), "scope", "sensitivity")
     none = spark.createDataFrame([], "skill_name string, skill_id string, salience double")
-    return consolidate.skills(tools, good, none)[0].select("skill_name", "success_count", "scope", "sensitivity")
+    episodes = good.select(F.col("id").alias("record_id"), F.col("created_at").alias("place"), "scope", "sensitivity")
+    return consolidate.skills(tools, episodes, none)[0].select("skill_name", "success_count", "scope", "sensitivity")
+
+
+@query("ref_skills", sql("node rec", SKILLS, bags=BAGS))
+def skills(spark, d):
+    return _skills(spark, d, v.rec(spark, d).where(v.digit() % 3 == 0))
+
 
+@query("ref_skills_all", sql("node rec", SKILLS.replace("WHERE digit % 3 = 0 ", ""), bags=BAGS))
+def skills_all(spark, d):
+    return _skills(spark, d, v.rec(spark, d))
 
-def _plans(spark, d):
+
+def _plans(spark, d, done):
     nodes = v.node(spark, d).select(F.col("id").alias("record_id"), F.col("node_id").alias("node"), "tool", "deps")
     events = v.line(spark, d).select(F.col("id").alias("record_id"), F.col("pos").alias("place"), "event_kind")
-    done = v.rec(spark, d).where(v.digit() == 3).select(F.col("id").alias("record_id"))
-    return consolidate.plans(nodes, events, done)
+    return consolidate.plans(nodes, events, done.select(F.col("id").alias("record_id")))
 
 
 BIG = f"SELECT id, count(*) AS n FROM node WHERE {v._DIGIT} <> 3 GROUP BY id HAVING count(*) >= 3"
+BIG_ALL = "SELECT id, count(*) AS n FROM node WHERE id IS NOT NULL GROUP BY id HAVING count(*) >= 3"
+PLANS = """SELECT b.id AS record_id, b.n AS n_nodes, coalesce(i.k, 'unknown') AS intent FROM big b LEFT JOIN
+    (SELECT id, first(event_kind ORDER BY pos) AS k FROM line WHERE trim(coalesce(event_kind, '')) <> '' GROUP BY id) i USING (id)"""
+PLAN_EDGES = "SELECT n.id AS record_id, unnest(n.deps) AS from_node, n.node_id AS to_node, 'control' AS kind FROM node n JOIN big USING (id)"
 
 
-@query("ref_plans", sql("node line", """SELECT b.id AS record_id, b.n AS n_nodes, coalesce(i.k, 'unknown') AS intent FROM big b LEFT JOIN
-    (SELECT id, first(event_kind ORDER BY pos) AS k FROM line WHERE trim(coalesce(event_kind, '')) <> '' GROUP BY id) i USING (id)""", big=BIG))
+@query("ref_plans", sql("node line", PLANS, big=BIG))
 def plans(spark, d):
-    return _plans(spark, d)[0].select("record_id", "n_nodes", "intent")
+    return _plans(spark, d, v.rec(spark, d).where(v.digit() == 3))[0].select("record_id", "n_nodes", "intent")
+
+
+@query("ref_plans_all", sql("node line", PLANS, big=BIG_ALL))
+def plans_all(spark, d):
+    return _plans(spark, d, v.rec(spark, d).limit(0))[0].select("record_id", "n_nodes", "intent")
 
 
-@query("ref_plan_edges", sql("node", "SELECT n.id AS record_id, unnest(n.deps) AS from_node, n.node_id AS to_node, 'control' AS kind FROM node n JOIN big USING (id)", big=BIG))
+@query("ref_plan_edges", sql("node", PLAN_EDGES, big=BIG))
 def plan_edges(spark, d):
-    return _plans(spark, d)[1]
+    return _plans(spark, d, v.rec(spark, d).where(v.digit() == 3))[1]
+
+
+@query("ref_plan_edges_all", sql("node", PLAN_EDGES, big=BIG_ALL))
+def plan_edges_all(spark, d):
+    return _plans(spark, d, v.rec(spark, d).limit(0))[1]
 
 
 @query("ref_unclaimed", sql("rec", f"SELECT id AS record_id, row_number() OVER (ORDER BY created_at, id) AS place FROM rec WHERE type = 'episodic' AND digit NOT IN (1, 2) ORDER BY created_at, id LIMIT 50"))

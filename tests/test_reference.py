@@ -429,3 +429,26 @@ def test_token_bucket_and_streams(spark, tmp_path):
     s = jobs.capture_stream(spark.readStream.schema(req.schema).parquet(str(tmp_path / "req")), lambda b, n: got.extend(r["request_id"] for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert s.awaitTermination(90)
     assert sorted(got) == ["r1", "r2"]
+
+
+# --- queries over whole tables
+
+
+def test_consolidation_takes_every_episode(spark, sf):
+    import pandas as pd
+
+    from engram.plans.reference import QUERIES
+
+    filled = lambda c: c.fillna("").str.strip() != ""
+    line = pd.read_parquet(f"{sf}/timeline_events.parquet")
+    line = line.assign(id=line["record_id"].str.strip().str.lower()).sort_values("ingested_at").drop_duplicates(["id", "pos"], keep="last")
+    told = int((filled(line["event_kind"]) & filled(line["summary"])).sum())
+    new = QUERIES["ref_semantic_new_all"](spark, sf).agg(F.sum(F.col("reinforcements") + 1)).first()[0]
+    assert new + QUERIES["ref_semantic_reinforced_all"](spark, sf).agg(F.sum("matches")).first()[0] == told
+    node = pd.read_parquet(f"{sf}/tool_nodes.parquet")
+    node = node.assign(id=node["record_id"].str.strip().str.lower()).sort_values("called_at").drop_duplicates(["id", "node_id"], keep="last")
+    big = node.groupby("id").filter(lambda g: len(g) >= 3)
+    assert QUERIES["ref_plans_all"](spark, sf).count() == big["id"].nunique()
+    assert QUERIES["ref_plan_edges_all"](spark, sf).count() == sum(0 if x is None else len(x) for x in big["depends_on"])
+    bags = node[filled(node["tool"])].groupby("id")["tool"].agg(lambda t: "+".join(sorted(x.strip() for x in t))).value_counts()
+    assert {r["skill_name"]: r["success_count"] for r in QUERIES["ref_skills_all"](spark, sf).collect()} == {f"skill:{k}": n for k, n in bags.items() if n >= 2}
