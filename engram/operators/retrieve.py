@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +54,60 @@ def selection_confidence(scored: DataFrame, threshold: float = 0.7, by: Sequence
     return out.withColumn("confidence", conf).withColumn("needs_more", F.col("confidence") < threshold)
 
 
-def vector_rank(candidates: DataFrame, embeddings: DataFrame, query: Sequence[float], model_size: int | None = None) -> DataFrame:
+#: Vectors of a block: two blocks and their pairs fit a task.
+BLOCK = 256
+
+
+def _blocks(vectors: DataFrame, id_: str, prefix: str) -> DataFrame:
+    """Vectors of one size packed into rows of about BLOCK: ids, all numbers in a row, and their size."""
+    rows = vectors.where(F.size("embedding") > 0).select(F.col(id_).cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-vectors.count() // BLOCK))))
+    packed = rows.groupBy(F.size("v").alias("size"), block.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("m"))
+    return packed.select(F.col("m.id").alias(f"{prefix}_ids"), F.flatten("m.v").alias(f"{prefix}_flat"), F.col("size").alias(f"{prefix}_size"))
+
+
+def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """cosine01 of all pairs of two blocks; each pair is summed alike, so equal vectors tie."""
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if row.q_size != row.e_size:
+                continue
+            q, e = (np.asarray(x, dtype=float).reshape(-1, row.q_size) for x in (row.q_flat, row.e_flat))
+            norms = np.sqrt((e * e).sum(axis=1))
+            for name, x in zip(row.q_ids, q):
+                length = norms * np.sqrt((x * x).sum())
+                cos = (e * x).sum(axis=1) / np.where(length == 0, 1.0, length)
+                yield pd.DataFrame({"query_id": name, "record_id": row.e_ids, "similarity": (np.clip(cos, -1.0, 1.0) + 1) / 2})
+
+
+def similarities(queries: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(query_id, record_id, similarity) for each query (query_id, embedding) and each stored vector of its size."""
+    pairs = _blocks(embeddings, "record_id", "e").crossJoin(_blocks(queries, "query_id", "q"))
+    return pairs.mapInPandas(_similar, "query_id string, record_id string, similarity double")
+
+
+def vector_rank(candidates: DataFrame, embeddings: DataFrame, query: Sequence[float] | DataFrame, model_size: int | None = None) -> DataFrame:
     """Candidates with ``vector_rank`` (0 = nearest) and ``vector_score`` = 1 - rank / hits; null where no hit.
 
-    Hits are the nearest of all stored vectors, also of records that are no candidates: max(500, 10 n) of them.
+    Hits are the nearest of all stored vectors, also of records that are no candidates: max(500, 10 n) of them. For a
+    table of queries (query_id, embedding) each has its own hits, and each candidate comes once for each query.
     """
-    vector = F.array(*[F.lit(float(x)) for x in query])
     n = max(LEAST_HITS, HITS_EACH * candidates.count())
-    near = (
-        embeddings.where(F.size("embedding") == (model_size or len(query)))
-        .select("record_id", cosine01(F.col("embedding"), vector).alias("similarity"))
-        .orderBy(F.desc("similarity"), "record_id")
-        .limit(n)
-    )
-    order = Window.orderBy(F.desc("similarity"), "record_id")  # over the limited hits
-    ranked = near.withColumn("vector_rank", F.row_number().over(order) - 1).withColumn("hits", F.count("*").over(Window.partitionBy()))
-    scored = ranked.select(F.col("record_id").alias("id"), "similarity", "vector_rank", (1 - F.col("vector_rank") / F.col("hits")).alias("vector_score"))
-    return candidates.join(scored, "id", "left")
+    if isinstance(query, DataFrame):
+        near, by = similarities(query, embeddings), ["query_id"]
+        asked = candidates.crossJoin(query.select(F.col("query_id").cast("string").alias("query_id")).distinct())
+    else:
+        vector, by, asked = F.array(*[F.lit(float(x)) for x in query]), [], candidates
+        near = (
+            embeddings.where(F.size("embedding") == (model_size or len(query)))
+            .select("record_id", cosine01(F.col("embedding"), vector).alias("similarity"))
+            .orderBy(F.desc("similarity"), "record_id")
+            .limit(n)
+        )
+    order = Window.partitionBy(*by).orderBy(F.desc("similarity"), "record_id")  # over the limited hits, or those of a query
+    ranked = near.withColumn("vector_rank", F.row_number().over(order) - 1).where(F.col("vector_rank") < n).withColumn("hits", F.count("*").over(Window.partitionBy(*by)))
+    scored = ranked.select(*by, F.col("record_id").alias("id"), "similarity", "vector_rank", (1 - F.col("vector_rank") / F.col("hits")).alias("vector_score"))
+    return asked.join(scored, [*by, "id"], "left")
 
 
 def hybrid_order(ranked: DataFrame, selected: DataFrame | None = None) -> DataFrame:

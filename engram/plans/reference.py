@@ -133,6 +133,35 @@ def hybrid(spark, d):
     return retrieve.hybrid_order(retrieve.vector_rank(cand, emb, q)).select("id", r6("hybrid_score", "hybrid"), "band")
 
 
+# Each vector whose number 50 divides, against all vectors.
+EVERY = 50
+NEAR_ALL = f"""SELECT q_id, vec_id, (list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) + 1) / 2 AS sim FROM
+    (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT vec_id AS q_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % {EVERY} = 0)"""
+
+
+def _searches(spark, d):
+    emb = table(spark, d, "embeddings")
+    doc = F.concat(F.lit("doc-"), "vec_id")
+    return emb.select(doc.alias("record_id"), "embedding"), emb.where(F.col("vec_id") % EVERY == 0).select(doc.alias("query_id"), "embedding")
+
+
+@query("ref_vector_similarity_all", sql("", f"SELECT 'doc-' || q_id AS query_id, 'doc-' || vec_id AS record_id, round(sim, 6) AS similarity FROM ({NEAR_ALL})"))
+def vector_similarity_all(spark, d):
+    emb, asked = _searches(spark, d)
+    return retrieve.similarities(asked, emb).select("query_id", "record_id", r6("similarity", "similarity"))
+
+
+@query("ref_hybrid_rank_all", sql("", """SELECT q.query_id, c.id, round(0.7 * (1 - (no - 1) / n) + 0.3 * salience, 6) AS hybrid, CASE WHEN no IS NULL THEN 2 ELSE 1 END AS band
+    FROM cand c CROSS JOIN (SELECT DISTINCT query_id FROM hits) q LEFT JOIN hits h ON c.id = h.id AND h.query_id = q.query_id""",
+    cand="SELECT 'doc-' || doc_id AS id, least(coalesce(n_chars, 0) / 2000.0, 1.0) AS salience FROM documents",
+    hits=f"""SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT 'doc-' || q_id AS query_id, 'doc-' || vec_id AS id, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, 'doc-' || vec_id) AS no
+    FROM ({NEAR_ALL})) WHERE no <= (SELECT greatest(500, 10 * count(*)) FROM documents)"""))
+def hybrid_all(spark, d):
+    emb, asked = _searches(spark, d)
+    cand = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), F.least(F.coalesce("n_chars", F.lit(0)) / 2000.0, F.lit(1.0)).alias("salience"))
+    return retrieve.hybrid_order(retrieve.vector_rank(cand, emb, asked)).select("query_id", "id", r6("hybrid_score", "hybrid"), "band")
+
+
 # --- entities and graph
 
 TERMS = "SELECT DISTINCT lower(trim(n)) AS term, entity_id, scope FROM (SELECT entity_id, scope, unnest(list_concat([canonical_name], [a.value FOR a IN coalesce(aliases, [])])) AS n FROM ent) WHERE trim(n) <> ''"

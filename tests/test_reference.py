@@ -452,3 +452,16 @@ def test_consolidation_takes_every_episode(spark, sf):
     assert QUERIES["ref_plan_edges_all"](spark, sf).count() == sum(0 if x is None else len(x) for x in big["depends_on"])
     bags = node[filled(node["tool"])].groupby("id")["tool"].agg(lambda t: "+".join(sorted(x.strip() for x in t))).value_counts()
     assert {r["skill_name"]: r["success_count"] for r in QUERIES["ref_skills_all"](spark, sf).collect()} == {f"skill:{k}": n for k, n in bags.items() if n >= 2}
+
+
+def test_vector_rank_of_a_query_set(spark):
+    vecs = {"a": [1.0, 0.0], "b": [0.0, 1.0], "c": [1.0, 1.0], "z": [0.0, 0.0], "long": [1.0, 0.0, 0.0]}
+    emb = spark.createDataFrame(list(vecs.items()), "record_id string, embedding array<double>")
+    cand = spark.createDataFrame([("a",), ("b",), ("none",)], "id string")
+    asked = emb.where("record_id in ('a', 'b', 'z')").withColumnRenamed("record_id", "query_id")
+    got = {(r["query_id"], r["id"]): (r["vector_rank"], r["vector_score"], r["similarity"]) for r in retrieve.vector_rank(cand, emb, asked).collect()}
+    assert len(got) == 9 and got["a", "a"] == (0, 1.0, 1.0) and got["b", "b"] == (0, 1.0, 1.0) and got["a", "none"] == (None, None, None)
+    assert got["a", "b"] == (2, 0.5, 0.5) and got["z", "b"] == (1, 0.75, 0.5)
+    for q in ("a", "b", "z"):
+        one = {r["id"]: (r["vector_rank"], r["vector_score"]) for r in retrieve.vector_rank(cand, emb, vecs[q]).collect()}
+        assert one == {i: x[:2] for (k, i), x in got.items() if k == q}
