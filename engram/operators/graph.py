@@ -1,4 +1,4 @@
-"""Roots of a query and their bounded neighbourhood in the relation graph."""
+"""Roots of a query and their neighbourhood, bounded or whole, in the relation graph."""
 
 from __future__ import annotations
 
@@ -18,9 +18,11 @@ OVERFETCH = 3
 
 @dataclass(frozen=True)
 class Limits:
+    """``nodes`` or ``edges`` None: no limit."""
+
     roots: int = 10
-    nodes: int = 25
-    edges: int = 100
+    nodes: int | None = 25
+    edges: int | None = 100
     hops: int = 1
 
 
@@ -67,39 +69,55 @@ def rank_roots(base: DataFrame, boosts: DataFrame, limit: int) -> DataFrame:
     return top.withColumn("root_rank", F.row_number().over(Window.orderBy(F.desc("score"), "place")) - 1).drop("n")
 
 
+def _numbered(rows: DataFrame, order: list[str], start: int) -> DataFrame:
+    """Rows with ``place`` from ``start`` + 1 in order, numbered within ranges; only the sizes of the ranges meet in one task."""
+    parts = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    no = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.join(F.broadcast(before), "part").withColumn("place", (F.col("before") + no + start).cast("long")).drop("part", "before")
+
+
 def expand(roots: DataFrame, relations: DataFrame, records: DataFrame, trust: Trust | None, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around roots (id, root_rank): breadth first, by rank and edge order, within the limits.
 
     nodes: id, hop, place, root; edges: source_id, predicate, target_id, weight, place. The first new visible targets
     of a hop, in order, are admitted while there is room; edges to admitted nodes are kept, each once, until the edge
     limit. Both are top-k cuts, so a node with any number of edges stays spread over its tasks; what is broadcast and
-    numbered is bounded by the limits. Only counts reach the driver.
+    numbered is bounded by the limits. Without a limit on nodes or edges (None) nothing is cut there, no broadcast is
+    asked for, and edges are numbered by ranges. Only counts reach the driver.
     """
+    small = F.broadcast if limits.nodes is not None and limits.edges is not None else lambda df: df
     key = ["source_id", "predicate", "target_id"]
     place = ["from_place", "seq", "predicate", "target_id"]
     seen = visible(records, trust).select(F.col("id").alias("target_id"))
     nodes = stage(
-        roots.orderBy("root_rank").limit(limits.nodes).select("id", F.lit(0).alias("hop"), F.col("root_rank").cast("long").alias("place"), F.lit(True).alias("root"))
+        (roots if limits.nodes is None else roots.orderBy("root_rank").limit(limits.nodes)).select("id", F.lit(0).alias("hop"), F.col("root_rank").cast("long").alias("place"), F.lit(True).alias("root"))
     )
     edges = None
     frontier, n_nodes, n_edges = nodes, nodes.count(), 0
     for hop in range(1, limits.hops + 1):
-        if n_edges >= limits.edges:
+        if limits.edges is not None and n_edges >= limits.edges:
             break
-        out = relations.join(F.broadcast(frontier.select(F.col("id").alias("source_id"), F.col("place").alias("from_place"))), "source_id")
+        out = relations.join(small(frontier.select(F.col("id").alias("source_id"), F.col("place").alias("from_place"))), "source_id")
         out = out.groupBy(*key).agg(F.min(F.struct("from_place", "seq", "weight")).alias("m")).select(*key, "m.from_place", "m.seq", "m.weight")
         if edges is not None:
-            out = out.join(F.broadcast(edges.select(*key)), key, "left_anti")
+            out = out.join(small(edges.select(*key)), key, "left_anti")
         known = nodes.select(F.col("id").alias("target_id"))
-        new = out.join(F.broadcast(known), "target_id", "left_anti").join(seen, "target_id", "left_semi")
+        new = out.join(small(known), "target_id", "left_anti").join(seen, "target_id", "left_semi")
         first = new.groupBy("target_id").agg(F.min(F.struct("from_place", "seq", "predicate")).alias("first"))
-        admitted = stage(first.orderBy("first", "target_id").limit(max(0, limits.nodes - n_nodes)).select("target_id"))
-        kept = out.join(F.broadcast(known.unionByName(admitted)), "target_id", "left_semi").orderBy(*place).limit(limits.edges - n_edges)
-        kept = stage(kept.withColumn("place", (F.row_number().over(Window.orderBy(*place)) + n_edges).cast("long")))
+        admitted = first if limits.nodes is None else first.orderBy("first", "target_id").limit(max(0, limits.nodes - n_nodes))
+        admitted = stage(admitted.select("target_id"))
+        kept = out.join(small(known.unionByName(admitted)), "target_id", "left_semi")
+        if limits.edges is None:
+            kept = stage(_numbered(kept, place, n_edges))
+        else:
+            kept = kept.orderBy(*place).limit(limits.edges - n_edges)
+            kept = stage(kept.withColumn("place", (F.row_number().over(Window.orderBy(*place)) + n_edges).cast("long")))
         step = kept.select(*key, "weight", "place")
         edges = step if edges is None else edges.unionByName(step)
         frontier = stage(
-            kept.join(F.broadcast(admitted), "target_id", "left_semi")
+            kept.join(small(admitted), "target_id", "left_semi")
             .groupBy(F.col("target_id").alias("id"))
             .agg(F.min("place").alias("place"))
             .select("id", F.lit(hop).alias("hop"), "place", F.lit(False).alias("root"))

@@ -212,7 +212,6 @@ def linked_boost(spark, d):
     return graph.linked_boost(_links(spark, d), e, F.lit("obsidian-registry")).select("id", F.col("linked").cast("long").alias("linked"))
 
 
-WIDE = graph.Limits(1, 20_000, 100_000, 1)
 NODES = "SELECT id FROM rec UNION ALL SELECT entity_id FROM ent"
 
 
@@ -220,7 +219,7 @@ def _graph(spark, d, hops):
     e = v.ent(spark, d)
     roots = e.where(norm("canonical_name") == "obsidian-registry").select(F.col("entity_id").alias("id"), F.lit(0).alias("root_rank"))
     all_ = v.rec(spark, d).select("id").unionByName(e.select(F.col("entity_id").alias("id")))
-    return graph.expand(roots, _links(spark, d), all_, None, graph.Limits(1, WIDE.nodes, WIDE.edges, hops))
+    return graph.expand(roots, _links(spark, d), all_, None, graph.Limits(1, None, None, hops))
 
 
 @query("ref_graph_1hop", sql("rec ent mention", """SELECT source_id, predicate, target_id FROM links WHERE source_id = (SELECT entity_id FROM ent WHERE lower(trim(canonical_name)) = 'obsidian-registry')

@@ -465,3 +465,16 @@ def test_vector_rank_of_a_query_set(spark):
     for q in ("a", "b", "z"):
         one = {r["id"]: (r["vector_rank"], r["vector_score"]) for r in retrieve.vector_rank(cand, emb, vecs[q]).collect()}
         assert one == {i: x[:2] for (k, i), x in got.items() if k == q}
+
+
+def test_expansion_without_limits(spark):
+    nodes = [("root", 1.0), ("first", 0.9), ("second", 0.8), ("leaf", 0.7)]
+    edges = [("root", "related", "first"), ("root", "related", "first"), ("root", "supports", "second"), ("first", "related", "leaf"), ("root", "x", "missing"), ("first", "back", "root")]
+    n, e = expand(spark, edges, nodes, graph.Limits(1, None, None, 2))
+    assert (n, e) == expand(spark, edges, nodes, graph.Limits(1, 99, 99, 2)) and len(n) == 4 and len(e) == 4
+    assert len(expand(spark, edges, nodes, graph.Limits(1, None, 1, 2))[1]) == 1 and len(expand(spark, edges, nodes, graph.Limits(1, 2, None, 2))[0]) == 2
+    many = spark.range(25_000).select(F.concat(F.lit("r"), "id").alias("target_id"), F.col("id").alias("seq"))
+    rel = many.select(F.lit("e").alias("source_id"), F.lit("mentioned_in").alias("predicate"), "target_id", F.lit(1.0).alias("weight"), "seq")
+    root, all_ = spark.createDataFrame([("e", 0)], "id string, root_rank int"), many.select(F.col("target_id").alias("id")).unionByName(spark.createDataFrame([("e",)], "id string"))
+    n, e = graph.expand(root, rel, all_, None, graph.Limits(1, None, None, 1))
+    assert n.count() == 25_001 and e.agg(F.count_distinct("place"), F.min("place"), F.max("place"), F.count_if(F.col("place") == F.substring("target_id", 2, 9).cast("int") + 1)).first()[:] == (25_000, 1, 25_000, 25_000)
