@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions.text import norm_id
@@ -69,6 +69,23 @@ def _lifted(record: dict, singles: frozenset[str]) -> dict:
     return {k: [v] if k in singles and isinstance(v, dict) else v for k, v in record.items()}
 
 
+def record_texts(text: Column, singles: Iterable[str]) -> Column:
+    """Each text's record as plain JSON: unwrapped, lone objects lifted, only objects in the arrays of ``singles``; null without a record."""
+    lone = frozenset(singles)
+
+    def read(text: str | None) -> str | None:
+        if (r := read_record(text)) is None:
+            return None
+        objects = lambda k, v: [x for x in v if isinstance(x, dict)] if k in lone and isinstance(v, list) else v
+        return json.dumps({k: objects(k, v) for k, v in _lifted(r, lone).items()}, ensure_ascii=False)
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(read)
+
+    return plain(text.cast("string"))
+
+
 def infer_schema(texts: DataFrame, text_col: str, singles: Iterable[str] = ()) -> dict[str, list[str]]:
     """The merged schema: each generic path of an array with objects, with the field names of those objects.
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from engram.functions import exprs as ex
 from engram.functions.text import norm
-from engram.operators import capture, consolidate, evalkit, graph, lifecycle, metrics, retrieve, revise, store, texts, trust
+from engram.operators import capture, consolidate, evalkit, flatten, graph, lifecycle, metrics, retrieve, revise, store, texts, trust
 from engram.plans import views as v
+from engram.plans.general import INTERPRETATION_ARRAYS
 from engram.plans.views import as_of, sql
 from engram.sources.tables import table
 
@@ -488,7 +489,7 @@ def trigger_text(spark, d):
 @query("ref_interpretation_status")
 def interpretation_status(spark, d):
     """The interpretations by the status that their open parts give them."""
-    i = F.from_json("interpretation_json", texts.INTERPRETATION)
+    i = F.from_json(flatten.record_texts(F.col("interpretation_json"), INTERPRETATION_ARRAYS), texts.INTERPRETATION)
     rows = v.newest(table(spark, d, "interpretations"), v.norm_id("record_id"), ["interpreted_at"], ["interpretation_json"], "id").withColumn("i", i)
     return rows.groupBy(texts.final_status(F.col("i")).alias("status")).agg(F.count("*").alias("n"))
 

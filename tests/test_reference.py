@@ -478,3 +478,14 @@ def test_expansion_without_limits(spark):
     root, all_ = spark.createDataFrame([("e", 0)], "id string, root_rank int"), many.select(F.col("target_id").alias("id")).unionByName(spark.createDataFrame([("e",)], "id string"))
     n, e = graph.expand(root, rel, all_, None, graph.Limits(1, None, None, 1))
     assert n.count() == 25_001 and e.agg(F.count_distinct("place"), F.min("place"), F.max("place"), F.count_if(F.col("place") == F.substring("target_id", 2, 9).cast("int") + 1)).first()[:] == (25_000, 1, 25_000, 25_000)
+
+
+def test_interpretation_status_reads_every_form(spark, tmp_path):
+    from engram.plans.reference import QUERIES
+
+    open_, done = {"surface": "m", "confidence": 0.5}, {"surface": "m", "canonical_entity_id": "e"}
+    forms = [{"mentions": open_}, json.dumps({"mentions": [open_]}), {"relation_candidates": {"predicate": "p"}}, {"reference_candidates": ["x", {"ref": "r", "resolved": False}]}]
+    forms += [{"mentions": done}, json.dumps({"mentions": [done]}), {"relation_candidates": {"predicate": "p", "resolved": True}}]
+    rows = [(f"r{i}", json.dumps(x), NOW) for i, x in enumerate(forms)]
+    spark.createDataFrame(rows, "record_id string, interpretation_json string, interpreted_at timestamp").write.parquet(f"{tmp_path}/interpretations.parquet")
+    assert {r["status"]: r["n"] for r in QUERIES["ref_interpretation_status"](spark, str(tmp_path)).collect()} == {"tentative": 4, "resolved": 3}
