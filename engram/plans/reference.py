@@ -209,7 +209,7 @@ LINKS = """SELECT s AS source_id, p AS predicate, t AS target_id FROM (SELECT DI
 
 @query("ref_linked_boost", sql("ent mention", "SELECT l.source_id AS id, sum(80)::BIGINT AS linked FROM links l JOIN ent e ON e.entity_id = l.target_id WHERE lower(trim(e.canonical_name)) = 'obsidian-registry' GROUP BY 1", links=LINKS))
 def linked_boost(spark, d):
-    e = v.ent(spark, d).where(norm("canonical_name") == "obsidian-registry").select(F.col("entity_id").alias("id"), "canonical_name", F.array().cast("array<string>").alias("aliases"))
+    e = v.ent(spark, d).select(F.col("entity_id").alias("id"), "canonical_name", F.col("aliases.value").alias("aliases"))
     return graph.linked_boost(_links(spark, d), e, F.lit("obsidian-registry")).select("id", F.col("linked").cast("long").alias("linked"))
 
 

@@ -489,3 +489,16 @@ def test_interpretation_status_reads_every_form(spark, tmp_path):
     rows = [(f"r{i}", json.dumps(x), NOW) for i, x in enumerate(forms)]
     spark.createDataFrame(rows, "record_id string, interpretation_json string, interpreted_at timestamp").write.parquet(f"{tmp_path}/interpretations.parquet")
     assert {r["status"]: r["n"] for r in QUERIES["ref_interpretation_status"](spark, str(tmp_path)).collect()} == {"tentative": 4, "resolved": 3}
+
+
+def test_linked_boost_counts_aliases_and_longer_names(spark, tmp_path):
+    from engram.plans.reference import QUERIES
+
+    alias = "array<struct<value:string,kind:string,locale:string>>"
+    ents = [("e1", "obsidian-registry", []), ("e2", "The Obsidian-Registry mirror", None), ("e3", "other", [("obsidian-registry", "x", None)]), ("e4", "far", [])]
+    rows = [(*e, "", None, [], [], NOW) for e in ents]
+    schema = f"entity_id string, canonical_name string, aliases {alias}, scope string, primary_type string, types array<string>, identifiers array<struct<namespace:string,value:string>>, created_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/entities.parquet")
+    ms = [(i, f"r{i}", 0, "s", None, f"e{i}", 0.5) for i in range(1, 5)]
+    spark.createDataFrame(ms, "mention_id long, record_id string, pos int, surface string, entity_kind string, canonical_entity_id string, confidence double").write.parquet(f"{tmp_path}/mentions.parquet")
+    assert {r["id"]: r["linked"] for r in QUERIES["ref_linked_boost"](spark, str(tmp_path)).collect()} == {"r1": 80, "r2": 80, "r3": 65}
