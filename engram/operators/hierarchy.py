@@ -66,18 +66,21 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": ids[i : i + 10_000], "path": [path[x] for x in ids[i : i + 10_000]]})
 
 
-def hierarchy(links: DataFrame, local_bound: int = LOCAL_BOUND) -> DataFrame:
+def hierarchy(links: DataFrame, local_bound: int = LOCAL_BOUND, nodes: DataFrame | None = None) -> DataFrame:
     """(id, root_id, depth, path) for each node of ``links`` (id, parent: one row for each id).
 
     ``path`` runs from the root to the node; a root has depth 0. Nodes on a loop (a self-link included) or below one
     have root_id '', depth -1 and a null path. Ends that are null drop out; an empty table gives no rows. A parent
-    that names no id of the table is a root.
+    that names no id of the table is a root. ``nodes`` (id): those without a link are roots too.
     """
     pairs = links.where(F.col("id").isNotNull() & F.col("parent").isNotNull()).select("id", "parent")
     none = F.array().cast("array<string>")
+    ends = pairs.select(F.col("parent").alias("id"))
+    if nodes is not None:
+        ends = ends.unionByName(nodes.where(F.col("id").isNotNull()).select("id"))
     live = stage(
         pairs.select("id", "parent")
-        .unionByName(pairs.select(F.col("parent").alias("id"), F.lit(None).cast("string").alias("parent")))
+        .unionByName(ends.select("id", F.lit(None).cast("string").alias("parent")))
         .groupBy("id")
         .agg(F.max("parent").alias("parent"))
         .select("id", "parent", none.alias("via"))

@@ -83,7 +83,8 @@ def _revisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     links = older.join(there.select(F.col("norm_key").alias("parent")), "parent", "left_semi").unionByName(
         newer.join(there.select(F.col("norm_key").alias("id")), "id", "left_semi")
     )
-    return facts, hi.hierarchy(hi.one_parent(links))
+    ends = links.select("id").unionByName(links.select(F.col("parent").alias("id")))  # also of links that one_parent drops
+    return facts, hi.hierarchy(hi.one_parent(links), nodes=ends)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -169,6 +169,14 @@ def test_p4_against_python(spark, sf):
     assert {tuple(r) for r in general.p4_found(spark, sf).collect()} == want
 
 
+def test_p4_keeps_records_whose_link_was_not_chosen(spark, tmp_path):
+    rows = [("X", "A", None), ("A", None, None), ("b", None, "x "), ("alone", None, "gone")]
+    df = spark.createDataFrame(rows, "record_id string, supersedes string, superseded_by string").withColumn("updated_at", F.lit(T))
+    df.write.parquet(f"{tmp_path}/semantic_facts.parquet")
+    assert {tuple(r) for r in general.p4_found(spark, str(tmp_path)).collect()} == {("X", "A", 1), ("A", "A", 0), ("b", "b", 0)}
+    assert {(r["id"], r["path"]) for r in general.p4_paths(spark, str(tmp_path)).collect()} == {("x", "a > x"), ("a", "a"), ("b", "b")}
+
+
 # --- nested records
 
 
