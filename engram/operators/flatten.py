@@ -9,7 +9,10 @@ the driver; it grows with the number of distinct paths, not with the rows.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
+from json.decoder import scanstring
+from json.scanner import NUMBER_RE
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,14 +22,99 @@ from engram.functions.text import norm_id
 from engram.sources.tables import newest
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_WORDS = {"null": None, "true": True, "false": False, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def _deep_loads(text: str) -> object:
+    """json.loads for texts nested deeper than it reads: a stack of open objects and arrays instead of recursion."""
+    skip = lambda i: _SPACE.match(text, i).end()
+    top: list = []
+    stack: list[list | dict] = [top]
+    keys: list[str | None] = [None]  # beside each open one, the key that waits for its value
+    i, fresh, done = skip(0), False, False  # fresh: just opened; done: just after a value
+    while not (done and len(stack) == 1):
+        at, c = stack[-1], text[i : i + 1]
+        if len(stack) > 1 and c == ("}" if isinstance(at, dict) else "]") and (fresh or done):
+            stack.pop()
+            keys.pop()
+            i, fresh, done = skip(i + 1), False, True
+            continue
+        if done:
+            if c != ",":
+                raise ValueError(i)
+            i = skip(i + 1)
+        if isinstance(at, dict):
+            if text[i : i + 1] != '"':
+                raise ValueError(i)
+            keys[-1], i = scanstring(text, i + 1, True)
+            i = skip(i)
+            if text[i : i + 1] != ":":
+                raise ValueError(i)
+            i = skip(i + 1)
+        c, fresh, done = text[i : i + 1], False, True
+        if c in ("{", "["):
+            value: object = {} if c == "{" else []
+            i, fresh, done = i + 1, True, False
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        elif word := next((w for w in _WORDS if text.startswith(w, i)), None):
+            value, i = _WORDS[word], i + len(word)
+        elif m := NUMBER_RE.match(text, i):
+            value, i = json.loads(m.group()), m.end()
+        else:
+            raise ValueError(i)
+        if isinstance(at, dict):
+            at[keys[-1]] = value
+        else:
+            at.append(value)
+        if fresh:
+            stack.append(value)
+            keys.append(None)
+        i = skip(i)
+    if i != len(text):
+        raise ValueError(i)
+    return top[0]
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep_loads(text)
+
+
+def _dumps(value: object) -> str:
+    """Compact JSON, at any depth."""
+    one = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    try:
+        return one(value)
+    except RecursionError:
+        pass
+    out, todo = [], [(False, value)]  # (whether it is text already, text or value)
+    while todo:
+        ready, x = todo.pop()
+        if ready:
+            out.append(x)
+        elif isinstance(x, (dict, list)):
+            named = isinstance(x, dict)
+            todo.append((True, "}" if named else "]"))
+            for n, (k, v) in reversed(list(enumerate(x.items() if named else ((None, v) for v in x)))):
+                todo += [(False, v), (True, ("," if n else "") + (f"{one(k)}:" if named else ""))]
+            out.append("{" if named else "[")
+        else:
+            out.append(one(x))
+    return "".join(out)
+
+
 def read_record(text: str | None) -> dict | None:
     """The record of a text: a JSON object, or a JSON string that holds one; else None."""
     for _ in range(4):
         if not isinstance(text, str):
             break
         try:
-            text = json.loads(text)
-        except (ValueError, RecursionError):
+            text = _loads(text)
+        except ValueError:
             return None
     return text if isinstance(text, dict) else None
 
@@ -77,7 +165,7 @@ def record_texts(text: Column, singles: Iterable[str]) -> Column:
         if (r := read_record(text)) is None:
             return None
         objects = lambda k, v: [x for x in v if isinstance(x, dict)] if k in lone and isinstance(v, list) else v
-        return json.dumps({k: objects(k, v) for k, v in _lifted(r, lone).items()}, ensure_ascii=False)
+        return _dumps({k: objects(k, v) for k, v in _lifted(r, lone).items()})
 
     @F.pandas_udf("string")
     def plain(texts: pd.Series) -> pd.Series:
@@ -148,7 +236,7 @@ def flatten(
             for n, (key, text) in enumerate(zip(pdf["key"], pdf["text"])):
                 if (r := read_record(text)) is not None:
                     for g, path, owner, i, v in _walk(_lifted(r, lone), known):
-                        out.append((key, g, path, owner, i, json.dumps(v, ensure_ascii=False, separators=(",", ":"))))
+                        out.append((key, g, path, owner, i, _dumps(v)))
                         at.append(n)
             made = pd.DataFrame(out, columns=["record_id", "child_table", "path", "parent_path", "ordinal", "fields"])
             yield made.assign(**{order_col: pdf["carried"].iloc[at].reset_index(drop=True)}) if carry_order else made

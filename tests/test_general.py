@@ -235,3 +235,20 @@ def test_p5_against_python(spark, sf):
             want |= {(name, rid, p) for p in paths(o)}
     got = [tuple(r) for r in general.p5_found(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_deep_records(spark):
+    from engram.operators.flatten import _deep_loads, _dumps
+
+    n = 5_000
+    deep = '{"a":[' * n + "1" + "]}" * n
+    assert read_record(deep) is not None and read_record(json.dumps(deep)) is not None and read_record(deep[:-1]) is None and read_record(deep + "x") is None
+    assert _dumps(read_record(deep)) == deep
+    for t in ('{}', ' { "a" : [ 1 , -2.5e3, "x\\n", null , true, {"b": {}, "b": [[]]} ] } ', "[]", '"s"', "3"):
+        assert _deep_loads(t) == json.loads(t)
+    for t in ("", "{", "[1,]", '{"a":1,}', '{"a" 1}', "[1 2]", "{1:2}", "[,1]", "tru", "]", "[}", '{"a":}', "1 2"):
+        with pytest.raises(ValueError):
+            _deep_loads(t)
+    m = 1_500
+    got = flatten(spark.createDataFrame([("k", '{"a":[' * m + "{}" + "]}" * m)], "k string, t string"), "k", "t")
+    assert got.count() == m and got.agg(F.max(F.length("path"))).first()[0] == 5 * m - 1
