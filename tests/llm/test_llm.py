@@ -137,9 +137,8 @@ def brute_pairs(rows, num, den, least):
     return {(f, min(a, b), max(a, b)) for (f, a, x), (g, b, y) in itertools.combinations(w, 2) if f == g and len(x & y) * den >= num * len(x | y)}
 
 
-@pytest.mark.parametrize("num,den,least,rare", [(3, 5, 6, 256), (4, 5, 1, 5), (3, 5, 1, 0)])
-def test_near_duplicates(spark, monkeypatch, num, den, least, rare):
-    monkeypatch.setattr(neardup, "RARE", rare)
+@pytest.mark.parametrize("num,den,least,hot,split,block", [(3, 5, 6, None, None, None), (4, 5, 1, 9, 8, 2), (3, 5, 1, 1, 2, 3), (1, 2, 1, 1, 1, 1)])
+def test_near_duplicates(spark, num, den, least, hot, split, block):
     rnd = random.Random(num)
     vocab = [f"w{i}" for i in range(60)] + ["the", "of", "a"] * 4
     rows = []
@@ -151,7 +150,7 @@ def test_near_duplicates(spark, monkeypatch, num, den, least, rare):
             rows.append((rnd.choice(["text", "object"]), f"k{len(rows)}", " ".join(x)))
     rows += [("text", f"copy{i}", "One two, THREE four five six seven") for i in range(6)] + [("text", "n", None), ("text", "e", ""), ("text", None, "one two three four five six"), ("text", "long", "one " * 5000 + "two three four five six seven")]
     df = spark.createDataFrame(rows, "field string, key string, value string").select("field", "key", neardup.words(F.col("value")).alias("words"), F.lit(1).alias("size"))
-    members, pairs = neardup.similar_sets(df, num, den, least)
+    members, pairs = neardup.similar_sets(df, num, den, least, hot, split, block)
     got = [tuple(r) for r in neardup.key_pairs(members, pairs).collect()]
     want = brute_pairs(rows, num, den, least)
     assert len(got) == len(set(got)) and set(got) == want and want
@@ -160,6 +159,23 @@ def test_near_duplicates(spark, monkeypatch, num, den, least, rare):
         assert r["links"] + r["copies"] - 1 == links[r["field"], r["key"]]
 
 
+def test_near_duplicates_of_long_sets(spark):
+    """Sets of 40 to 500 words with a word, and a whole template, in all of them; a prefix shared by many."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(30):
+        base = ["all", *[f"t{j}" for j in range(20)], *[f"v{rnd.randrange(3000)}" for _ in range(rnd.randrange(20, 480))]]
+        for k in range(3):
+            x = [w for w in base if rnd.random() > 0.1] + [f"e{rnd.randrange(9)}" for _ in range(k)]
+            rows.append(("text", f"k{len(rows)}", " ".join(x)))
+    rows += [("text", f"g{i}", " ".join([*[f"rare{j}" for j in range(8)], *[f"t{j}" for j in range(12) if j != i % 12], f"u{i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "field string, key string, value string").select("field", "key", neardup.words(F.col("value")).alias("words"))
+    members, pairs = neardup.similar_sets(df, 3, 5, 6, hot=50, split=200, block=7)
+    got = [tuple(r) for r in neardup.key_pairs(members, pairs).collect()]
+    want = brute_pairs(rows, 3, 5, 6)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 800
+
+
 def test_near_duplicates_empty_and_shingles(spark):
     df = spark.createDataFrame([], "field string, key string, words array<string>")
     members, pairs = neardup.similar_sets(df)
