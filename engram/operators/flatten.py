@@ -225,7 +225,7 @@ def flatten(
     incomplete texts, and texts that are not objects yield nothing. Other columns of ``df`` are ignored.
     """
     lone = frozenset(singles)
-    rows = newest(df, norm_id(key_col), [order_col] if order_col else [], [text_col, key_col], "norm_key").select(
+    rows = newest(df, norm_id(key_col), [order_col] if order_col else [], [text_col, key_col], "norm_key", wide=True).select(
         F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), *([F.col(order_col).alias("carried")] if carry_order else [])
     )
     known = frozenset(infer_schema(df, text_col, lone)) if tables is None else frozenset(tables)

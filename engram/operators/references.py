@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions.text import norm_id
+from engram.plans.staging import stage
 
 #: Up to 15 hexadecimal digits fit a signed long.
 TAIL = r"^(.*?)([0-9a-f]{1,15})$"
@@ -92,9 +93,10 @@ def check_references(refs: DataFrame, parents: DataFrame, partitions: int | None
     d, k = as_number(F.col("parent_table"), norm_id("target"))
     keyed = refs.where(norm_id("target").isNotNull()).withColumns({"__domain": d, "__num": k})
     wanted = keyed.select(F.col("__domain").alias("domain"), F.col("__num").alias("num")).distinct()
-    both = sorted_parents.unionByName(
+    # staged, since range partitioning reads its input twice, once to sample it
+    both = stage(sorted_parents.unionByName(
         wanted.select("domain", "num", F.lit(False).alias("is_parent"), F.lit(None).cast("timestamp").alias("first_seen"), F.lit(False).alias("deleted"))
-    )
+    ))
     matched = (
         both.repartitionByRange(n, "domain", "num")
         .sortWithinPartitions("domain", "num", F.col("is_parent").desc())

@@ -73,7 +73,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _revisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _revisions(spark: SparkSession, d: str, paths: bool = True) -> tuple[DataFrame, DataFrame]:
     """The facts by normalised id, and their tree."""
     facts = newest(table(spark, d, "semantic_facts"), norm_id("record_id"), ["updated_at"], ["supersedes", "superseded_by", "record_id"], "norm_key")
     facts = stage(facts.select("norm_key", "record_id", norm_id("supersedes").alias("older"), norm_id("superseded_by").alias("newer")))
@@ -84,12 +84,12 @@ def _revisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         newer.join(there.select(F.col("norm_key").alias("id")), "id", "left_semi")
     )
     ends = links.select("id").unionByName(links.select(F.col("parent").alias("id")))  # also of links that one_parent drops
-    return facts, hi.hierarchy(hi.one_parent(links), nodes=ends)
+    return facts, hi.hierarchy(hi.one_parent(links), nodes=ends, paths=paths)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Root and depth of each revised or revising fact; '' and -1 on a loop or below one."""
-    facts, tree = _revisions(spark, d)
+    facts, tree = _revisions(spark, d, paths=False)
     return tree.join(facts.select(F.col("norm_key").alias("id"), "record_id"), "id").select(
         "record_id", F.col("root_id").alias("root_key"), "depth"
     ).join(facts.select(F.col("norm_key").alias("root_key"), F.col("record_id").alias("root_name")), "root_key", "left").select(
@@ -100,9 +100,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """The path of each fact from its root, with the number of facts below it."""
     _, tree = _revisions(spark, d)
-    tree = stage(tree)
-    below = hi.descendants(tree).groupBy("id").agg(F.count("*").alias("n_descendants"))
-    return tree.join(below, "id", "left").select("id", "root_id", "depth", F.concat_ws(" > ", "path").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+    return tree.select("id", "root_id", "depth", F.concat_ws(" > ", "path").alias("path"), F.greatest(F.col("size") - 1, F.lit(0)).alias("n_descendants"))
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +153,13 @@ def _tree(source: str, table_: str, col: str, at: str, names: tuple[str, ...]) -
     ({_JSON.format(key=_ID.format('record_id'), at=at, col=col, table=table_)}) r, json_tree(r.j) t WHERE type = 'OBJECT' AND fullkey <> '$'"""
 
 
+_TREE = f"""WITH RECURSIVE f AS (SELECT {_ID.format('record_id')} AS id, record_id, {_ID.format('supersedes')} AS older, {_ID.format('superseded_by')} AS newer FROM semantic_facts
+      QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')} ORDER BY updated_at DESC NULLS LAST) = 1),
+    every AS (SELECT id, older AS parent, 0 AS rank FROM f WHERE older IN (SELECT id FROM f) UNION ALL SELECT newer, id, 1 FROM f WHERE newer IN (SELECT id FROM f)),
+    links AS (SELECT id, first(parent ORDER BY rank, parent) AS parent FROM every GROUP BY id), nodes AS (SELECT id FROM every UNION SELECT parent FROM every),
+    t(id, root, depth, path) AS (SELECT id, id, 0, id FROM nodes WHERE id NOT IN (SELECT id FROM links) UNION ALL SELECT l.id, t.root, t.depth + 1, t.path || ' > ' || l.id FROM t JOIN links l ON l.parent = t.id),
+    below(id, descendant, distance) AS (SELECT l.parent, l.id, 1 FROM links l JOIN t ON t.id = l.parent UNION ALL SELECT l.parent, b.descendant, b.distance + 1 FROM below b JOIN links l ON l.id = b.id)"""
+
 SQL = {
     "p2_found": f"""WITH i AS ({_JSON.format(key=_ID.format('record_id'), at='interpreted_at', col='interpretation_json', table='interpretations')}),
     e AS (SELECT 'relation_candidates.target_record_id' AS ref_field, 'm' AS tab, record_id, ts, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS ref_pos FROM (SELECT record_id, ts, {_items('relation_candidates')} AS l FROM i)
@@ -163,12 +168,10 @@ SQL = {
       UNION ALL SELECT 'revision.superseded_by', 'm', record_id, updated_at, 0, superseded_by FROM (SELECT * FROM semantic_facts QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')} ORDER BY updated_at DESC NULLS LAST) = 1)),
     parents AS (SELECT 'm' AS tab, {_ID.format('id')} AS id, min(ingested_at) AS seen, max(deleted_at) AS gone FROM memory_records GROUP BY ALL UNION ALL SELECT 'e', {_ID.format('entity_id')}, min(created_at), max(deleted_at) FROM entities GROUP BY ALL)
     SELECT ref_field, record_id, ref_pos::INTEGER AS ref_pos FROM refs r LEFT JOIN parents p ON p.tab = r.tab AND p.id = {_ID.format('r.target')} WHERE {_ID.format('r.target')} IS NOT NULL AND (p.id IS NULL OR p.gone IS NOT NULL OR p.seen > r.ts)""",
-    "p4_found": f"""WITH RECURSIVE f AS (SELECT {_ID.format('record_id')} AS id, record_id, {_ID.format('supersedes')} AS older, {_ID.format('superseded_by')} AS newer FROM semantic_facts
-      QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')} ORDER BY updated_at DESC NULLS LAST) = 1),
-    links AS (SELECT id, first(parent ORDER BY rank, parent) AS parent FROM (SELECT id, older AS parent, 0 AS rank FROM f WHERE older IN (SELECT id FROM f) UNION ALL SELECT newer, id, 1 FROM f WHERE newer IN (SELECT id FROM f)) GROUP BY id),
-    nodes AS (SELECT id FROM links UNION SELECT parent FROM links),
-    t(id, root, depth) AS (SELECT id, id, 0 FROM nodes WHERE id NOT IN (SELECT id FROM links) UNION ALL SELECT l.id, t.root, t.depth + 1 FROM t JOIN links l ON l.parent = t.id)
-    SELECT f.record_id, coalesce(g.record_id, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth FROM nodes n JOIN f USING (id) LEFT JOIN t USING (id) LEFT JOIN f g ON g.id = t.root""",
+    "p4_found": f"""{_TREE} SELECT f.record_id, coalesce(g.record_id, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth FROM nodes n JOIN f USING (id) LEFT JOIN t USING (id) LEFT JOIN f g ON g.id = t.root""",
+    "p4_paths": f"""{_TREE} SELECT n.id, coalesce(t.root, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth, coalesce(t.path, '') AS path, coalesce(c.n, 0) AS n_descendants FROM nodes n LEFT JOIN t USING (id)
+      LEFT JOIN (SELECT id, count(*) AS n FROM below GROUP BY 1) c USING (id)""",
+    "p4_descendants": f"{_TREE} SELECT id, descendant, distance::INTEGER AS distance FROM below",
     "p5_found": f"""SELECT source_table, record_id, path FROM ({_tree('payloads', 'payloads', 'payload_json', 'written_at', PAYLOAD_ARRAYS)}
       UNION ALL {_tree('interpretations', 'interpretations', 'interpretation_json', 'interpreted_at', INTERPRETATION_ARRAYS)}) WHERE path LIKE '%]'""",
 }

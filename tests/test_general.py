@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators.flatten import child_table, flatten, infer_schema, read_record
-from engram.operators.hierarchy import descendants, hierarchy, one_parent
+from engram.operators.hierarchy import HELD, _peel, descendants, hierarchy, one_parent
 from engram.operators.references import as_number, check_references
 from engram.plans import general
 
@@ -129,16 +129,31 @@ def brute(pairs):
     return out
 
 
+def sizes(pairs):
+    """Each node with all below it, where its way up ends."""
+    out = {}
+    for x, (_, _, path) in brute(pairs).items():
+        for y in path or []:
+            out[y] = out.get(y, 0) + 1
+    return {x: out.get(x, 0) for x in brute(pairs)}
+
+
 def tree(spark, pairs, bound):
-    df = hierarchy(spark.createDataFrame(pairs, "id string, parent string"), bound)
-    return {r["id"]: (r["root_id"], r["depth"], r["path"]) for r in df.collect()}
+    df = spark.createDataFrame([(*x, "clash") for x in pairs], "id string, parent string, size string")
+    rows = hierarchy(df, bound).collect()
+    short = {r["id"]: (r["root_id"], r["depth"], r["size"]) for r in hierarchy(df, bound, paths=False).collect()}
+    full = {r["id"]: (r["root_id"], r["depth"], r["path"]) for r in rows}
+    assert len(rows) == len(full) and {r["id"]: r["size"] for r in rows} == sizes([x for x in pairs if None not in x])
+    assert short == {r["id"]: (r["root_id"], r["depth"], r["size"]) for r in rows}
+    return full
 
 
-@pytest.mark.parametrize("bound", [4, 50_000])
+@pytest.mark.parametrize("bound", [0, 900, 4 << 20])
 def test_hierarchy_shapes(spark, bound):
     rnd = random.Random(bound)
     pairs = [(f"c{i}", f"c{i - 1}") for i in range(1, 24)]  # a chain
     pairs += [(f"t{i}", f"t{rnd.randrange(i)}") for i in range(1, 20)]
+    pairs += [("c7b", "c7"), ("c9b", "c9"), ("c9c", "c9b")]
     pairs += [("self", "self"), ("below", "self"), ("l1", "l2"), ("l2", "l3"), ("l3", "l1"), ("hang", "l1"), ("hang2", "hang")]
     assert tree(spark, pairs, bound) == brute(pairs)
 
@@ -149,6 +164,16 @@ def test_hierarchy_empty_null_and_one_parent(spark):
     assert [tuple(r) for r in one_parent(links).collect()] == [("a", "b")]
 
 
+def test_local_peel_of_a_long_chain_holds_no_square():
+    n = 20_000
+    pdf = pd.DataFrame({"id": [f"n{i}" for i in range(n)], "parent": [None, *[f"n{i}" for i in range(n - 1)]], "hops": [0] + [1] * (n - 1), "acc": 1, "extra": 0})
+    got = pd.concat(_peel(False)(iter([pdf])))
+    assert got["depth"].tolist() == list(range(n)) and got["size"].tolist() == list(range(n, 0, -1)) and set(got["root"]) == {"n0"}
+    pdf = pdf.iloc[:3000].assign(via=[[] for _ in range(3000)])
+    parts = [(len(p), p["path"].map(len).sum()) for p in _peel(True)(iter([pdf]))]
+    assert sum(x for x, _ in parts) == 3000 and max(y for _, y in parts) <= HELD + 3000
+
+
 def test_descendants(spark):
     pairs = [("b", "a"), ("c", "b"), ("d", "b"), ("s", "s")]
     got = {tuple(r) for r in descendants(hierarchy(spark.createDataFrame(pairs, "id string, parent string"))).collect()}
