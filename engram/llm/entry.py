@@ -92,8 +92,8 @@ def p6_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    recall = newest(table(spark, d, "recall_dataset").where(F.col("type") == "record"), norm_id("key"), [], ["text", "summary", "key"], "norm_key")
-    facts = newest(table(spark, d, "semantic_facts"), norm_id("record_id"), ["updated_at"], ["object", "record_id"], "norm_key")
+    recall = newest(table(spark, d, "recall_dataset").where(F.col("type") == "record"), norm_id("key"), [], ["text", "summary", "key"], "norm_key", wide=True)
+    facts = newest(table(spark, d, "semantic_facts"), norm_id("record_id"), ["updated_at"], ["object", "record_id"], "norm_key", wide=True)
     fields = recall.select(F.col("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("text", "summary")])).alias("v"))
     rows = fields.select("v.field", "key", "v.value").unionByName(facts.select(F.lit("object").alias("field"), F.col("record_id").alias("key"), F.col("object").alias("value")))
     return neardup.similar_sets(rows.select("field", "key", neardup.words(F.col("value")).alias("words")), 3, 5, 6)
@@ -144,12 +144,18 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "documents"), "doc_id", "text", _common(spark, d))
 
 
+def p10_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The plain counts among them."""
+    return p10_stats(spark, d).select("doc_id", "n_chars", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation_share")])
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents in which running sentences make up less than half of the visible characters."""
-    return p10_stats(spark, d).where((F.col("n_visible") > 0) & (F.col("prose_share") < 0.5)).select("doc_id")
+    """Documents that the combined rules put among lists, tables and junk: running sentences, repeated or not, make up
+    less than half of the visible characters."""
+    return p10_stats(spark, d).where(F.col("kind").isin("list", "table", "junk")).select("doc_id")
 
 
-QUERIES = (p1_found, p1_unmatched, p1_agreement, p3_found, p3_patterns, p6_found, p6_runs, p7_found, p7_classes, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)
+QUERIES = (p1_found, p1_unmatched, p1_agreement, p3_found, p3_patterns, p6_found, p6_runs, p7_found, p7_classes, p8_ids, p9_mix, p9_shares, p10_found, p10_stats, p10_counts)
 
 
 def queries() -> dict:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from engram.functions.text import WHITE
+from engram.llm import quality
+
 _ID = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 _KIND = "nullif(regexp_replace(lower(trim(event_kind, ' ' || chr(9) || chr(10) || chr(13))), '[-\\s]', '_', 'g'), '')"
 _REF = "nullif(regexp_replace(regexp_replace(lower(trim(ref)), '([a-z0-9])[^a-z0-9]*(retry|attempt|try)[^a-z0-9]*[0-9]+[^a-z0-9]*$', '\\1'), '[^a-z0-9]+', '', 'g'), '')"
@@ -29,7 +32,15 @@ def _pairs(field: str, rows: str) -> str:
 _RECALL = "SELECT key, {0} AS value FROM (SELECT DISTINCT ON (key) * FROM recall_dataset WHERE type = 'record')"
 _FACTS = f"SELECT record_id AS key, object AS value FROM semantic_facts QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')} ORDER BY updated_at DESC NULLS LAST) = 1"
 
+_LINES_OF = "list_filter(string_split_regex(text, '\\r\\n|[\\n\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]'), lambda x: trim(x, '" + WHITE + "') <> '')"
+_PLAIN = f"""SELECT doc_id, n_chars, CASE WHEN seen THEN len(w) ELSE 0 END AS n_words, CASE WHEN seen THEN len(l) ELSE 0 END AS n_lines, round(CASE WHEN seen THEN length(array_to_string(w, '')) / greatest(len(w), 1) ELSE 0 END, 6) AS mean_word_length,
+    round(CASE WHEN seen THEN length(regexp_replace(text, '{quality.J_SYMBOL}', '', 'g')) / n_chars ELSE 0 END, 6) AS symbol_ratio, round(CASE WHEN seen THEN length(regexp_replace(text, '\\P{{Nd}}+', '', 'g')) / n_chars ELSE 0 END, 6) AS digit_ratio,
+    round(CASE WHEN seen THEN len(list_filter(l, lambda x: regexp_matches(trim(x, '{WHITE}'), '{quality.J_ENDS.replace("'", "''")}'))) / greatest(len(l), 1) ELSE 0 END, 6) AS end_punctuation_share
+    FROM (SELECT doc_id, text, length(text) AS n_chars, regexp_replace(text, '{quality.J_UNSEEN}', '', 'g') <> '' AS seen, regexp_extract_all(text, '{quality.J_WORD.replace("'", "''")}') AS w, {_LINES_OF} AS l
+      FROM (SELECT doc_id, coalesce(min(text), '') AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1))"""
+
 SQL = {
+    "p10_counts": _PLAIN,
     "p3_found": f"""WITH RECURSIVE lines AS ({_LINES}), seq AS (SELECT id, kind AS name, row_number() OVER (PARTITION BY id ORDER BY t, pos) AS no FROM lines WHERE t IS NOT NULL AND kind IS NOT NULL),
     nodes AS (SELECT {_ID.format('record_id')} AS id, {_ID.format('node_id')} AS node, nullif(lower(trim(tool, ' ' || chr(9) || chr(10) || chr(13))), '') AS name, depends_on FROM tool_nodes
       QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')}, {_ID.format('node_id')} ORDER BY called_at DESC NULLS LAST) = 1),

@@ -2,8 +2,10 @@
 
 A text is cut into units: the sentences of its lines, a hard-wrapped sentence put together again. A unit is a running
 sentence when enough of its words are common words of one language and more than one of them occur; so the cells of a
-table, the entries of a list, records and encoded bytes are none, whatever marks them. Repetition and boilerplate
-statistics stand beside it, and ``kind`` combines them by rules.
+table, the entries of a list, records and encoded bytes are none, whatever marks them. Beside that stand repetition
+statistics: the shares of repeated lines and paragraphs, and how much of the text its dominant word n-gram covers.
+``kind`` combines all of them by rules. Plain counts are JVM expressions, which are not computed where they are not
+selected; what needs the languages' words or repetition is read in one pass over each text.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions.text import strip
+from engram.sources.tables import one_row_each
+
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 UNSEEN = re.compile(r"[\s\x00-\x1f\x7f-\x9f\xad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb\U000e0001-\U000e007f]+")
 SYMBOL, DIGIT = re.compile(r"[\w\s]+"), re.compile(r"\d+")
@@ -25,20 +30,28 @@ CJK = re.compile("[぀-ヿ㐀-鿿々ー]")
 ENDS = re.compile(r"[.!?…。！？][\"'’”»)\]]*$")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'’”»)\]]*\s+|(?<=[。！？])")
 MARKER = re.compile(r"^\s*(?:[-*+•–—·>]|#{1,6}|\(?\w{1,3}[.)]|\[[ xX]?\])\s+")
+PARAGRAPH = re.compile(r"\n\s*\n")
 SPEAKER = re.compile(r"^\s*[^\W\d_]{2,20}:\s+")
 
 #: Smallest share of common words in a running sentence, and how many different ones.
 SHARE, DIFFERENT, LEAST_WORDS = 0.2, 2, 4
-#: Largest share of symbols in a running sentence.
-SYMBOLS = 0.25
+#: The same share for a unit of at least so many words that begins and ends like a sentence.
+FORMED_SHARE, FORMED_WORDS = 0.12, 8
+#: Largest share of symbols in a running sentence, and the longest word of one.
+SYMBOLS, LONGEST = 0.25, 40
 #: Smallest share of characters in common Japanese words.
 KANA_SHARE = 0.06
+#: Words of the n-grams; what the dominant one covers in junk, and with how many words; repeated parts of boilerplate.
+GRAM, JUNK_COVERAGE, JUNK_WORDS, BOILERPLATE_COVERAGE, BOILERPLATE = 3, 0.5, 12, 0.3, 0.5
+
+# A word, what leaves no mark, a line's end, and list markers, for the JVM's regular expressions.
+J_WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*(?:['\x{2019}][\p{L}\p{N}][\p{L}\p{N}\p{M}]*)*"
+J_UNSEEN = r"[\p{Z}\p{Cc}\p{Cf}\x{200b}]+"
+J_SYMBOL = r"[\p{L}\p{N}\p{M}\p{Z}\p{Cc}\p{Cf}]+"
+J_ENDS = "[.!?…。！？][\"'’”»)\\]]*$"
+J_MARKER = "^(?:[-*+•–—·>]|#{1,6}|[(]?[\\p{L}\\p{N}_]{1,3}[.)]|\\[[ xX]?\\])\\p{Z}+"
 
-STATS = (
-    "n_chars long, n_visible long, n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines long, "
-    "end_punctuation_share double, list_line_share double, common_word_share double, prose_share double, duplicate_line_share double, "
-    "duplicate_paragraph_share double, top_ngram_coverage double, kind string"
-)
+READ = "n_visible long, common_word_share double, prose_share double, duplicate_line_share double, duplicate_paragraph_share double, top_ngram_coverage double, kind string"
 
 
 def plain(s: str) -> str:
@@ -54,8 +67,8 @@ def word_key(w: str) -> str:
 
 
 def word_keys(s: str) -> list[str]:
-    """The words of a text for comparison."""
-    return TOKEN.findall(s.lower()) if s.isascii() else [word_key(w) for w in TOKEN.findall(s)]
+    """The words of a text for comparison; decomposed letters are put together first."""
+    return TOKEN.findall(s.lower()) if s.isascii() else [word_key(w) for w in TOKEN.findall(unicodedata.normalize("NFC", s))]
 
 
 def visible(s: str) -> int:
@@ -72,31 +85,31 @@ class Prose:
         solid = sorted({w for ws in common.values() for w in ws if CJK.search(w)}, key=len, reverse=True)
         self.solid = re.compile("|".join(map(re.escape, solid))) if solid else None
 
-    def common_share(self, words: list[str]) -> tuple[float, int]:
-        """Of the language that fits best: the share of its common words, and how many different ones."""
+    def common_counts(self, words: list[str]) -> dict[str, list[str]]:
+        """The common words among these, by language."""
         hits = [w for w in words if w in self.known]
-        best = (0, 0)
-        for ws in self.spaced.values() if hits else ():
-            own = [w for w in hits if w in ws]
-            best = max(best, (len(own), len(set(own))))
-        return best[0] / max(1, len(words)), best[1]
+        return {lang: own for lang, ws in self.spaced.items() if (own := [w for w in hits if w in ws])} if hits else {}
 
-    def sentence(self, unit: str) -> bool | None:
+    def sentence(self, unit: str, words: list[str], hits: dict[str, list[str]]) -> bool | None:
         """Whether a unit is a running sentence; None if it is too short to tell."""
-        if CJK.search(unit) and self.solid is not None:
+        marks = UNSEEN.sub("", unit)
+        cjk = CJK.search(unit)
+        solid = len(marks) > LONGEST and not cjk and max(map(len, unit.split())) > max(LONGEST, len(marks) // 2)
+        if solid or len(SYMBOL.sub("", marks)) > SYMBOLS * len(marks):
+            return False
+        if cjk and self.solid is not None:
             body = re.sub(r"[\W\d_]+", "", unit)
             if len(CJK.findall(body)) * 2 > len(body):
                 if len(body) < 6:
                     return None
                 return bool(KANA.search(body)) and sum(map(len, self.solid.findall(body))) >= KANA_SHARE * len(body)
-        words = word_keys(unit)
+        if not words or marks.isdigit():
+            return False
         if len(words) < LEAST_WORDS:
             return None
-        marks = UNSEEN.sub("", unit)
-        if len(SYMBOL.sub("", marks)) > SYMBOLS * len(marks):
-            return False
-        share, different = self.common_share(words)
-        return share >= SHARE and different >= DIFFERENT
+        n, different = max(((len(x), len(set(x))) for x in hits.values()), default=(0, 0))
+        formed = len(words) >= FORMED_WORDS and bool(ENDS.search(unit)) and unit.lstrip("\"'“«¿¡(")[:1].isupper()
+        return n >= (FORMED_SHARE if formed else SHARE) * len(words) and different >= DIFFERENT
 
     def units(self, text: str) -> Iterator[list[str]]:
         """The sentences of each block of lines; wrapped lines are put together, list entries stay apart."""
@@ -104,25 +117,34 @@ class Prose:
         for line in [*text.split("\n"), ""]:
             line = line.strip()
             starts = not line or not block or bool(MARKER.match(line)) or bool(SPEAKER.match(line))
-            wrapped = block and not starts and not ENDS.search(block[-1]) and len(block[-1].split("\n")[-1]) >= 40
+            wrapped = block and not starts and not ENDS.search(block[-1]) and len(block[-1]) >= 40 and len(block[-1].rsplit(None, 1)[-1]) <= LONGEST
             if block and not wrapped:
                 yield [x for x in SENTENCE.split(" ".join(block)) if x]
                 block = []
             if line:
                 block.append(line)
 
-    def prose_chars(self, text: str) -> int:
-        """The visible characters in running sentences; units too short to tell go with the one before in their block."""
-        total = 0
+    def read(self, text: str) -> tuple[int, float]:
+        """The visible characters in running sentences, and the share of the best language's common words.
+
+        Units too short to tell go with the one before in their block."""
+        total = n_words = 0
+        by: Counter[str] = Counter()
         for block in self.units(text):
-            states = [self.sentence(u) for u in block]
-            known = [s for s in states if s is not None]
-            last = known[0] if known else False
+            states = []
+            for u in block:
+                words = word_keys(u)
+                hits = self.common_counts(words)
+                n_words += len(words)
+                for lang, own in hits.items():
+                    by[lang] += len(own)
+                states.append(self.sentence(u, words, hits))
+            last = next((s for s in states if s is not None), False)
             for u, s in zip(block, states):
                 last = last if s is None else s
                 if last:
                     total += visible(u)
-        return total
+        return total, max(by.values(), default=0) / max(1, n_words)
 
 
 def _repeated(parts: list[str]) -> float:
@@ -137,48 +159,74 @@ def _repeated(parts: list[str]) -> float:
     return again / total if total else 0.0
 
 
-def statistics(text: str | None, prose: Prose, lang: str | None = None) -> tuple:
-    """The values of ``STATS`` for one text; zeros and kind 'empty' for null, empty and blank ones."""
+def top_coverage(words: list[str]) -> float:
+    """The share of the words' characters that the dominant n-gram covers; 0 if none occurs twice."""
+    grams = list(zip(*(words[i:] for i in range(GRAM))))
+    if len(set(grams)) == len(grams):
+        return 0.0
+    most = max(n * sum(map(len, g)) for g, n in Counter(grams).items() if n > 1)
+    return min(1.0, most / sum(map(len, words)))
+
+
+def kind_of(text: str, seen: int, lines: list[str], n_words: int, share: float, repeated: float, coverage: float) -> str:
+    """The combined rules: the same few words over and over are junk, whatever they are; running sentences that repeat
+    each other are boilerplate; else the form of the lines decides."""
+    if share >= 0.5 and not (coverage >= JUNK_COVERAGE and n_words >= JUNK_WORDS):
+        return "boilerplate" if repeated >= BOILERPLATE or (n_words > 30 and coverage >= BOILERPLATE_COVERAGE) else "prose"
+    if share >= 0.5 or not n_words:
+        return "junk"
+    lists = sum(bool(MARKER.match(x)) for x in lines) / len(lines)
+    if lists >= 0.5:
+        return "list"
+    delimiters = Counter(c for x in lines for c in ("|", "\t", ";", ",") if x.count(c) >= 2)
+    if len(lines) > 1 and any(n >= 0.6 * len(lines) for n in delimiters.values()):
+        return "table"
+    dense = max(map(len, text.split())) > 0.5 * seen or len(SYMBOL.sub("", text)) + text.count("_") > 0.3 * seen
+    return "junk" if dense else "list"
+
+
+def read(text: str | None, prose: Prose) -> tuple:
+    """The values of ``READ`` for one text; zeros and kind 'empty' for null, empty and blank ones."""
     text = text or ""
     seen = visible(text)
     if not seen:
-        return (len(text), 0, 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "empty")
+        return (0, 0.0, 0.0, 0.0, 0.0, 0.0, "empty")
+    lines = [x for y in text.splitlines() if (x := y.strip())]
+    paragraphs = [x for y in PARAGRAPH.split(text) if (x := y.strip())] if len(lines) > 1 else lines
     words = TOKEN.findall(text)
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
-    symbols = len(SYMBOL.sub("", text)) + text.count("_")
-    digits = len(text) - len(DIGIT.sub("", text))
-    grams = Counter(zip(*(words[i:] for i in range(3)))) if len(words) >= 3 else Counter()
-    top, n = max(grams.items(), key=lambda x: (x[1] * sum(map(len, x[0])), x[0])) if grams else ((), 0)
-    coverage = min(1.0, n * sum(map(len, top)) / max(1, sum(map(len, words)))) if n > 1 else 0.0
-    share = prose.prose_chars(text) / seen
-    lists = sum(bool(MARKER.match(x)) for x in lines) / len(lines)
-    repeated = _repeated(lines)
-    if share >= 0.5:
-        kind = "boilerplate" if repeated >= 0.5 or (len(words) > 30 and coverage >= 0.3) else "prose"
-    else:
-        delimiters = Counter(c for x in lines for c in ("|", "\t", ";", ",") if x.count(c) >= 2)
-        table_ = len(lines) > 1 and any(n >= 0.6 * len(lines) for n in delimiters.values())
-        dense = max(map(len, text.split())) > 0.5 * seen or symbols > 0.3 * seen
-        kind = "list" if lists >= 0.5 else "table" if table_ else "junk" if dense or not words else "list"
-    return (
-        len(text), seen, len(words), sum(map(len, words)) / max(1, len(words)), symbols / len(text), digits / len(text),
-        len(lines), sum(bool(ENDS.search(x)) for x in lines) / len(lines), lists, prose.common_share(word_keys(text))[0], share, repeated,
-        _repeated(paragraphs), coverage, kind,
-    )
+    chars, common = prose.read(text)
+    share, repeated, coverage = chars / seen, _repeated(lines), top_coverage(words)
+    return (seen, common, share, repeated, _repeated(paragraphs), coverage, kind_of(text, seen, lines, len(words), share, max(repeated, _repeated(paragraphs)), coverage))
 
 
 def text_statistics(df: DataFrame, id_col: str, text_col: str, common: dict[str, set[str]]) -> DataFrame:
-    """(id_col, STATS) of each text. Rows of one id are one row: that with the smallest text, nulls last; null ids drop
-    out. ``prose_share`` is the part of the visible characters in running sentences. Other columns are ignored."""
-    rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
-    names = [x.split()[0] for x in STATS.split(", ")]
+    """(id_col, counts, shares, kind) of each text. Rows of one id are one row: that with the smallest text, nulls last;
+    null ids drop out. Null, empty and blank texts have zeros and kind 'empty'. ``prose_share`` is the part of the
+    visible characters in running sentences. Other columns are ignored."""
+    rows = one_row_each(df.select(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), F.col(text_col).alias("text")), "id", F.min)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"struct<{READ.replace(' long', ':long').replace(' double', ':double').replace(' string', ':string')}>")
+    def values(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         prose = Prose(common)
-        for pdf in batches:
-            out = pd.DataFrame([statistics(t, prose) for t in pdf["text"]], columns=names)
-            out.insert(0, "id", pdf["id"])
-            yield out
-
-    return rows.mapInPandas(scan, f"id {df.schema[id_col].dataType.simpleString()}, {STATS}").withColumnRenamed("id", id_col)
+        for texts in batches:
+            yield pd.DataFrame([read(t, prose) for t in texts], columns=[x.split()[0] for x in READ.split(", ")])
+
+    got = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), values(F.col("text")).alias("r"))
+    return got.select(F.col("id").alias(id_col), *counts(F.col("text")), *[F.col(f"r.{x.split()[0]}") for x in READ.split(", ")])
+
+
+def counts(text: Column) -> list[Column]:
+    """The plain counts of a text that isn't null, as expressions; all zero where nothing is visible."""
+    seen = F.regexp_replace(text, J_UNSEEN, "") != ""
+    words = F.regexp_extract_all(text, F.lit(f"({J_WORD})"), F.lit(1))
+    n_words = F.size(words)
+    letters = F.length(F.array_join(words, ""))
+    size = F.greatest(F.length(text), F.lit(1))
+    lines = F.filter(F.split(text, r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"), lambda x: strip(x) != "")
+    of_lines = lambda test: F.when(seen, F.size(F.filter(lines, lambda x: test(strip(x)))) / F.greatest(F.size(lines), F.lit(1))).otherwise(0.0)
+    or_zero = lambda c, name: F.when(seen, c).otherwise(F.lit(0)).alias(name)
+    return [
+        F.length(text).cast("long").alias("n_chars"), or_zero(n_words.cast("long"), "n_words"), or_zero(letters / F.greatest(n_words, F.lit(1)), "mean_word_length"),
+        or_zero(F.length(F.regexp_replace(text, J_SYMBOL, "")) / size, "symbol_ratio"), or_zero(F.length(F.regexp_replace(text, r"\P{Nd}+", "")) / size, "digit_ratio"),
+        or_zero(F.size(lines).cast("long"), "n_lines"), of_lines(lambda x: F.regexp_like(x, F.lit(J_ENDS))).alias("end_punctuation_share"), of_lines(lambda x: F.regexp_like(x, F.lit(J_MARKER))).alias("list_line_share"),
+    ]

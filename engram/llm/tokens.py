@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.sources.tables import one_row_each
+
 #: Where the vocabularies lie; a parameter of each function here.
 VOCABULARIES = os.environ.get("ENGRAM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits a text before the merges.
@@ -184,8 +186,8 @@ def encode_corpus(
     made = "n_tokens" if counts_only else "ids"
     out = "n_tokens long" if counts_only else "ids array<int>"
     kept = [f"k{i}" for i in range(len(keep))]
-    row = F.struct(F.col(text_col).isNull().alias("none"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
-    rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(row).alias("r")).select("id", "r.text", *[f"r.{k}" for k in kept])
+    named = df.select(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
+    rows = one_row_each(named, "id", F.min).drop("none")
     long_ = F.coalesce(F.length("text"), F.lit(0)) > chunk
     head = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ["id", *kept])
 

@@ -320,12 +320,18 @@ NOT_PROSE = [
 
 def test_prose_is_told_from_lists_tables_and_junk():
     p = quality.Prose(COMMON)
-    share = lambda t: quality.statistics(t, p)[10]
+    share = lambda t: quality.read(t, p)[2]
     wrapped = "The lock of the gateway was flushed, and we\nsaw that it was stale. It is said that the\nplan was changed."
     for t in (PROSE, PROSE.upper(), wrapped, f"user: {PROSE}", f"- {PROSE}", PROSE.replace(" ", "​ "), "Der Lauf war nicht fertig, und die Planung war es nicht.", "記録は昨日の夜に確認されましたが、応答がありませんでした。"):
         assert share(t) > 0.9, t
     for t in NOT_PROSE:
         assert share(t) < 0.1, t
+    symbols = "{&:~ +;] %$# ! [<_ ? *) @>| ~ &( " * 20
+    blob = "Gecg5405O62aaX0clX8jAmnMjYh1AlG1db" * 9
+    for t in (f"{symbols} {PROSE}", f"{blob} {PROSE}", f"{PROSE} {symbols}", f"{blob}/{blob}+{blob}==\n{PROSE}"):
+        assert share(t) < 0.5 and quality.read(t, p)[6] == "junk", t
+    assert quality.read("the of the was " * 20, p)[6] == "junk"
+    assert share("De\u0301r Lauf war ni\u0301cht fertig, und die Planung war es nicht.") > 0.9
     assert share(f"{PROSE}\n" + "- idle cursor 5\n" * 40) < 0.5 < share(f"{PROSE * 9}\n- idle cursor\n")
 
 
@@ -337,5 +343,5 @@ def test_statistics_values(spark):
     r = got[1]
     assert (r["n_chars"], r["n_visible"], r["n_words"], r["n_lines"]) == (19, 13, 5, 3)
     assert r["end_punctuation_share"] == pytest.approx(2 / 3) and r["duplicate_line_share"] == pytest.approx(6 / 16) and r["symbol_ratio"] == pytest.approx(3 / 19)
-    assert got[5]["n_words"] == 300 * len(quality.TOKEN.findall(PROSE)) - 299 or got[5]["prose_share"] > 0.9
+    assert got[5]["n_words"] == len(quality.TOKEN.findall(PROSE * 300)) and got[5]["prose_share"] > 0.9 and got[5]["kind"] == "prose"
     assert quality.text_statistics(df.limit(0), "doc_id", "text", COMMON).collect() == []
