@@ -21,9 +21,12 @@ from engram.plans.staging import stage
 
 #: Letters of other alphabets that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсхуіѕјкмтнвԁԛѡһԍզոսаοαρνικτεγ", "aeopcxyisjkmthbdqwhgqnuaoapviktey")
+#: Letters that decompose into others only by custom.
+SPELT = {"ß": "ss", "ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i"}
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-UNSEEN = re.compile("[\xad​-‏⁠-⁤﻿]")
-#: Tokens cut short must keep this many characters.
+UNSEEN = re.compile("[\xad\u200b-\u200f\u2060-\u2064\ufeff]")
+WORD = re.compile(r"[^\W_]+")
+#: Tokens cut short must keep this many characters; shorter abbreviations are not repaired. A parameter of ``repair``.
 PREFIX = 4
 #: The share of an entry's weight that a spelling must cover.
 COVERED = 0.72
@@ -31,18 +34,22 @@ COVERED = 0.72
 
 def latin(s: str) -> str:
     """Without invisible characters and accents, look-alike letters as Latin ones; letter case is kept."""
+    if s.isascii():
+        return s
     s = unicodedata.normalize("NFKD", UNSEEN.sub("", s))
     s = "".join(c for c in s if not unicodedata.combining(c))
-    return "".join(x.upper() if c.isupper() and not x.isupper() else x for c, x in ((c, c.lower().translate(LOOKALIKES) if not c.isascii() else c) for c in s))
+    return "".join(x.upper() if c.isupper() and not x.isupper() else x for c, x in ((c, SPELT.get(y, y) if not c.isascii() else c) for c in s for y in (c.lower().translate(LOOKALIKES),)))
 
 
 def token_sets(s: str) -> list[list[str]]:
-    """The ways to cut a spelling: into its words, into its camel-case words, and as one word; each without repeats."""
+    """The ways to cut a spelling: into its words, into its camel-case words, and as one word; each without repeats.
+
+    Words are runs of letters and digits of any script. A spelling without any is one token as it is."""
     s = latin(s)
     s = re.sub(r"['’`]s\b", "", s)
-    plain = re.findall(r"[a-z0-9]+", s.lower())
-    camel = re.findall(r"[a-z0-9]+", CAMEL.sub(" ", s).lower())
-    out = [list(dict.fromkeys(x)) for x in (plain, camel, ["".join(plain)])]
+    plain = WORD.findall(s.lower()) or s.split()[:1] and [" ".join(s.lower().split())]
+    camel = WORD.findall(CAMEL.sub(" ", s).lower())
+    out = [list(dict.fromkeys(x)) for x in (plain, camel, ["".join(plain)] if plain else [])]
     return [x for i, x in enumerate(out) if x and x not in out[:i]]
 
 
@@ -51,36 +58,51 @@ def allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 6 else 2 if length < 14 else 3
 
 
-def _segments(length: int) -> list[tuple[int, int]]:
-    """Start and length of the segments of a token: one more than its edits, so one of them stays whole."""
-    parts = allowed(length) + 1
-    size, more = divmod(length, parts)
-    out, at = [], 0
-    for i in range(parts):
-        n = size + (i >= parts - more)
-        out.append((at, n))
-        at += n
-    return out
+def allowed_column(length: Column) -> Column:
+    return F.when(length < 4, 0).when(length < 6, 1).when(length < 14, 2).otherwise(3)
 
 
-def reference_keys(token: str) -> list[str]:
-    """The keys of a reference word; the one for its beginning comes last."""
-    n = len(token)
-    return [f"{n}:{i}:{token[a : a + k]}" for i, (a, k) in enumerate(_segments(n))] + [f"p:{token[:PREFIX]}"]
+def _segment(length: Column, i: Column) -> tuple[Column, Column]:
+    """Start and size of the i-th segment of a token: one segment more than its edits, so one of them stays whole."""
+    parts = allowed_column(length) + 1
+    size, more = F.floor(length / parts).cast("int"), F.pmod(length, parts)
+    late = F.greatest(i - (parts - more), F.lit(0))
+    return i * size + late, size + (i >= parts - more).cast("int")
 
 
-def query_keys(token: str) -> list[str]:
-    n, keys = len(token), set()
-    for length in range(max(1, n - 3), n + 4):
-        edits = allowed(length)
-        if abs(n - length) <= edits:
-            for i, (a, k) in enumerate(_segments(length)):
-                keys.update(f"{length}:{i}:{token[b : b + k]}" for b in range(max(0, a - edits), min(n - k, a + edits) + 1))
-    return sorted(keys) + ([f"p:{token[:PREFIX]}"] if n >= PREFIX else [])
+def _key(length: Column, i: Column, part: Column) -> Column:
+    return F.xxhash64(length, i, part)
 
 
-def allowed_column(length: Column) -> Column:
-    return F.when(length < 4, 0).when(length < 6, 1).when(length < 14, 2).otherwise(3)
+def reference_keys(word: Column, prefix: int) -> Column:
+    """The keys of a reference word: its segments, and its beginning."""
+    n = F.length(word)
+
+    def segment(i: Column) -> Column:
+        a, k = _segment(n, i)
+        return _key(n, i, F.substring(word, a + 1, k))
+
+    return F.array_append(F.transform(F.sequence(F.lit(0), allowed_column(n)), segment), F.xxhash64(F.substring(word, 1, prefix)))
+
+
+def query_keys(token: Column, prefix: int) -> Column:
+    """The keys of a token: for each length that a reference word within the edits may have, the substrings that may be
+    its i-th segment whole. With i segments before it and the others behind, no more edits can lie on either side."""
+    n, none = F.length(token), F.array().cast("array<bigint>")
+
+    def of_length(length: Column) -> Column:
+        edits, longer = allowed_column(length), n - length
+
+        def segment(i: Column) -> Column:
+            a, k = _segment(length, i)
+            low = F.greatest(F.lit(0), a - i, a + longer - (edits - i))
+            high = F.least(n - k, a + i, a + longer + (edits - i))
+            return F.when(low <= high, F.transform(F.sequence(low, high), lambda b: _key(length, i, F.substring(token, b + 1, k)))).otherwise(none)
+
+        return F.when(F.abs(longer) <= edits, F.flatten(F.transform(F.sequence(F.lit(0), edits), segment))).otherwise(none)
+
+    near = F.flatten(F.transform(F.sequence(F.greatest(n - 3, F.lit(1)), n + 3), of_length))
+    return F.array_distinct(F.concat(near, F.when(n >= prefix, F.array(F.xxhash64(F.substring(token, 1, prefix)))).otherwise(none)))
 
 
 def _each(fn, arg: str, *outs: str):
@@ -98,21 +120,24 @@ def _cuts(s: str) -> list[tuple[int, list[str], bool]]:
     return [(i, x, len(x) == 1 and len(sets) > 1) for i, x in enumerate(sets)]
 
 
-def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def repair(tokens: DataFrame, vocabulary: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """(token, word, sim): each distinct token with the reference words that it may stand for, sim in (0, 1].
 
-    ``vocabulary``: word, solid. Within the allowed edits of the word, or the beginning of it; the cost of a missing
-    end grows with its length. The beginning of several words written as one (solid) is no spelling of all of them.
+    ``vocabulary``: word, solid. Within the allowed edits of the word, or the beginning of it with ``prefix`` characters
+    or more; the cost of a missing end grows with its length. The beginning of several words written as one (solid) is
+    no spelling of all of them.
     """
     # so few bytes would be read by one task, though each token makes many keys
     spread = tokens.select("token").repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    left = spread.mapInPandas(_each(lambda t: [(k,) for k in query_keys(t)], "token", "k"), "token string, k string")
-    right = vocabulary.select("word").mapInPandas(_each(lambda t: [(k,) for k in reference_keys(t)], "word", "k"), "word string, k string")
-    pairs = left.join(right, "k").select("token", "word").distinct().join(vocabulary.select("word", "solid"), "word")
-    edits, n, m = F.levenshtein("token", "word"), F.length("token"), F.length("word")
-    near = F.when(edits <= allowed_column(m), 1 - 0.6 * edits / F.greatest(n, m))
-    cut = F.when(~F.col("solid") & (n < m) & F.startswith("word", "token") & (n >= PREFIX), 0.8 + 0.15 * n / m)
-    return pairs.select("token", "word", F.greatest(F.coalesce(near, F.lit(0.0)), F.coalesce(cut, F.lit(0.0))).alias("sim")).where(F.col("sim") > 0)
+    left = spread.select("token", F.explode(query_keys(F.col("token"), prefix)).alias("k"))
+    right = vocabulary.select("word", "solid", F.explode(reference_keys(F.col("word"), prefix)).alias("k"))
+    edits, n, m = F.levenshtein("token", "word", 3), F.length("token"), F.length("word")
+    letters = lambda c: F.sort_array(F.split(c, ""))
+    swapped = F.when((edits == 2) & (n == m) & (letters("token") == letters("word")), 0.5).otherwise(0.0)  # two letters swapped are less than two edits
+    near = F.when((edits >= 0) & (edits <= allowed_column(m)), 1 - 0.6 * (edits - swapped) / F.greatest(n, m))
+    cut = F.when(~F.col("solid") & (n < m) & F.startswith("word", "token") & (n >= prefix), 0.8 + 0.15 * n / m)
+    sim = F.greatest(F.coalesce(near, F.lit(0.0)), F.coalesce(cut, F.lit(0.0)))
+    return left.join(right, "k").select("token", "word", sim.alias("sim")).where(F.col("sim") > 0).distinct()
 
 
 def rank_entries(spellings: DataFrame, entries: DataFrame, covered: float = COVERED) -> DataFrame:
@@ -140,6 +165,7 @@ def rank_entries(spellings: DataFrame, entries: DataFrame, covered: float = COVE
     matched = (
         cut.join(repaired, "token")
         .join(postings, "word")
+        .repartition("spelling")  # one exchange for all that follows
         .groupBy("spelling", "form", "form_id", "word")
         .agg(F.max(F.struct("sim", "token")).alias("best"), F.first("idf").alias("idf"))
         .groupBy("spelling", "form", "form_id", "best.token")  # one token stands for one word

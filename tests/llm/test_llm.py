@@ -264,13 +264,16 @@ def test_mix_reaches_shares(spark):
 ENTRIES = [
     ("e1", "Person", "Zangormelpel Lorlumrhokra"), ("e1", "Person", "halcaltaol"), ("e2", "Project", "meadow-monitor"), ("e3", "Tool", "Meadow Monitor"),
     ("e4", "Service", "CobaltLedger"), ("e5", "API", "cobalt gateway"), ("e5", "API", None), ("e6", "Metric", "Ember Forecast"), ("e7", "Team", "Rosemary Ledger"),
+    ("e8", "Place", "東京タワー"), ("e9", "Place", "Большая Садовая"), ("e10", "Place", "Große Straße"), ("e11", "Place", "Łódź"), ("e12", "Symbol", "🙂🙃"),
+    ("e13", "Service", "lavender-gate"), ("e14", "Service", "oleander_gate"),
 ]
 MENTIONS = [
     (1, "zangormelpel lorlumrhokra", "person", None, "e1"), (2, "Lorlumrhokra, Zangormelpel", None, [], "e1"), (3, "ZangormelpelLorlunrhokra", "person", [], "e1"),
     (4, "Halcaltoal", None, None, "e1"), (5, "meadow_monitor", "project", [], "e2"), (6, "the MEADOW monitr (prod)", "tool", [], "e3"), (7, "meadow-monitor", None, [], "e2"),
     (8, "cobalt ledg.", "other", [], "e4"), (9, "соbаlt-lеdgеr's", "other", [], "e4"), (10, "cöbált​gateway", None, [], "e5"), (11, "it", None, ["cobalt.gateway"], "e5"),
     (12, "it", None, [], ""), (13, None, None, None, ""), (14, " ", "tool", [None, ""], ""), (15, "cobalt", "other", [], ""), (16, "ember crawler", "other", [], ""), (17, "???", None, None, ""),
-    (18, "x" * 3000, None, None, ""),
+    (18, "x" * 3000, None, None, ""), (19, "東京タワー", None, None, "e8"), (20, " 東京タワ", None, None, "e8"), (21, "большая  садавая", None, None, "e9"), (22, "grosse strasse", None, None, "e10"),
+    (23, "Lodz", None, None, "e11"), (24, "ŁÓDŹ", None, None, "e11"), (25, "🙂🙃", None, None, "e12"), (26, "大阪", None, None, ""), (27, "🙃", None, None, ""), (28, "Olaender Gate", None, None, "e14"),
 ]
 
 
