@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.plans.staging import stage
+
 RUN = re.compile("([^\0])\\1+", re.DOTALL)
 FIRST_SYMBOL = 0x10000  # beyond the surrogates
 SEGMENTS = "rid string, record_id string, event string, first_pos long, last_pos long, first_us long, last_us long, n long, part long, head boolean, tail boolean"
@@ -50,10 +52,13 @@ def collapse_runs(events: DataFrame, gap_seconds: int = 600, partitions: int | N
     """
     spark = events.sparkSession
     gap_us = int(gap_seconds * 1_000_000)
-    ordered = (
+    # staged, since range partitioning reads its input twice, once to sample it
+    rows = stage(
         events.where(F.col("t").isNotNull() & F.col("rid").isNotNull())
         .select("rid", "record_id", F.col("pos").cast("long").alias("pos"), F.unix_micros(F.col("t").cast("timestamp")).alias("us"), "event")
-        .repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "rid", "us", "pos")
+    )
+    ordered = (
+        rows.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "rid", "us", "pos")
         .sortWithinPartitions("rid", "us", "pos")
         .withColumn("part", F.spark_partition_id().cast("long"))
     )

@@ -5,18 +5,22 @@ ends; it is extended by a temporal join with an item's list on the entity. For s
 and each item occurrence knows the one before it, so the join itself gives the first later occurrence and needs no
 aggregation. Patterns below the support are pruned by the number of distinct entities before the next extension.
 The frequent patterns of a level are gathered to the driver: at a relative support s there are at most (patterns
-per entity) / s of them, however many entities there are.
+per entity) / s of them, however many entities there are. So the next level's candidates are made there: a pattern all
+of whose parts are frequent. Each level is joined once, from the lists of the level before, and all lists stay
+partitioned by entity.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.plans.staging import stage
+
 #: A record's sequence longer than this is reduced before mining, see ``useful``.
 LONG = 4_096
 
@@ -68,6 +72,21 @@ def _among(df: DataFrame, pats: set[int]) -> DataFrame:
     return df.join(F.broadcast(few), "pat", "left_semi")
 
 
+def _candidates(level: dict[int, int], n: int, k: int) -> set[int]:
+    """The patterns of n + 1 steps whose every part of n steps is among the frequent patterns ``level``."""
+    heads: dict[int, list[int]] = {}
+    for p in level:
+        heads.setdefault(p // k, []).append(p % k)
+    out = set()
+    for p in level:
+        for x in heads.get(p % k ** (n - 1), ()):
+            new = p * k + x
+            # without one inner step: the steps before it, and those behind
+            if all(new // k ** (i + 1) * k**i + new % k**i in level for i in range(1, n)):
+                out.add(new)
+    return out
+
+
 def _names(found: dict[int, int], length: int, items: list[str], kind: str) -> list[tuple]:
     k, out = len(items), []
     for p, n in found.items():
@@ -100,22 +119,20 @@ def sequence_patterns(events: DataFrame, support: float, lengths: tuple[int, ...
     if hot := not long_.isEmpty():
         long_ = long_.persist()
         short = rows.join(long_, "rid", "left_anti")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     step = F.when(F.col("name").isNotNull(), F.struct("t", "pos", "name"))  # collect_list leaves nulls out
-    seqs = short.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["name"]).alias("seq"))
+    listed = F.transform(F.array_sort(F.collect_list(step)), lambda x: x["name"]).alias("seq")
+    seqs = short.repartition(parts, "rid").groupBy("rid").agg(listed)
     if hot:
+        ordered = stage(rows.join(long_, "rid", "left_semi").where(F.col("name").isNotNull()).withColumn("item", F.col("name")))
         reduced = (
-            rows.join(long_, "rid", "left_semi")
-            .where(F.col("name").isNotNull())
-            .withColumn("item", F.col("name"))
-            .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid", "t", "pos")
+            ordered.repartitionByRange(parts, "rid", "t", "pos")
             .sortWithinPartitions("rid", "t", "pos")
             .mapInPandas(_reduce_long(longest), "rid string, name string, t timestamp, pos long, item string")
         )
         # an entity without named events is still one
         kept = long_.select("rid", F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("name"))
-        seqs = seqs.unionByName(
-            reduced.select("rid", "t", "pos", "name").unionByName(kept).groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["name"]).alias("seq"))
-        )
+        seqs = seqs.unionByName(reduced.select("rid", "t", "pos", "name").unionByName(kept).groupBy("rid").agg(listed)).repartition(parts, "rid")
     seqs = seqs.persist()
     try:
         items, least = _frequent(seqs.select(F.array_distinct("seq").alias("names")), support)
@@ -131,7 +148,17 @@ def sequence_patterns(events: DataFrame, support: float, lengths: tuple[int, ...
             .persist()
         )
         try:
-            return _grow(lists, k, items, least, lengths, kind)
+            later = lists.select("rid", "item", "at", "prev")
+
+            def extend(ends: DataFrame) -> DataFrame:
+                return (
+                    ends.join(later, "rid")
+                    .where((F.col("at") > F.col("end")) & (F.col("prev") <= F.col("end")))
+                    .select("rid", (F.col("pat") * k + F.col("item")).alias("pat"), F.col("at").alias("end"))
+                )
+
+            first = lists.where(F.col("prev") == -1).select("rid", F.col("item").alias("pat"), F.col("at").alias("end"))
+            return _grow(extend(first), extend, lambda df: df, k, items, least, lengths, kind)
         finally:
             lists.unpersist()
     finally:
@@ -141,28 +168,26 @@ def sequence_patterns(events: DataFrame, support: float, lengths: tuple[int, ...
             long_.unpersist()
 
 
-def _grow(lists: DataFrame, k: int, items: list[str], least: float, lengths: tuple[int, ...], kind: str) -> list[tuple]:
-    """Extend the frequent patterns step by step."""
-    out, level, longest = [], {}, max(lengths)
-    first = lists.where(F.col("prev") == -1).select("rid", F.col("item").alias("pat"), F.col("at").alias("end"))
-    later = lists.select("rid", "item", "at", "prev")
-
-    def extend(ends: DataFrame) -> DataFrame:
-        return (
-            ends.join(later, "rid")
-            .where((F.col("at") > F.col("end")) & (F.col("prev") <= F.col("end")))
-            .select("rid", (F.col("pat") * k + F.col("item")).alias("pat"), F.col("at").alias("end"))
-        )
-
-    for length in range(2, longest + 1):
-        ends = first
-        for i in range(2, length):  # only the prefixes of patterns that are still frequent
-            ends = _among(extend(ends), {p // k ** (length - 1 - i) for p in level})
-        level = _level(extend(ends).groupBy("pat").agg(F.count("*").alias("support")), least)
-        if not level:
-            break
-        if length in lengths:
-            out += _names(level, length, items, kind)
+def _grow(
+    grown: DataFrame, extend: Callable[[DataFrame], DataFrame], once: Callable[[DataFrame], DataFrame], k: int, items: list[str], least: float, lengths: tuple[int, ...], kind: str
+) -> list[tuple]:
+    """Extend the frequent patterns step by step, from those of two steps; ``once``: one row for each entity and pattern."""
+    out, kept, longest = [], [], max(lengths)
+    try:
+        for length in range(2, longest + 1):
+            if length < longest:
+                grown = grown.persist()
+                kept.append(grown)
+            level = _level(once(grown).groupBy("pat").agg(F.count("*").alias("support")), least)
+            if length in lengths:
+                out += _names(level, length, items, kind)
+            wanted = _candidates(level, length, k)
+            if length == longest or not wanted:
+                break
+            grown = _among(extend(_among(grown, {p // k for p in wanted})), wanted)
+    finally:
+        for df in kept:
+            df.unpersist()
     return out
 
 
@@ -206,6 +231,7 @@ def dependency_patterns(nodes: DataFrame, support: float, lengths: tuple[int, ..
     spark, longest = nodes.sparkSession, max(lengths)
     graphs = (
         nodes.where(F.col("rid").isNotNull())
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid")
         .groupBy("rid")
         .agg(F.collect_list(F.struct("node", F.coalesce("name", F.lit("")).alias("name"), "deps")).alias("g"))
         .persist()
@@ -224,24 +250,16 @@ def dependency_patterns(nodes: DataFrame, support: float, lengths: tuple[int, ..
         steps = (
             graphs.select("rid", F.col("g.node").alias("nodes"), F.col("g.name").alias("names"), F.col("g.deps").alias("deps"))
             .mapInPandas(closure, "rid string, u long, first long, v long, item long")
+            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid")
             .persist()
         )
         later = steps.select("rid", "u", "v", "item")
-        out, level = [], {}
 
         def extend(ends: DataFrame) -> DataFrame:
             return ends.join(later, ["rid", "u"]).select("rid", (F.col("pat") * k + F.col("item")).alias("pat"), F.col("v").alias("u")).distinct()
 
-        for length in range(2, longest + 1):
-            ends = steps.select("rid", (F.col("first") * k + F.col("item")).alias("pat"), F.col("v").alias("u")).distinct()
-            for i in range(2, length):
-                ends = extend(_among(ends, {p // k ** (length - 1 - i) for p in level}))
-            level = _level(ends.select("rid", "pat").distinct().groupBy("pat").agg(F.count("*").alias("support")), least)
-            if not level:
-                break
-            if length in lengths:
-                out += _names(level, length, items, kind)
-        return out
+        pairs = steps.select("rid", (F.col("first") * k + F.col("item")).alias("pat"), F.col("v").alias("u")).distinct()
+        return _grow(pairs, extend, lambda df: df.select("rid", "pat").distinct(), k, items, least, lengths, kind)
     finally:
         graphs.unpersist()
         if steps is not None:
