@@ -88,7 +88,7 @@ def p6_runs(spark: SparkSession, d: str) -> DataFrame:
     """Each run as one event with count and duration."""
     seconds = (F.unix_micros("last_t") - F.unix_micros("first_t")) / 1e6
     kind = F.split("event", r"\|")
-    return _runs(spark, d).select("record_id", kind[0].alias("event_kind"), kind[1].alias("ref"), "first_pos", "last_pos", F.col("n").alias("n_events"), "first_t", seconds.alias("seconds"))
+    return _runs(spark, d).select("record_id", kind[0].alias("event_kind"), kind[1].alias("ref"), "first_pos", "last_pos", F.col("n").alias("n_events"), F.unix_micros("first_t").alias("first_us"), seconds.alias("seconds"))
 
 
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

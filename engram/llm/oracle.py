@@ -12,21 +12,18 @@ _LINES = f"""SELECT {_ID.format('record_id')} AS id, record_id, pos, t, {_KIND}
     QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')}, pos ORDER BY ingested_at DESC NULLS LAST) = 1"""
 
 
-def _paths(n: int, kind: str, table: str) -> str:
-    """Patterns of n steps by n - 1 self-joins."""
+def _paths(n: int, kind: str) -> str:
+    """Patterns of n steps by n - 1 self-joins, with their support."""
     steps = "||'>'||".join(f"s{i}.name" for i in range(1, n + 1))
     if kind == "event":
         joins = " ".join(f"JOIN seq s{i} ON s{i}.id = s1.id AND s{i}.no > s{i - 1}.no" for i in range(2, n + 1))
-        return f"SELECT 'event' AS seq_kind, {steps} AS pattern FROM seq s1 {joins} GROUP BY 2 HAVING count(DISTINCT s1.id) * 100 >= 6 * (SELECT count(DISTINCT id) FROM lines)"
+        return f"SELECT 'event' AS seq_kind, {steps} AS pattern, {n} AS n_steps, count(DISTINCT s1.id) AS support FROM seq s1 {joins} GROUP BY 2 HAVING count(DISTINCT s1.id) * 100 >= 6 * (SELECT count(DISTINCT id) FROM lines)"
     joins = " ".join(f"JOIN closure c{i} ON c{i}.id = s1.id AND c{i}.u = s{i - 1}.node JOIN nodes s{i} ON s{i}.id = s1.id AND s{i}.node = c{i}.v AND s{i}.name IS NOT NULL" for i in range(2, n + 1))
-    return f"SELECT 'tool', {steps} FROM nodes s1 {joins} WHERE s1.name IS NOT NULL GROUP BY 2 HAVING count(DISTINCT s1.id) * 100 >= 6 * (SELECT count(DISTINCT id) FROM nodes)"
+    return f"SELECT 'tool', {steps}, {n}, count(DISTINCT s1.id) FROM nodes s1 {joins} WHERE s1.name IS NOT NULL GROUP BY 2 HAVING count(DISTINCT s1.id) * 100 >= 6 * (SELECT count(DISTINCT id) FROM nodes)"
 
 
-def _pairs(field: str, rows: str) -> str:
-    words = "list_sort(list_distinct(regexp_extract_all(lower(value), '[a-z0-9]+')))"
-    return f"""SELECT '{field}' AS field, a.key AS key_a, b.key AS key_b FROM (SELECT key, {words} AS w FROM ({rows}) WHERE value IS NOT NULL) a JOIN (SELECT key, {words} AS w FROM ({rows}) WHERE value IS NOT NULL) b
-    ON a.key < b.key AND len(a.w) >= 6 AND len(b.w) >= 6 AND 5 * len(a.w) >= 3 * len(b.w) AND 5 * len(b.w) >= 3 * len(a.w)
-    WHERE 5 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"""
+def _sets(field: str, rows: str) -> str:
+    return f"SELECT '{field}' AS field, key, list_sort(list_distinct(regexp_extract_all(lower(value), '[a-z0-9]+'))) AS w FROM ({rows}) WHERE value IS NOT NULL"
 
 
 _RECALL = "SELECT key, {0} AS value FROM (SELECT DISTINCT ON (key) * FROM recall_dataset WHERE type = 'record')"
@@ -39,16 +36,27 @@ _PLAIN = f"""SELECT doc_id, n_chars, CASE WHEN seen THEN len(w) ELSE 0 END AS n_
     FROM (SELECT doc_id, text, length(text) AS n_chars, regexp_replace(text, '{quality.J_UNSEEN}', '', 'g') <> '' AS seen, regexp_extract_all(text, '{quality.J_WORD.replace("'", "''")}') AS w, {_LINES_OF} AS l
       FROM (SELECT doc_id, coalesce(min(text), '') AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1))"""
 
-SQL = {
-    "p10_counts": _PLAIN,
-    "p3_found": f"""WITH RECURSIVE lines AS ({_LINES}), seq AS (SELECT id, kind AS name, row_number() OVER (PARTITION BY id ORDER BY t, pos) AS no FROM lines WHERE t IS NOT NULL AND kind IS NOT NULL),
+_MINED = f"""WITH RECURSIVE lines AS ({_LINES}), seq AS (SELECT id, kind AS name, row_number() OVER (PARTITION BY id ORDER BY t, pos) AS no FROM lines WHERE t IS NOT NULL AND kind IS NOT NULL),
     nodes AS (SELECT {_ID.format('record_id')} AS id, {_ID.format('node_id')} AS node, nullif(lower(trim(tool, ' ' || chr(9) || chr(10) || chr(13))), '') AS name, depends_on FROM tool_nodes
       QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')}, {_ID.format('node_id')} ORDER BY called_at DESC NULLS LAST) = 1),
     edges AS (SELECT DISTINCT e.id, e.u, e.v FROM (SELECT id, lower(trim(unnest(depends_on))) AS u, node AS v FROM nodes) e JOIN nodes n ON n.id = e.id AND n.node = e.u),
-    closure(id, u, v) AS (SELECT id, u, v FROM edges UNION SELECT c.id, c.u, e.v FROM closure c JOIN edges e ON e.id = c.id AND e.u = c.v)
-    {_paths(3, 'event', '')} UNION ALL {_paths(4, 'event', '')} UNION ALL {_paths(3, 'tool', '')} UNION ALL {_paths(4, 'tool', '')}""",
-    "p6_found": f"""WITH l AS ({_LINES}), o AS (SELECT *, CASE WHEN kind IS NOT NULL AND ref IS NOT NULL AND kind = lag(kind) OVER w AND ref = lag(ref) OVER w AND epoch_us(t) - epoch_us(lag(t) OVER w) <= 600000000 THEN 0 ELSE 1 END AS new
-      FROM l WHERE t IS NOT NULL WINDOW w AS (PARTITION BY id ORDER BY t, pos)), g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY t, pos) AS run FROM o)
-    SELECT first(record_id) AS record_id, first(pos ORDER BY t, pos)::BIGINT AS first_pos, last(pos ORDER BY t, pos)::BIGINT AS last_pos FROM g GROUP BY id, run HAVING count(*) > 1""",
-    "p7_found": f"{_pairs('text', _RECALL.format('text'))} UNION ALL {_pairs('summary', _RECALL.format('summary'))} UNION ALL {_pairs('object', _FACTS)}",
+    closure(id, u, v) AS (SELECT id, u, v FROM edges UNION SELECT c.id, c.u, e.v FROM closure c JOIN edges e ON e.id = c.id AND e.u = c.v),
+    found AS ({_paths(3, 'event')} UNION ALL {_paths(4, 'event')} UNION ALL {_paths(3, 'tool')} UNION ALL {_paths(4, 'tool')})"""
+_RUNS = f"""WITH l AS ({_LINES}), o AS (SELECT *, CASE WHEN kind IS NOT NULL AND ref IS NOT NULL AND kind = lag(kind) OVER w AND ref = lag(ref) OVER w AND epoch_us(t) - epoch_us(lag(t) OVER w) <= 600000000 THEN 0 ELSE 1 END AS new
+      FROM l WHERE t IS NOT NULL WINDOW w AS (PARTITION BY id ORDER BY t, pos)), g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY t, pos) AS run FROM o),
+    r AS (SELECT first(record_id ORDER BY t, pos) AS record_id, first(kind) AS event_kind, first(ref) AS ref, first(pos ORDER BY t, pos)::BIGINT AS first_pos, last(pos ORDER BY t, pos)::BIGINT AS last_pos, count(*) AS n_events,
+      epoch_us(min(t)) AS first_us, (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 AS seconds FROM g GROUP BY id, run HAVING count(*) > 1)"""
+_ALIKE = f"WITH s AS ({_sets('text', _RECALL.format('text'))} UNION ALL {_sets('summary', _RECALL.format('summary'))} UNION ALL {_sets('object', _FACTS)})"
+_NEAR = "a.field = b.field AND len(a.w) >= 6 AND len(b.w) >= 6 AND 5 * len(a.w) >= 3 * len(b.w) AND 5 * len(b.w) >= 3 * len(a.w)"
+_SHARE = "5 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"
+
+SQL = {
+    "p10_counts": _PLAIN,
+    "p3_found": f"{_MINED} SELECT seq_kind, pattern FROM found",
+    "p3_patterns": f"{_MINED} SELECT seq_kind, pattern, n_steps, support FROM found",
+    "p6_found": f"{_RUNS} SELECT record_id, first_pos, last_pos FROM r",
+    "p6_runs": f"{_RUNS} SELECT record_id, event_kind, ref, first_pos, last_pos, n_events, first_us, seconds FROM r",
+    "p7_found": f"{_ALIKE} SELECT a.field, a.key AS key_a, b.key AS key_b FROM s a JOIN s b ON {_NEAR} AND a.key < b.key WHERE {_SHARE}",
+    "p7_classes": f"""{_ALIKE}, u AS (SELECT field, w, count(*) AS copies FROM s WHERE len(w) >= 6 GROUP BY 1, 2), l AS (SELECT a.field, a.w, sum(b.copies) AS links FROM u a JOIN u b ON {_NEAR} AND a.w <> b.w WHERE {_SHARE} GROUP BY 1, 2)
+    SELECT s.field, s.key, md5(s.field || ' ' || array_to_string(s.w, ' ')) AS class_id, u.copies, coalesce(l.links, 0)::BIGINT AS links FROM s JOIN u ON u.field = s.field AND u.w = s.w LEFT JOIN l ON l.field = s.field AND l.w = s.w""",
 }
