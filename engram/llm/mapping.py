@@ -28,6 +28,8 @@ UNSEEN = re.compile("[\xad\u200b-\u200f\u2060-\u2064\ufeff]")
 WORD = re.compile(r"[^\W_]+")
 #: Tokens cut short must keep this many characters; shorter abbreviations are not repaired. A parameter of ``repair``.
 PREFIX = 4
+#: Steps of a similarity, and places of tokens in a spelling (its bytes are fewer), where both are one number.
+SCALE, PLACES = 1_000_000, 1 << 31
 #: The share of an entry's weight that a spelling must cover.
 COVERED = 0.72
 
@@ -159,7 +161,7 @@ def rank_entries(spellings: DataFrame, entries: DataFrame, covered: float = COVE
     cut = stage(
         spellings.where(F.col("spelling").isNotNull()).select("spelling").distinct()
         .mapInPandas(_each(_cuts, "spelling", "form", "tokens", "solid"), "spelling string, form int, tokens array<string>, solid boolean")
-        .select("spelling", "form", F.explode("tokens").alias("token"))
+        .select("spelling", "form", F.posexplode("tokens").alias("at", "token"))
     )
     repaired = stage(repair(cut.select("token").distinct(), weights))
     matched = (
@@ -167,9 +169,10 @@ def rank_entries(spellings: DataFrame, entries: DataFrame, covered: float = COVE
         .join(postings, "word")
         .repartition("spelling")  # one exchange for all that follows
         .groupBy("spelling", "form", "form_id", "word")
-        .agg(F.max(F.struct("sim", "token")).alias("best"), F.first("idf").alias("idf"))
-        .groupBy("spelling", "form", "form_id", "best.token")  # one token stands for one word
-        .agg(F.max(F.col("best.sim") * F.col("idf")).alias("hit"))
+        .agg(F.max(F.floor(F.col("sim") * SCALE) * PLACES - F.col("at")).alias("best"), F.first("idf").alias("idf"))  # as one number: similarity, then place
+        .select("spelling", "form", "form_id", F.ceil(F.col("best") / PLACES).alias("sim"), (F.ceil(F.col("best") / PLACES) * PLACES - F.col("best")).alias("at"), "idf")
+        .groupBy("spelling", "form", "form_id", "at")  # one token stands for one word
+        .agg(F.max(F.col("sim") / SCALE * F.col("idf")).alias("hit"))
         .groupBy("spelling", "form", "form_id")
         .agg(F.sum("hit").alias("hit"))
     )

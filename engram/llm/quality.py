@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,9 @@ from engram.sources.tables import one_row_each
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 UNSEEN = re.compile(r"[\s\x00-\x1f\x7f-\x9f\xad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb\U000e0001-\U000e007f]+")
-SYMBOL, DIGIT = re.compile(r"[\w\s]+"), re.compile(r"\d+")
+SYMBOL = re.compile(r"[\w\s]+")
+#: Beside these, a character may leave no mark.
+ODD = re.compile(r"[^ -~\n¡-¬®-˿぀-鿿]")
 KANA = re.compile("[぀-ヿ]")
 CJK = re.compile("[぀-ヿ㐀-鿿々ー]")
 ENDS = re.compile(r"[.!?…。！？][\"'’”»)\]]*$")
@@ -61,41 +64,46 @@ def plain(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=1 << 16)
 def word_key(w: str) -> str:
     """A word for comparison; single letters keep their accents, since most of them are words in some language."""
     return plain(w) if len(w) > 1 else w.lower()
 
 
 def word_keys(s: str) -> list[str]:
-    """The words of a text for comparison; decomposed letters are put together first."""
-    return TOKEN.findall(s.lower()) if s.isascii() else [word_key(w) for w in TOKEN.findall(unicodedata.normalize("NFC", s))]
+    """The words of a text for comparison."""
+    return TOKEN.findall(s.lower()) if s.isascii() else [word_key(w) for w in TOKEN.findall(s)]
 
 
 def visible(s: str) -> int:
     """The characters that leave a mark: no white space, control or format characters."""
-    return len(UNSEEN.sub("", s))
+    if ODD.search(s):
+        return len(UNSEEN.sub("", s))
+    return len(s) - s.count(" ") - s.count("\n")
 
 
 class Prose:
     """Tells running sentences by the common words of the languages: {language: words}."""
 
     def __init__(self, common: dict[str, set[str]]):
-        self.spaced = {lang: {word_key(w) for w in ws} for lang, ws in common.items() if not any(CJK.search(w) for w in ws)}
+        self.spaced = {lang: {word_key(unicodedata.normalize("NFC", w)) for w in ws} for lang, ws in common.items() if not any(CJK.search(w) for w in ws)}
         self.known = set().union(*self.spaced.values())
         solid = sorted({w for ws in common.values() for w in ws if CJK.search(w)}, key=len, reverse=True)
         self.solid = re.compile("|".join(map(re.escape, solid))) if solid else None
 
-    def common_counts(self, words: list[str]) -> dict[str, list[str]]:
-        """The common words among these, by language."""
+    def best(self, words: list[str]) -> tuple[int, int, dict[str, int]]:
+        """Of the language that fits best: how many common words, and how many different ones; and each language's."""
         hits = [w for w in words if w in self.known]
-        return {lang: own for lang, ws in self.spaced.items() if (own := [w for w in hits if w in ws])} if hits else {}
-
-    def sentence(self, unit: str, words: list[str], hits: dict[str, list[str]]) -> bool | None:
-        """Whether a unit is a running sentence; None if it is too short to tell."""
-        marks = UNSEEN.sub("", unit)
-        cjk = CJK.search(unit)
-        solid = len(marks) > LONGEST and not cjk and max(map(len, unit.split())) > max(LONGEST, len(marks) // 2)
-        if solid or len(SYMBOL.sub("", marks)) > SYMBOLS * len(marks):
+        by = {lang: own for lang, ws in self.spaced.items() if (own := [w for w in hits if w in ws])} if hits else {}
+        return (*max(((len(x), len(set(x))) for x in by.values()), default=(0, 0)), {k: len(x) for k, x in by.items()})
+
+    def sentence(self, unit: str, words: list[str], marks: int, common: int, different: int) -> bool | None:
+        """Whether a unit is a running sentence; None if it is too short to tell. ``marks``: its visible characters."""
+        cjk = None if unit.isascii() else CJK.search(unit)
+        if marks > LONGEST and not cjk and max(map(len, unit.split())) > max(LONGEST, marks // 2):
+            return False
+        letters = sum(map(len, words))
+        if marks - letters > SYMBOLS * marks and len(SYMBOL.sub("", unit)) > SYMBOLS * marks:
             return False
         if cjk and self.solid is not None:
             body = re.sub(r"[\W\d_]+", "", unit)
@@ -103,13 +111,12 @@ class Prose:
                 if len(body) < 6:
                     return None
                 return bool(KANA.search(body)) and sum(map(len, self.solid.findall(body))) >= KANA_SHARE * len(body)
-        if not words or marks.isdigit():
+        if not words or "".join(words).isdigit():
             return False
         if len(words) < LEAST_WORDS:
             return None
-        n, different = max(((len(x), len(set(x))) for x in hits.values()), default=(0, 0))
         formed = len(words) >= FORMED_WORDS and bool(ENDS.search(unit)) and unit.lstrip("\"'“«¿¡(")[:1].isupper()
-        return n >= (FORMED_SHARE if formed else SHARE) * len(words) and different >= DIFFERENT
+        return common >= (FORMED_SHARE if formed else SHARE) * len(words) and different >= DIFFERENT
 
     def units(self, text: str) -> Iterator[list[str]]:
         """The sentences of each block of lines; wrapped lines are put together, list entries stay apart."""
@@ -124,31 +131,32 @@ class Prose:
             if line:
                 block.append(line)
 
-    def read(self, text: str) -> tuple[int, float]:
-        """The visible characters in running sentences, and the share of the best language's common words.
+    def read(self, text: str) -> tuple[int, float, list[str]]:
+        """The visible characters in running sentences, the share of the best language's common words, and all words.
 
         Units too short to tell go with the one before in their block."""
-        total = n_words = 0
-        by: Counter[str] = Counter()
+        total, said, by = 0, [], Counter()
         for block in self.units(text):
-            states = []
+            seen, states = [], []
             for u in block:
                 words = word_keys(u)
-                hits = self.common_counts(words)
-                n_words += len(words)
-                for lang, own in hits.items():
-                    by[lang] += len(own)
-                states.append(self.sentence(u, words, hits))
+                common, different, each = self.best(words)
+                marks = visible(u)
+                by.update(each)
+                said += words
+                seen.append(marks)
+                states.append(self.sentence(u, words, marks, common, different))
             last = next((s for s in states if s is not None), False)
-            for u, s in zip(block, states):
+            for n, s in zip(seen, states):
                 last = last if s is None else s
-                if last:
-                    total += visible(u)
-        return total, max(by.values(), default=0) / max(1, n_words)
+                total += n * last
+        return total, max(by.values(), default=0) / max(1, len(said)), said
 
 
 def _repeated(parts: list[str]) -> float:
     """The share of characters in parts that occurred before."""
+    if len(set(parts)) == len(parts):
+        return 0.0
     seen: set[str] = set()
     again = total = 0
     for p in parts:
@@ -188,15 +196,16 @@ def kind_of(text: str, seen: int, lines: list[str], n_words: int, share: float,
 def read(text: str | None, prose: Prose) -> tuple:
     """The values of ``READ`` for one text; zeros and kind 'empty' for null, empty and blank ones."""
     text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)  # an accent is no character of its own
     seen = visible(text)
     if not seen:
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, "empty")
     lines = [x for y in text.splitlines() if (x := y.strip())]
-    paragraphs = [x for y in PARAGRAPH.split(text) if (x := y.strip())] if len(lines) > 1 else lines
-    words = TOKEN.findall(text)
-    chars, common = prose.read(text)
-    share, repeated, coverage = chars / seen, _repeated(lines), top_coverage(words)
-    return (seen, common, share, repeated, _repeated(paragraphs), coverage, kind_of(text, seen, lines, len(words), share, max(repeated, _repeated(paragraphs)), coverage))
+    paragraphs = [x for y in PARAGRAPH.split(text) if (x := y.strip())] if len(lines) > 1 else []
+    chars, common, words = prose.read(text)
+    share, of_lines, of_paragraphs, coverage = chars / seen, _repeated(lines), _repeated(paragraphs), top_coverage(words)
+    return (seen, common, share, of_lines, of_paragraphs, coverage, kind_of(text, seen, lines, len(words), share, max(of_lines, of_paragraphs), coverage))
 
 
 def text_statistics(df: DataFrame, id_col: str, text_col: str, common: dict[str, set[str]]) -> DataFrame:
