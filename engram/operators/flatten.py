@@ -1,9 +1,11 @@
-"""Deeply nested JSON texts as flat child rows.
+"""Deeply nested JSON texts as flat, related child tables.
 
 A first pass infers the merged schema of a collection: the set of generic array paths (``tool_graph[].args.edits[]``)
-whose elements are objects, with the fields seen there. A second pass explodes each array level of that schema into
-child rows that carry the surrogate key of their parent and their ordinal. The schema is the only thing gathered to
-the driver; it grows with the number of distinct paths, not with the rows.
+whose elements are objects, with the fields seen there and the type that all their values fit. A second pass explodes
+each array level of that schema recursively, record by record, into child rows that carry the surrogate key of their
+parent and their ordinal; ``child_tables`` gives one typed table for each path. The schema is the only thing gathered
+to the driver; it grows with the number of distinct paths, not with the rows. Texts that hold no record are reported
+by ``unread``.
 """
 
 from __future__ import annotations
@@ -108,10 +110,8 @@ def _dumps(value: object) -> str:
 
 
 def read_record(text: str | None) -> dict | None:
-    """The record of a text: a JSON object, or a JSON string that holds one; else None."""
-    for _ in range(4):
-        if not isinstance(text, str):
-            break
+    """The record of a text: a JSON object, or a JSON string that holds one (however often wrapped); else None."""
+    while isinstance(text, str):
         try:
             text = _loads(text)
         except ValueError:
@@ -174,36 +174,83 @@ def record_texts(text: Column, singles: Iterable[str]) -> Column:
     return plain(text.cast("string"))
 
 
-def infer_schema(texts: DataFrame, text_col: str, singles: Iterable[str] = ()) -> dict[str, list[str]]:
-    """The merged schema: each generic path of an array with objects, with the field names of those objects.
+def why_unread(text: str | None) -> str | None:
+    """Why a text holds no record: 'null', 'blank', 'not JSON' (incomplete texts too) or 'no object'; None if it does."""
+    if text is None:
+        return "null"
+    if not text.strip():
+        return "blank"
+    while isinstance(text, str):
+        try:
+            text = _loads(text)
+        except ValueError:
+            return "not JSON"
+    return None if isinstance(text, dict) else "no object"
+
+
+def unread(df: DataFrame, key_col: str, text_col: str, order_col: str | None = None) -> DataFrame:
+    """(record_id, reason) of the records that ``flatten`` can't read; all others have their rows there."""
+    rows = newest(df, norm_id(key_col), [order_col] if order_col else [], [text_col, key_col], "norm_key", wide=True)
+
+    @F.pandas_udf("string")
+    def reason(texts: pd.Series) -> pd.Series:
+        return texts.map(why_unread)
+
+    return rows.select(F.col(key_col).alias("record_id"), reason(F.col(text_col).cast("string")).alias("reason")).where(F.col("reason").isNotNull())
+
 
-    Arrays of arrays on the way to an object are included. Only distinct (path, field) pairs reach the driver.
+def _kind(value: object) -> str:
+    """The type of a leaf; objects and arrays stay JSON."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int):
+        return "long" if -(1 << 63) <= value < 1 << 63 else "double"
+    return "double" if isinstance(value, float) else "string" if isinstance(value, str) else "json"
+
+
+def _fits(kinds: set[str]) -> str:
+    """The one type that all these fit: text and other leaves together are text, JSON takes all."""
+    kinds = kinds - {"null"}
+    if len(kinds) == 1:
+        return next(iter(kinds))
+    return "double" if kinds == {"long", "double"} else "json" if "json" in kinds else "string"
+
+
+def infer_schema(texts: DataFrame, text_col: str, singles: Iterable[str] = ()) -> dict[str, dict[str, str]]:
+    """The merged schema: each generic path of an array with objects, with the fields of those objects and their types.
+
+    Types are boolean, long, double, string, and json for objects, arrays and mixtures with them; a field that is always
+    null is a string. Arrays of arrays on the way to an object are included. Only distinct (path, field, type) triples
+    reach the driver.
     """
     lone = frozenset(singles)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[str, str]] = set()
+        seen: set[tuple[str, str, str]] = set()
         for pdf in batches:
             new = set()
             for text in pdf["text"]:
                 if (r := read_record(text)) is not None:
                     for g, _, _, _, v in _walk(_lifted(r, lone), None):
-                        new.add((g, ""))
-                        new.update((g, k) for k in v)
+                        new.add((g, "", ""))
+                        new.update((g, k, _kind(x)) for k, x in v.items())
             new -= seen
             seen |= new
-            yield pd.DataFrame(sorted(new), columns=["path", "field"])
-
-    found = texts.select(F.col(text_col).cast("string").alias("text")).mapInPandas(scan, "path string, field string").distinct().collect()
-    schema: dict[str, list[str]] = {}
-    for path, field in sorted((r["path"], r["field"]) for r in found):
-        fields = schema.setdefault(path, [])
-        if field:
-            fields.append(field)
+            yield pd.DataFrame(sorted(new), columns=["path", "field", "type"])
+
+    found = texts.select(F.col(text_col).cast("string").alias("text")).mapInPandas(scan, "path string, field string, type string").distinct().collect()
+    kinds: dict[str, dict[str, set[str]]] = {}
+    for path, field, kind in sorted((r["path"], r["field"], r["type"]) for r in found):
+        fields = kinds.setdefault(path, {})
+        if kind:
+            fields.setdefault(field, set()).add(kind)
+    schema = {path: {f: _fits(ks) for f, ks in fields.items()} for path, fields in kinds.items()}
     for path in list(schema):  # arrays that hold only arrays lie on the way
         while path.endswith("[][]"):
             path = path[:-2]
-            schema.setdefault(path, [])
+            schema.setdefault(path, {})
     return schema
 
 
@@ -218,8 +265,8 @@ def flatten(
 ) -> DataFrame:
     """One row for each JSON object that is an element of an array, at any depth, of each record's text.
 
-    ``row_id``/``parent_id`` are surrogate keys from the record's key and the element's path (the parent of a
-    first-level element is its record), ``child_table`` is the generic path, ``fields`` the object as JSON.
+    ``row_id``/``parent_id`` are surrogate keys of 128 bits from the record's key and the element's path (the parent of a
+    first-level element is its record, ``record_key``), ``child_table`` is the generic path, ``fields`` the object as JSON.
     ``tables``: only these child tables, without an inference pass. ``carry_order`` keeps ``order_col``. Rows of one key (compared without case and
     outer white space) are one row: that with the greatest ``order_col``. Null and blank keys, null, empty and
     incomplete texts, and texts that are not objects yield nothing. Other columns of ``df`` are ignored.
@@ -247,8 +294,8 @@ def flatten(
     )
     return nodes.select(
         "record_id",
-        F.xxhash64("record_id", "path").alias("row_id"),
-        F.xxhash64("record_id", "parent_path").alias("parent_id"),
+        record_key(F.col("record_id"), F.col("path")).alias("row_id"),
+        record_key(F.col("record_id"), F.col("parent_path")).alias("parent_id"),
         "child_table",
         "path",
         "ordinal",
@@ -257,7 +304,29 @@ def flatten(
     )
 
 
-def child_table(nodes: DataFrame, name: str, fields: list[str]) -> DataFrame:
-    """One child table of ``flatten``: surrogate keys, ordinal and the given fields as text columns (null where absent)."""
-    tuple_ = F.json_tuple("fields", *fields).alias(*[f"f_{x}" for x in fields])
-    return nodes.where(F.col("child_table") == name).select("record_id", "row_id", "parent_id", "ordinal", tuple_)
+def record_key(record_id: Column, path: Column | None = None) -> Column:
+    """The surrogate key of a record, or of the element at a path of it."""
+    return F.md5(F.concat(record_id, F.lit("\x1f"), F.lit("") if path is None else path))
+
+
+def child_table(nodes: DataFrame, name: str, fields: Iterable[str] | dict[str, str]) -> DataFrame:
+    """One child table of ``flatten``: surrogate keys, ordinal and the given fields as columns f_... (null where absent).
+
+    ``fields``: names, for text columns, or names with types as of ``infer_schema``; a value that does not fit is null.
+    """
+    types = fields if isinstance(fields, dict) else dict.fromkeys(fields, "string")
+    keys = ["record_id", "row_id", "parent_id", "ordinal"]
+    own = nodes.where(F.col("child_table") == name)
+    if not types:
+        return own.select(*keys)
+    read = own.select(*keys, F.json_tuple("fields", *types).alias(*[f"f_{x}" for x in types]))
+    typed = [F.col(f"`f_{x}`").try_cast("string" if t == "json" else t).alias(f"f_{x}") for x, t in types.items()]
+    return read.select(*keys, *typed)
+
+
+def child_tables(df: DataFrame, key_col: str, text_col: str, order_col: str | None = None, singles: Iterable[str] = ()) -> dict[str, DataFrame]:
+    """A typed table for each array path of the collection's merged schema, related by row_id and parent_id."""
+    singles = tuple(singles)
+    schema = infer_schema(df, text_col, singles)
+    nodes = flatten(df, key_col, text_col, order_col, singles, tables=schema)
+    return {name: child_table(nodes, name, fields) for name, fields in schema.items()}

@@ -68,7 +68,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return (
         _references(spark, d)
-        .groupBy("ref_field", F.date_trunc("month", "ref_time").alias("period"))
+        .groupBy("ref_field", F.date_format("ref_time", "yyyy-MM").alias("period"))
         .agg(F.count("*").alias("refs"), count("missing"), count("deleted"), count("late"))
     )
 
@@ -126,19 +126,37 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_nodes(spark, d).select("source_table", "record_id", "path")
 
 
+def p5_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The merged schema: the type of each field of each array's objects."""
+    rows = []
+    for source, text, singles in (("payloads", "payload_json", PAYLOAD_ARRAYS), ("interpretations", "interpretation_json", INTERPRETATION_ARRAYS)):
+        for name, fields in fl.infer_schema(table(spark, d, source), text, singles).items():
+            rows += [(source, name, field, kind) for field, kind in fields.items()]
+    return spark.createDataFrame(rows, "source_table string, child_table string, field string, type string")
+
+
 def p5_tool_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """One child table with typed columns: the nodes of the tool graphs."""
-    nodes = fl.flatten(table(spark, d, "payloads"), "record_id", "payload_json", "written_at", PAYLOAD_ARRAYS)
-    return fl.child_table(nodes, "tool_graph[]", ["id", "tool", "args", "result", "depends_on"])
+    """One of the child tables with columns typed as the merged schema says: the nodes of the tool graphs."""
+    texts = table(spark, d, "payloads")
+    fields = fl.infer_schema(texts, "payload_json", PAYLOAD_ARRAYS).get("tool_graph[]", {})
+    nodes = fl.flatten(texts, "record_id", "payload_json", "written_at", PAYLOAD_ARRAYS, tables=("tool_graph[]",))
+    return fl.child_table(nodes, "tool_graph[]", {x: fields.get(x, "string") for x in ("id", "tool", "args", "result", "depends_on")})
+
+
+def p5_unread(spark: SparkSession, d: str) -> DataFrame:
+    """The records whose text holds none, with the reason."""
+    ask = (("payloads", "payload_json", "written_at"), ("interpretations", "interpretation_json", "interpreted_at"))
+    return reduce(DataFrame.unionByName, [fl.unread(table(spark, d, s), "record_id", text, at).withColumn("source_table", F.lit(s)) for s, text, at in ask])
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_paths, p4_descendants, p5_found, p5_nodes, p5_tool_nodes)}
+    return {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_paths, p4_descendants, p5_found, p5_nodes, p5_schema, p5_tool_nodes, p5_unread)}
 
 
 # --- the same in SQL, by plainer means
 
 _ID = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')"
+_UNIQUE = "row_number() OVER (PARTITION BY {key} ORDER BY {at} DESC NULLS LAST) = 1"
 _JSON = """SELECT id, record_id, ts, j FROM (SELECT id, record_id, ts, CASE WHEN json_valid(j) AND json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$') ELSE j END AS j FROM
     (SELECT {key} AS id, record_id, {at} AS ts, {col} AS j FROM {table} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {at} DESC NULLS LAST) = 1)) WHERE id IS NOT NULL AND json_valid(j) AND json_type(j) = 'OBJECT'"""
 
@@ -149,8 +167,8 @@ def _items(field: str) -> str:
 
 def _tree(source: str, table_: str, col: str, at: str, names: tuple[str, ...]) -> str:
     lone = "|".join(names)
-    return f"""SELECT '{source}' AS source_table, record_id, regexp_replace(substr(fullkey, 3), '^({lone})(\\.|$)', '\\1[0]\\2') AS path, type FROM
-    ({_JSON.format(key=_ID.format('record_id'), at=at, col=col, table=table_)}) r, json_tree(r.j) t WHERE type = 'OBJECT' AND fullkey <> '$'"""
+    return f"""SELECT '{source}' AS source_table, record_id, regexp_replace(substr(fullkey, 3), '^({lone})(\\.|$)', '\\1[0]\\2') AS path, type, value FROM
+    ({_JSON.format(key=_ID.format('record_id'), at=at, col=col, table=table_)}) r, json_tree(r.j) t WHERE fullkey <> '$'"""
 
 
 _TREE = f"""WITH RECURSIVE f AS (SELECT {_ID.format('record_id')} AS id, record_id, {_ID.format('supersedes')} AS older, {_ID.format('superseded_by')} AS newer FROM semantic_facts
@@ -160,18 +178,37 @@ _TREE = f"""WITH RECURSIVE f AS (SELECT {_ID.format('record_id')} AS id, record_
     t(id, root, depth, path) AS (SELECT id, id, 0, id FROM nodes WHERE id NOT IN (SELECT id FROM links) UNION ALL SELECT l.id, t.root, t.depth + 1, t.path || ' > ' || l.id FROM t JOIN links l ON l.parent = t.id),
     below(id, descendant, distance) AS (SELECT l.parent, l.id, 1 FROM links l JOIN t ON t.id = l.parent UNION ALL SELECT l.parent, b.descendant, b.distance + 1 FROM below b JOIN links l ON l.id = b.id)"""
 
-SQL = {
-    "p2_found": f"""WITH i AS ({_JSON.format(key=_ID.format('record_id'), at='interpreted_at', col='interpretation_json', table='interpretations')}),
+_REFS = f"""WITH i AS ({_JSON.format(key=_ID.format('record_id'), at='interpreted_at', col='interpretation_json', table='interpretations')}),
     e AS (SELECT 'relation_candidates.target_record_id' AS ref_field, 'm' AS tab, record_id, ts, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS ref_pos FROM (SELECT record_id, ts, {_items('relation_candidates')} AS l FROM i)
       UNION ALL SELECT 'reference_candidates.target_entity_id', 'e', record_id, ts, unnest(l), generate_subscripts(l, 1) - 1 FROM (SELECT record_id, ts, {_items('reference_candidates')} AS l FROM i)),
     refs AS (SELECT ref_field, tab, record_id, ts, ref_pos, json_extract_string(o, CASE tab WHEN 'm' THEN '$.target_record_id' ELSE '$.target_entity_id' END) AS target FROM e WHERE json_type(o) = 'OBJECT'
       UNION ALL SELECT 'revision.superseded_by', 'm', record_id, updated_at, 0, superseded_by FROM (SELECT * FROM semantic_facts QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')} ORDER BY updated_at DESC NULLS LAST) = 1)),
-    parents AS (SELECT 'm' AS tab, {_ID.format('id')} AS id, min(ingested_at) AS seen, max(deleted_at) AS gone FROM memory_records GROUP BY ALL UNION ALL SELECT 'e', {_ID.format('entity_id')}, min(created_at), max(deleted_at) FROM entities GROUP BY ALL)
-    SELECT ref_field, record_id, ref_pos::INTEGER AS ref_pos FROM refs r LEFT JOIN parents p ON p.tab = r.tab AND p.id = {_ID.format('r.target')} WHERE {_ID.format('r.target')} IS NOT NULL AND (p.id IS NULL OR p.gone IS NOT NULL OR p.seen > r.ts)""",
+    parents AS (SELECT 'm' AS tab, {_ID.format('id')} AS id, min(ingested_at) AS seen, max(deleted_at) AS gone FROM memory_records GROUP BY ALL UNION ALL SELECT 'e', {_ID.format('entity_id')}, min(created_at), max(deleted_at) FROM entities GROUP BY ALL),
+    states AS (SELECT ref_field, record_id, ref_pos::INTEGER AS ref_pos, ts, CASE WHEN p.id IS NULL THEN 'missing' WHEN p.gone IS NOT NULL THEN 'deleted' WHEN p.seen > r.ts THEN 'late' ELSE 'ok' END AS status
+      FROM refs r LEFT JOIN parents p ON p.tab = r.tab AND p.id = {_ID.format('r.target')} WHERE {_ID.format('r.target')} IS NOT NULL)"""
+_NODES = f"""nodes AS ({_tree('payloads', 'payloads', 'payload_json', 'written_at', PAYLOAD_ARRAYS)} UNION ALL {_tree('interpretations', 'interpretations', 'interpretation_json', 'interpreted_at', INTERPRETATION_ARRAYS)})"""
+_KIND = "CASE {0} WHEN 'BIGINT' THEN 'long' WHEN 'UBIGINT' THEN 'long' WHEN 'HUGEINT' THEN 'double' WHEN 'DOUBLE' THEN 'double' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' ELSE 'json' END"
+
+SQL = {
+    "p2_found": f"{_REFS} SELECT ref_field, record_id, ref_pos FROM states WHERE status <> 'ok'",
+    "p2_report": f"{_REFS} SELECT ref_field, strftime(ts, '%Y-%m') AS period, count(*) AS refs, count_if(status = 'missing') AS missing, count_if(status = 'deleted') AS deleted, count_if(status = 'late') AS late FROM states GROUP BY 1, 2",
     "p4_found": f"""{_TREE} SELECT f.record_id, coalesce(g.record_id, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth FROM nodes n JOIN f USING (id) LEFT JOIN t USING (id) LEFT JOIN f g ON g.id = t.root""",
     "p4_paths": f"""{_TREE} SELECT n.id, coalesce(t.root, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth, coalesce(t.path, '') AS path, coalesce(c.n, 0) AS n_descendants FROM nodes n LEFT JOIN t USING (id)
       LEFT JOIN (SELECT id, count(*) AS n FROM below GROUP BY 1) c USING (id)""",
     "p4_descendants": f"{_TREE} SELECT id, descendant, distance::INTEGER AS distance FROM below",
-    "p5_found": f"""SELECT source_table, record_id, path FROM ({_tree('payloads', 'payloads', 'payload_json', 'written_at', PAYLOAD_ARRAYS)}
-      UNION ALL {_tree('interpretations', 'interpretations', 'interpretation_json', 'interpreted_at', INTERPRETATION_ARRAYS)}) WHERE path LIKE '%]'""",
+    "p5_found": f"WITH {_NODES} SELECT source_table, record_id, path FROM nodes WHERE type = 'OBJECT' AND path LIKE '%]'",
+    "p5_nodes": f"""WITH {_NODES}, own AS (SELECT source_table, record_id, path, regexp_extract(path, '(\\d+)\\]$', 1)::INTEGER AS ordinal, value FROM nodes WHERE type = 'OBJECT' AND path LIKE '%]'),
+    upper_ AS (SELECT *, regexp_replace(regexp_replace(path, '(\\[\\d+\\])+$', ''), '(^|\\.)[^\\]]*$', '') AS above FROM own)
+    SELECT source_table, record_id, md5(record_id || chr(31) || path) AS row_id, md5(record_id || chr(31) || above) AS parent_id, regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS child_table, path, ordinal, value::VARCHAR AS fields FROM upper_""",
+    "p5_schema": f"""WITH {_NODES.replace(_UNIQUE, 'true')}, f AS (SELECT source_table, regexp_replace(regexp_replace(path, '\\.[^.\\[\\]]+$', ''), '\\[\\d+\\]', '[]', 'g') AS child_table, regexp_extract(path, '\\.([^.\\[\\]]+)$', 1) AS field, list(DISTINCT {_KIND.format('type')}) AS k
+      FROM nodes WHERE regexp_matches(path, '\\]\\.[^.\\[\\]]+$') GROUP BY 1, 2, 3), g AS (SELECT source_table, child_table, field, list_filter(k, lambda x: x <> 'null') AS k FROM f)
+    SELECT source_table, child_table, field, CASE WHEN len(k) = 1 THEN k[1] WHEN list_sort(k) = ['double', 'long'] THEN 'double' WHEN list_contains(k, 'json') THEN 'json' ELSE 'string' END AS type FROM g""",
+    "p5_tool_nodes": f"""WITH {_NODES} SELECT record_id, md5(record_id || chr(31) || path) AS row_id, md5(record_id || chr(31)) AS parent_id, regexp_extract(path, '(\\d+)', 1)::INTEGER AS ordinal,
+    {', '.join(f"json_extract_string(value, '$.{x}') AS f_{x}" for x in ('id', 'tool', 'args', 'result', 'depends_on'))} FROM nodes WHERE source_table = 'payloads' AND type = 'OBJECT' AND regexp_matches(path, '^tool_graph\\[\\d+\\]$')""",
+    "p5_unread": "SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT '{t}' AS source_table, record_id, CASE WHEN j IS NULL THEN 'null' WHEN regexp_matches(j, '^\\s*$') THEN 'blank' WHEN NOT json_valid(j) THEN 'not JSON' WHEN json_type(j) = 'OBJECT' THEN NULL
+        WHEN json_type(j) <> 'VARCHAR' THEN 'no object' WHEN NOT json_valid(json_extract_string(j, '$')) THEN 'not JSON' WHEN json_type(json_extract_string(j, '$')) = 'OBJECT' THEN NULL ELSE 'no object' END AS reason
+        FROM (SELECT record_id, {col} AS j FROM {t} WHERE {_ID.format('record_id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_ID.format('record_id')} ORDER BY {at} DESC NULLS LAST) = 1)"""
+        for t, col, at in (("payloads", "payload_json", "written_at"), ("interpretations", "interpretation_json", "interpreted_at"))
+    ) + ") WHERE reason IS NOT NULL",
 }

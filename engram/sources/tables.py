@@ -18,24 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def if_small(keys: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+def if_small(keys: DataFrame, limit: int | None = None) -> DataFrame:
     """Staged keys, marked for broadcasting if they are few bytes by count; else the planner joins them as it sees fit."""
-    size = keys.agg(F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + 16), F.lit(0)).alias("b")).first()["b"]
+    length = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in keys.columns])) + 16 * len(keys.columns)
+    size = keys.agg(F.coalesce(F.sum(length), F.lit(0)).alias("b")).first()["b"]
     return F.broadcast(keys) if size <= (BROADCAST_BYTES if limit is None else limit) else keys
 
 
-def one_row_each(rows: DataFrame, key: str, pick: Callable[[Column], Column] = F.max, limit: int | None = None) -> DataFrame:
+def one_row_each(rows: DataFrame, key: str | list[str], pick: Callable[[Column], Column] = F.max, limit: int | None = None) -> DataFrame:
     """One row for each ``key``: the one with the greatest (``pick`` F.max) or smallest (F.min) other columns, in their order.
 
     For wide rows with few repeated keys: keys are counted first, and only rows of repeated keys are moved and compared;
-    the others stay where they are. Rows whose key is null are left out; nulls order first.
+    the others stay where they are. Rows with a null in their key are left out; nulls order first.
     """
-    rows = rows.where(F.col(key).isNotNull())
-    cols = [c for c in rows.columns if c != key]
-    again = stage(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(key))
-    many = if_small(again, key, limit)
-    best = rows.join(many, key, "left_semi").groupBy(key).agg(pick(F.struct(*cols)).alias("best"))
-    return rows.join(many, key, "left_anti").select(key, *cols).unionByName(best.select(key, *[F.col(f"best.{c}").alias(c) for c in cols]))
+    keys = [key] if isinstance(key, str) else list(key)
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    cols = [c for c in rows.columns if c not in keys]
+    again = stage(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys))
+    many = if_small(again, limit)
+    best = rows.join(many, keys, "left_semi").groupBy(*keys).agg(pick(F.struct(*cols)).alias("best"))
+    return rows.join(many, keys, "left_anti").select(*keys, *cols).unionByName(best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in cols]))
 
 
 def newest(df: DataFrame, key: Column, order: list[str], keep: list[str], key_name: str = "key", wide: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from engram.operators.flatten import child_table, flatten, infer_schema, read_record
+from engram.operators.flatten import child_table, child_tables, flatten, infer_schema, read_record, record_key, unread
 from engram.operators.hierarchy import HELD, _peel, descendants, hierarchy, one_parent
 from engram.operators.references import as_number, check_references
 from engram.plans import general
@@ -239,11 +239,30 @@ def test_flatten_cases(spark):
     assert by_id[deep["parent_id"]]["path"] == "x[0]" and deep["ordinal"] == 2
     assert json.loads(next(r["fields"] for r in by_id.values() if r["path"] == "one[0]")) == {"k": [{"v": 1}]}
     schema = infer_schema(df, "text", ["one"])
-    assert schema["x[].y[]"] == ["w", "z"] and schema["one[]"] == ["k"]
+    assert schema["x[].y[]"] == {"w": "json", "z": "long"} and schema["one[]"] == {"k": "json"} and schema["o.p.q[][].r[]"] == {"deep": "string"}
+    typed = child_tables(df, "key", "text", None, ["one"])
+    assert set(typed) == set(schema) and {r["f_z"] for r in typed["x[].y[]"].collect()} == {1, None}
+    assert {(r["record_id"], r["parent_id"]) for r in typed["x[]"].collect()} == {("a", spark.range(1).select(record_key(F.lit("a"))).first()[0])}
     flat = child_table(got, "x[].y[]", ["z", "w", "none"]).collect()
     assert sorted((r["ordinal"], r["f_z"], r["f_w"], r["f_none"]) for r in flat) == [(0, "1", None, None), (2, None, "[]", None)]
 
 
+def test_unread_records_are_reported(spark):
+    more = [("i", "3"), ("j", " \t"), ("k", json.dumps(json.dumps(json.dumps(json.dumps(json.dumps({"x": []})))))), ("l", json.dumps("{"))]
+    df = spark.createDataFrame([(k, t, "clash") for k, t in TEXTS + more], "key string, text string, reason string")
+    got = {r["record_id"]: r["reason"] for r in unread(df, "key", "text").collect()}
+    assert got == {"c": "not JSON", "d": "blank", "e": "null", "f": "no object", "g": "no object", "i": "no object", "j": "blank", "l": "not JSON"}
+    assert unread(df.limit(0), "key", "text").collect() == []
+
+
+def test_schema_types_merge(spark):
+    texts = ['{"x": [{"a": 1, "b": 1, "c": true, "d": "s", "e": {}, "f": null}]}', '{"x": [{"a": 2.5, "b": "t", "c": null, "d": "s", "e": 1}, {"a": 99999999999999999999}]}']
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, t string")
+    assert infer_schema(df, "t") == {"x[]": {"a": "double", "b": "string", "c": "boolean", "d": "string", "e": "json", "f": "string"}}
+    rows = child_tables(df, "k", "t")["x[]"].orderBy("record_id", "ordinal").collect()
+    assert [(r["f_a"], r["f_b"], r["f_c"], r["f_e"], r["f_f"]) for r in rows] == [(1.0, "1", True, "{}", None), (2.5, "t", None, "1", None), (1e20, None, None, None, None)]
+
+
 def test_flatten_takes_the_newest_row(spark):
     df = spark.createDataFrame([("A ", '{"x":[{"a":1},{}]}', at(1)), ("a", '{"x":[{"a":2}]}', at(2))], "k string, t string, w timestamp")
     got = flatten(df, "k", "t", "w", carry_order=True).collect()
