@@ -112,11 +112,13 @@ def success_rate(successes: Column, failures: Column, failure_rate: Column) -> C
 
 
 def inverse_predicate(p: Column) -> Column:
+    """The inverse of a predicate, read without outer blanks and case."""
+    p = norm(p)
     return pick(p, INVERSES | {v: k for k, v in INVERSES.items()}, F.concat(F.lit("inverse_of_"), p))
 
 
 def relation_boost(p: Column) -> Column:
-    return pick(p, BOOSTS, F.lit(0))
+    return pick(norm(p), BOOSTS, F.lit(0))
 
 
 def record_type(source_kind: Column) -> Column:
@@ -141,14 +143,20 @@ def without_fences(text: Column) -> Column:
 
 
 def first_violation(r: dict[str, Column]) -> Column:
-    """The first rule that a record breaks, null for a valid one. ``r``: the envelope's columns by name."""
+    """The first rule that a record breaks, null for a valid one. ``r``: the envelope's columns by name, with the payload
+    as JSON (``payload_json``) or its kind (``payload_kind``, null without a payload)."""
+    blank = lambda c: F.coalesce(r[c], F.lit("")) == ""
+    kind = r["payload_kind"] if "payload_kind" in r else F.get_json_object(r["payload_json"], "$.kind")
+    absent = kind.isNull() if "payload_kind" in r else r["payload_json"].isNull() | (F.trim(r["payload_json"]) == "null")
     rules = [
-        ("id is required", F.coalesce(r["id"], F.lit("")) == ""),
-        ("invalid memory type", ~F.coalesce(r["type"].isin(*TYPES), F.lit(False))),
-        ("invalid sensitivity", ~F.coalesce(r["sensitivity"].isin(*SENSITIVITIES), F.lit(False))),
-        ("confidence must be in [0, 1]", ~F.coalesce(r["confidence"].between(0, 1), F.lit(False))),
-        ("salience must not be negative", ~F.coalesce(r["salience"] >= 0, F.lit(False))),
-        ("created_at is required", r["created_at"].isNull()),
-        ("updated_at is required", r["updated_at"].isNull()),
+        ("id is required", blank("id")),
+        ("type is required", blank("type")),
+        ("type is unknown", ~r["type"].isin(*TYPES)),
+        ("sensitivity is required", blank("sensitivity")),
+        ("sensitivity is unknown", ~r["sensitivity"].isin(*SENSITIVITIES)),
+        ("confidence must be in [0, 1]", F.coalesce((r["confidence"] < 0) | (r["confidence"] > 1), F.lit(False))),
+        ("salience must not be negative", F.coalesce(r["salience"] < 0, F.lit(False))),
+        ("payload is required", absent),
+        ("payload must be of the record's type", ~F.coalesce(kind == r["type"], F.lit(False))),
     ]
     return reduce(lambda acc, x: acc.when(x[1], F.lit(x[0])), rules[1:], F.when(rules[0][1], F.lit(rules[0][0])))

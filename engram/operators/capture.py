@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.functions.exprs import (
-    clamp01, entity_type, first_text, freshness, half_life, inverse_predicate, lexical_match, record_type, source_confidence, term_match, unique_folded,
-)
+from engram.functions.exprs import TASK_STATES, clamp01, entity_type, first_text, freshness, half_life, record_type, source_confidence, term_match, unique_folded
 from engram.functions.text import norm
+from engram.operators import ingest
+from engram.operators.store import both_ways
+from engram.plans.staging import stage
 
 #: Candidates read for a request, and kept.
 POOL, KEPT = 80, 20
@@ -36,11 +37,6 @@ def policy(requests: DataFrame) -> DataFrame:
     )
 
 
-def primary_type(source_kind: Column) -> Column:
-    """The type of a capture's own record: working states are working, all else episodic."""
-    return F.when(source_kind == "working_state", "working").otherwise("episodic")
-
-
 def content_value(content: Column, *keys: str) -> Column:
     """The first of the keys with a text that isn't blank."""
     return first_text(*[F.get_json_object(content, f"$.{k}") for k in keys])
@@ -112,33 +108,61 @@ def score_candidates(requests: DataFrame, candidates: DataFrame, as_of: Column,
     return seen.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kept).select("request_id", "id", "score", "rank")
 
 
-def resolve_mentions(mentions: DataFrame, entities: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(resolved, created): each mention's entity by explicit id, else by term, else a new entity.
+def resolve_mentions(mentions: DataFrame, entities: DataFrame, terms: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(resolved, created): each mention's entity by explicit id, else by its terms, else among candidates, else a new entity.
 
-    ``mentions``: record_id, scope, surface, entity_kind, canonical_entity_id, confidence. Mentions of one new surface
-    in one scope share one new entity, as later mentions of a batch find what earlier ones made. Blank surfaces
-    without a known id drop out.
+    ``mentions``: record_id, scope, surface, entity_kind, canonical_entity_id, confidence and, if they have any, aliases.
+    The surface and then the aliases are looked up, the first term that names an entity decides, own scope before none.
+    ``candidates``: record_id, entity_id, name, rank: the names of the entities that a request has as candidates, which
+    are compared without case. Mentions of one new surface in one scope share one new entity, as later mentions of a
+    batch find what earlier ones made. Blank surfaces without a known id drop out.
     """
+    aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in mentions.columns else F.array().cast("array<string>")
     m = mentions.withColumn("__no", F.monotonically_increasing_id()).withColumn("term", norm("surface")).withColumn("scope", F.coalesce("scope", F.lit("")))
+    m = m.withColumn("__terms", F.transform(unique_folded(F.concat(F.array("surface"), aliases)), norm))
     ids = entities.select(F.col("entity_id").alias("canonical_entity_id"), F.col("entity_id").alias("by_id"))
-    m = m.join(ids, "canonical_entity_id", "left")
-    hits = m.where(F.col("by_id").isNull()).select("__no", "term", "scope").join(terms.withColumnRenamed("scope", "e_scope"), "term").where((F.col("e_scope") == F.col("scope")) | (F.col("e_scope") == ""))
-    found = hits.groupBy("__no").agg(F.min(F.struct((F.col("e_scope") != F.col("scope")).alias("far"), "entity_id"))["entity_id"].alias("by_term"))
-    m = m.join(found, "__no", "left").where(F.col("by_id").isNotNull() | (F.col("term") != ""))
+    m = stage(m.join(ids, "canonical_entity_id", "left"))
+    asked = m.where(F.col("by_id").isNull()).select("__no", "record_id", "scope", F.posexplode("__terms").alias("at", "term"))
+    hits = asked.join(terms.select("term", "entity_id", F.col("scope").alias("e_scope")), "term").where((F.col("e_scope") == F.col("scope")) | (F.col("e_scope") == ""))
+    found = hits.groupBy("__no").agg(F.min(F.struct("at", (F.col("e_scope") != F.col("scope")).alias("far"), "entity_id"))["entity_id"].alias("by_term"))
+    m = m.join(found, "__no", "left")
+    near = F.lit(None).cast("string")
+    if candidates is not None:
+        named = candidates.select("record_id", norm("name").alias("term"), "rank", F.col("entity_id").alias("candidate"))
+        close = asked.join(named, ["record_id", "term"]).groupBy("__no").agg(F.min(F.struct("rank", "candidate"))["candidate"].alias("by_candidate"))
+        m, near = m.join(close, "__no", "left"), F.col("by_candidate")
+    m = m.where(F.col("by_id").isNotNull() | (F.col("term") != ""))
     made = F.concat(F.lit("entity-"), F.substring(F.sha2(F.concat_ws("\x1f", "scope", "term"), 256), 1, 16))
-    m = m.withColumn("entity_id", F.coalesce("by_id", "by_term", made)).withColumn("is_new", F.col("by_id").isNull() & F.col("by_term").isNull())
+    known = F.coalesce("by_id", "by_term", near)
+    m = m.withColumn("entity_id", F.coalesce(known, made)).withColumn("is_new", known.isNull())
     created = m.where("is_new").groupBy("entity_id").agg(
-        F.min_by("surface", "__no").alias("canonical_name"), entity_type(F.min_by("entity_kind", "__no")).alias("primary_type"), F.first("scope").alias("scope"), F.count("*").alias("mentions")
-    )
-    return m.drop("__no", "term", "by_id", "by_term"), created
+        F.min_by("surface", "__no").alias("canonical_name"), entity_type(F.min_by("entity_kind", "__no")).alias("primary_type"), F.first("scope").alias("scope"), F.count("*").alias("mentions"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__no", aliases.alias("a"), "surface"))), lambda x: F.concat(F.array(x["surface"]), x["a"])))).alias("said"),
+    )
+    created = created.withColumn("aliases", unique_folded(F.concat(F.array("canonical_name"), "said"))).drop("said")
+    return m.drop("__no", "__terms", "term", "by_id", "by_term", "by_candidate"), created
 
 
 def edge_pairs(links: DataFrame, as_of: Column) -> DataFrame:
-    """Both directions of each link (source_id, predicate, target_id, confidence); weight is the confidence, 0 counts as 1."""
-    weight = F.when(F.coalesce("confidence", F.lit(0.0)) <= 0, 1.0).otherwise(clamp01(F.col("confidence")))
-    rows = links.where(F.col("source_id") != F.col("target_id")).select("source_id", "predicate", "target_id", weight.alias("weight"), as_of.alias("created_at"))
-    back = rows.select(F.col("target_id").alias("source_id"), inverse_predicate(F.col("predicate")).alias("predicate"), F.col("source_id").alias("target_id"), "weight", "created_at")
-    return rows.unionByName(back).dropDuplicates(["source_id", "predicate", "target_id"])
+    """Both directions of each link (source_id, predicate, target_id, confidence); weight is the confidence, 0 counts as 1.
+
+    Predicates are read without outer blanks and case; links to oneself, and without a predicate, make no edge."""
+    weight = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 1.0).otherwise(clamp01(F.col("confidence")))
+    return both_ways(links.select("source_id", "predicate", "target_id", weight.alias("weight")), as_of).drop("seq")
+
+
+def resolve_relations(candidates: DataFrame, ids: DataFrame) -> DataFrame:
+    """Relation candidates with ``target_id`` and ``resolved``: the record named, else the entity named, if it exists and
+    is not the source itself.
+
+    ``candidates``: source_id, predicate, target_record_id, target_entity_id, confidence; ``ids``: id of all records and
+    entities. A candidate without a predicate is resolved by none."""
+    there = ids.select("id").distinct()
+    out = candidates.join(there.select(F.col("id").alias("target_record_id"), F.col("id").alias("__a")), "target_record_id", "left")
+    out = out.join(there.select(F.col("id").alias("target_entity_id"), F.col("id").alias("__b")), "target_entity_id", "left")
+    target = F.coalesce("__a", "__b")
+    ok = target.isNotNull() & (target != F.col("source_id")) & (F.coalesce(norm("predicate"), F.lit("")) != "")
+    return out.withColumn("target_id", F.when(ok, target)).withColumn("resolved", F.coalesce(ok, F.lit(False))).drop("__a", "__b")
 
 
 def needs_fact(requests: DataFrame) -> Column:
@@ -150,15 +174,13 @@ def facts_of(requests: DataFrame, as_of: Column) -> DataFrame:
     """The derived facts: subject, predicate and object of the content, or of its ``fact``; incomplete ones drop out."""
     inner = F.coalesce(F.get_json_object("content", "$.fact"), F.col("content"))
     got = {c: F.get_json_object(inner, f"$.{c}") for c in ("subject", "predicate", "object")}
-    conf = F.greatest(source_confidence(F.col("source_kind")), F.coalesce("extraction_confidence", F.lit(0.0)))
-    rows = requests.where(needs_fact(requests)).select("request_id", "scope", "sensitivity", *[v.alias(k) for k, v in got.items()], conf.alias("confidence"), F.lit(0.9).alias("least_salience"), as_of.alias("created_at"))
+    # the confidence of the capture's own record, which is an event's unless a tool's or a working state's
+    own = source_confidence(F.when(F.col("source_kind").isin("tool_output", "working_state"), F.col("source_kind")).otherwise("event"))
+    conf = F.greatest(own, F.coalesce("extraction_confidence", F.lit(0.0)))
+    rows = requests.where(needs_fact(requests)).select("request_id", "scope", "sensitivity", *[v.alias(k) for k, v in got.items()], conf.alias("confidence"), F.lit(1.0).alias("salience"), as_of.alias("created_at"))
     return rows.where((norm("subject") != "") & (norm("predicate") != "") & F.col("object").isNotNull())
 
 
-def same_name(a: Column, b: Column) -> Column:
-    return lexical_match(a, b) & (norm(a) == norm(b))
-
-
 def resolve_references(references: DataFrame, records: DataFrame, entities: DataFrame, timeline: DataFrame) -> DataFrame:
     """(source_id, ref, target_id) by record id, else entity id, else a timeline event with that reference.
 
@@ -173,32 +195,72 @@ def resolve_references(references: DataFrame, records: DataFrame, entities: Data
     return joined.select("source_id", "ref", F.coalesce("a", "b", "c").alias("target_id"))
 
 
+def canonical_sides(facts: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Facts (source_id, subject, object, ...) whose sides are the entities that their source mentions so, else as they were.
+
+    ``mentions``: record_id, surface, aliases, entity_id. Of several the smallest id is meant."""
+    said = mentions.select(F.col("record_id").alias("source_id"), F.explode(F.concat(F.array("surface"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("v"), "entity_id")
+    by = said.where(norm("v") != "").groupBy("source_id", norm("v").alias("__k")).agg(F.min("entity_id").alias("__e"))
+    out = facts
+    for side in ("subject", "object"):
+        out = out.withColumn("__k", norm(side)).join(by, ["source_id", "__k"], "left").withColumn(side, F.coalesce("__e", side)).withColumn(f"{side}_entity", F.col("__e")).drop("__k", "__e")
+    return out
+
+
 def capture_batch(requests: DataFrame, records: DataFrame, entities: DataFrame, terms: DataFrame, timeline: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """A batch of requests as rows to add: 'records', 'facts', 'entities' and 'edges'; nothing is written here.
+    """A batch of requests as rows to add: 'records', 'facts', 'entities', 'edges' and 'audit', and the 'interpretations'
+    with their status; nothing is written here.
 
     ``requests``: request_id, source, source_kind, content, summary, reason_to_remember, tags, scope, sensitivity,
-    proposed_type, extraction_confidence. Every request has one record of its own; mentions resolve to existing or new
-    entities, references to existing records and entities (a reference to itself makes no edge); observations, proposed
-    facts and sure interpretations also become facts. Requests of one id are one request, whichever row comes first in
-    order of content.
+    proposed_type, extraction_confidence and, from an interpreter, relations (predicate, target_record_id,
+    target_entity_id, confidence). Every request has one record of its own, made as ``ingest`` makes it; mentions resolve
+    to existing or new entities, references and relations to existing records and entities (one to itself makes no
+    edge); observations, proposed facts and sure interpretations also become facts, whose sides are the entities
+    mentioned. Edges go both ways and weigh 1, those of relations their confidence. Requests of one id are one request,
+    whichever row comes first in order of content.
     """
     one = requests.where(F.col("request_id").isNotNull()).groupBy("request_id").agg(F.min(F.struct("content", *[c for c in requests.columns if c not in ("request_id", "content")])).alias("r")).select("request_id", "r.*")
-    ready = fallback(policy(one)).withColumn("id", F.concat(F.lit("rec-"), F.substring(F.sha2("request_id", 256), 1, 16)))
-    kind = primary_type(F.col("source_kind"))
-    made = ready.select(
-        "id", kind.alias("type"), "sensitivity", F.col("policy_confidence").alias("confidence"), "salience", F.coalesce("scope", F.lit("")).alias("scope"), "tags", as_of.alias("created_at"),
-        as_of.alias("updated_at"), as_of.alias("last_reinforced_at"), half_life(kind).cast("long").alias("half_life_seconds"), F.lit(0.0).alias("min_salience"), F.lit(0).cast("long").alias("max_age_seconds"),
-        F.lit(0.0).alias("reinforcement_gain"), F.lit(False).alias("pinned"), "deletion_policy", F.col("content").alias("payload_json"), F.lit(None).cast("string").alias("status"),
+    ready = stage(fallback(policy(one)).withColumn("id", F.concat(F.lit("rec-"), F.substring(F.sha2("request_id", 256), 1, 32))))
+    content = F.col("content")
+    working = F.col("source_kind") == "working_state"
+    tool = F.col("source_kind") == "tool_output"
+    texts_of = lambda k: F.from_json(F.get_json_object(content, f"$.{k}"), "array<string>")
+    state = F.get_json_object(content, "$.state")
+    asked = ready.select(
+        "request_id", F.when(working | tool, F.col("source_kind")).otherwise("event").alias("kind"), F.coalesce("source", F.lit("capture")).alias("source"), as_of.alias("timestamp"), "tags", "scope", "sensitivity",
+        F.coalesce(F.nullif("source_kind", F.lit("")), F.lit("event")).alias("event_kind"), F.coalesce(content_value(content, "ref", "id"), F.col("id")).alias("ref"), F.col("i_summary").alias("summary"),
+        F.coalesce(content_value(content, "tool_name", "tool"), F.lit("unknown")).alias("tool_name"), F.get_json_object(content, "$.args").alias("args"),
+        F.when(tool, ingest.text_json(F.get_json_object(content, "$.result"))).alias("result"), texts_of("depends_on").alias("depends_on"),
+        F.coalesce(content_value(content, "thread_id", "thread"), F.lit("unknown")).alias("thread_id"), F.when(state.isin(*TASK_STATES), state).otherwise("executing").alias("state"), texts_of("next_actions").alias("next_actions"),
+        texts_of("open_questions").alias("open_questions"), first_text(F.col("summary"), F.col("reason_to_remember"), content_value(content, "context_summary", "summary")).alias("context_summary"),
+        F.get_json_object(content, "$.active_constraints").alias("active_constraints"),
     )
+    own = ingest.ingest(asked, records.limit(0), terms.limit(0), as_of)
     said = ready.select(F.col("id").alias("record_id"), "scope", F.explode("i_mentions").alias("m")).select(
         "record_id", "scope", "m.surface", "m.entity_kind", F.when(F.startswith("m.surface", F.lit("entity-")), F.col("m.surface")).alias("canonical_entity_id"), "m.confidence"
     )
     found, new = resolve_mentions(said, entities, terms)
-    named = found.select(F.col("record_id").alias("source_id"), F.lit("mentions_entity").alias("predicate"), F.col("entity_id").alias("target_id"), "confidence")
+    found = stage(found)
+    link = lambda df, p, target, conf: df.select("source_id", F.lit(p).alias("predicate"), F.col(target).alias("target_id"), conf.alias("confidence"))
+    full = F.lit(1.0)
+    links = link(found.withColumnRenamed("record_id", "source_id"), "mentions_entity", "entity_id", full)
     refs = ready.select(F.col("id").alias("source_id"), F.explode("i_references.ref").alias("ref"))
-    linked = resolve_references(refs, records, entities, timeline).where(F.col("target_id").isNotNull())
-    named = named.unionByName(linked.select("source_id", F.lit("references_record").alias("predicate"), "target_id", F.lit(0.5).alias("confidence")))
+    linked = resolve_references(refs, records, entities, timeline)
+    links = links.unionByName(link(linked.where(F.col("target_id").isNotNull()), "references_record", "target_id", full))
+    # a reference to what the request itself is called is its own, if nobody else's
+    own_refs = asked.join(ready.select("request_id", F.col("id").alias("source_id")), "request_id").select("source_id", norm("ref").alias("key")).distinct()
+    open_ = linked.where(F.col("target_id").isNull()).withColumn("key", norm("ref")).join(own_refs, ["source_id", "key"], "left_anti").select("source_id")
+    if "relations" in ready.columns:
+        ids = records.select("id").unionByName(entities.select(F.col("entity_id").alias("id")))
+        related = resolve_relations(ready.select(F.col("id").alias("source_id"), F.inline("relations")), ids)
+        links = links.unionByName(related.where("resolved").select("source_id", "predicate", "target_id", F.col("confidence").cast("double").alias("confidence")))
+        open_ = open_.unionByName(related.where(~F.col("resolved") & (norm("predicate") != "")).select("source_id"))
     facts = facts_of(ready, as_of).join(ready.select("request_id", F.col("id").alias("source_id")), "request_id")
+    facts = canonical_sides(facts, found.select("record_id", "surface", F.lit(None).cast("array<string>").alias("aliases"), "entity_id"))
     facts = facts.withColumn("id", F.concat(F.lit("fact-"), F.substring(F.sha2(F.concat_ws("\x1f", "source_id", "subject", "predicate", "object"), 256), 1, 16)))
-    derived = facts.select("source_id", F.lit("derived_semantic").alias("predicate"), F.col("id").alias("target_id"), "confidence")
-    return {"records": made, "facts": facts, "entities": new, "edges": edge_pairs(named.unionByName(derived), as_of)}
+    links = links.unionByName(link(facts, "derived_semantic", "id", full))
+    for side in ("subject", "object"):
+        links = links.unionByName(link(facts.where(F.col(f"{side}_entity").isNotNull()).select(F.col("id").alias("source_id"), f"{side}_entity"), f"{side}_entity", f"{side}_entity", full))
+    status = ready.select("id", F.col("i_summary").alias("summary"), F.col("i_labels").alias("topical_labels")).join(open_.select(F.col("source_id").alias("id"), F.lit(True).alias("__open")).distinct(), "id", "left")
+    status = status.withColumn("status", F.when(F.col("__open"), "tentative").otherwise("resolved")).drop("__open")
+    return {"records": own.records, "facts": facts, "entities": new, "edges": edge_pairs(links, as_of), "audit": own.audit, "interpretations": status}

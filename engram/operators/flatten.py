@@ -199,6 +199,20 @@ def unread(df: DataFrame, key_col: str, text_col: str, order_col: str | None = N
     return rows.select(F.col(key_col).alias("record_id"), reason(F.col(text_col).cast("string")).alias("reason")).where(F.col("reason").isNotNull())
 
 
+def with_text(json_text: Column, key: str, value: Column) -> Column:
+    """A record's JSON with a text as the value of a top-level key; texts that hold no record stay as they are."""
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for t, v in zip(texts, values):
+            r = read_record(t)
+            out.append(t if r is None else _dumps({**r, key: v}))
+        return pd.Series(out, dtype=object)
+
+    return put(json_text.cast("string"), value.cast("string"))
+
+
 def _kind(value: object) -> str:
     """The type of a leaf; objects and arrays stay JSON."""
     if value is None:

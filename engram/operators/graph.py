@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.exprs import lexical_match, relation_boost
-from engram.operators.trust import Trust, visible
+from engram.operators.ranks import numbered
+from engram.operators.retrieve import layers_of, retrieve, selected, selection_confidence
+from engram.operators.store import entity_terms, find_by_term
+from engram.operators.trust import Trust, allows, visible
 from engram.plans.staging import stage
 
 # What a match adds to a root's score.
@@ -49,9 +53,9 @@ def mention_boost(mentions: Column, query: Column) -> Column:
     return F.coalesce(F.aggregate(mentions, zero, step)["sum"], F.lit(0))
 
 
-def linked_boost(relations: DataFrame, entities: DataFrame, query: Column) -> DataFrame:
-    """(id, linked): for each source, what its edges to matching entities add."""
-    e = entities.select(
+def linked_boost(relations: DataFrame, entities: DataFrame, query: Column, trust: Trust | None = None) -> DataFrame:
+    """(id, linked): for each source, what its edges to matching entities add; only entities seen in full count."""
+    e = (entities if trust is None else entities.where(allows(trust))).select(
         F.col("id").alias("target_id"),
         lexical_match(F.col("canonical_name"), query).alias("by_name"),
         F.coalesce(F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda v: lexical_match(v, query)), F.lit(False)).alias("by_alias"),
@@ -69,15 +73,6 @@ def rank_roots(base: DataFrame, boosts: DataFrame, limit: int) -> DataFrame:
     return top.withColumn("root_rank", F.row_number().over(Window.orderBy(F.desc("score"), "place")) - 1).drop("n")
 
 
-def _numbered(rows: DataFrame, order: list[str], start: int) -> DataFrame:
-    """Rows with ``place`` from ``start`` + 1 in order, numbered within ranges; only the sizes of the ranges meet in one task."""
-    parts = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    no = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return parts.join(F.broadcast(before), "part").withColumn("place", (F.col("before") + no + start).cast("long")).drop("part", "before")
-
-
 def expand(roots: DataFrame, relations: DataFrame, records: DataFrame, trust: Trust | None, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around roots (id, root_rank): breadth first, by rank and edge order, within the limits.
 
@@ -110,7 +105,7 @@ def expand(roots: DataFrame, relations: DataFrame, records: DataFrame, trust: Tr
         admitted = stage(admitted.select("target_id"))
         kept = out.join(small(known.unionByName(admitted)), "target_id", "left_semi")
         if limits.edges is None:
-            kept = stage(_numbered(kept, place, n_edges))
+            kept = stage(numbered(kept, place, "place", start=n_edges + 1))
         else:
             kept = kept.orderBy(*place).limit(limits.edges - n_edges)
             kept = stage(kept.withColumn("place", (F.row_number().over(Window.orderBy(*place)) + n_edges).cast("long")))
@@ -131,6 +126,61 @@ def expand(roots: DataFrame, relations: DataFrame, records: DataFrame, trust: Tr
     return nodes, edges
 
 
-def order_nodes(nodes: DataFrame, records: DataFrame) -> DataFrame:
-    """Roots first, then by hop, salience and id."""
-    return nodes.join(records, "id").orderBy(F.desc("root"), "hop", F.desc("salience"), "id")
+def order_nodes(nodes: DataFrame, records: DataFrame, trust: Trust | None) -> DataFrame:
+    """What a context may see of the nodes: roots first, then by hop, salience and id."""
+    return nodes.join(visible(records, trust), "id").orderBy(F.desc("root"), "hop", F.desc("salience"), "id")
+
+
+@dataclass(frozen=True)
+class Found:
+    """nodes with root and hop, edges, roots (id, root_rank), and the selection among procedures (one row)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    roots: DataFrame
+    selection: DataFrame
+
+
+def entity_roots(entities: DataFrame, trust: Trust, query: str, limit: int) -> DataFrame:
+    """(id, place): the entities that a query names, scope by scope of the context (none: those without a scope)."""
+    spark = entities.sparkSession
+    asked = spark.createDataFrame([(i, query, s) for i, s in enumerate(trust.scopes or ("",))], "query_id int, term string, scope string")
+    hits = find_by_term(entity_terms(entities.select(F.col("id").alias("entity_id"), "scope", "canonical_name", F.transform("aliases", lambda a: F.struct(a.alias("value"))).alias("aliases"))), asked, limit)
+    return hits.groupBy(F.col("entity_id").alias("id")).agg(F.min(F.struct("query_id", "rank")).alias("place"))
+
+
+def boosts(records: DataFrame, relations: DataFrame, entities: DataFrame, mentions: DataFrame, query: str, trust: Trust | None) -> DataFrame:
+    """(id, boost) of the given records: by their own names, by what they mention, and by the entities they are linked to."""
+    q, zero = F.lit(query), F.lit(0)
+    own = entities.select("id", entity_boost(q).alias("own"))
+    said = mentions.select("id", mention_boost(F.col("mentions"), q).alias("said"))
+    near = relations.join(records.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    linked = linked_boost(near, entities, q, trust)
+    out = records.select("id").join(own, "id", "left").join(said, "id", "left").join(linked, "id", "left")
+    return out.select("id", (F.coalesce("own", zero) + F.coalesce("said", zero) + F.coalesce("linked", zero)).alias("boost"))
+
+
+def retrieve_graph(
+    records: DataFrame, relations: DataFrame, entities: DataFrame, mentions: DataFrame, trust: Trust, as_of: Column, query: str = "", limits: Limits = Limits(),
+    min_salience: float = 0, types: Sequence[str] = (), embeddings: DataFrame | None = None, vector: Sequence[float] | None = None, threshold: float = 0.7,
+) -> Found:
+    """The records of a request and the entities it names, reranked by what matches the query, with their neighbourhood.
+
+    ``records``: all record types, entities too; ``entities``: id, canonical_name, aliases and types (strings), scope,
+    sensitivity; ``mentions``: id, mentions (surface, aliases) of the records' interpretations. Redacted records get no
+    boost, and only entities seen in full give one. Without a query the order of ``retrieve`` stays.
+    """
+    found = retrieve(records, trust, as_of, query, limits.roots * OVERFETCH, min_salience, types, embeddings, vector)
+    top = [F.col("band"), F.desc("order_key"), F.col("id")]
+    once = Window.partitionBy("id").orderBy("place")
+    base = found.withColumn("place", F.row_number().over(Window.orderBy(*top)) - 1).select("id", "redacted", "place")  # a few rows, see the limit
+    base = base.withColumn("n", F.row_number().over(once)).where(F.col("n") == 1).select("id", "redacted", F.struct(F.lit(0).alias("a"), F.col("place").alias("b"), F.lit(0).alias("c")).alias("place"))
+    if query.strip() and "entity" in layers_of(types):
+        named = entity_roots(entities, trust, query, limits.roots).join(visible(records, trust).select("id", "redacted"), "id").join(base.select("id"), "id", "left_anti")
+        base = base.unionByName(named.select("id", "redacted", F.struct(F.lit(1).alias("a"), F.col("place.query_id").alias("b"), F.col("place.rank").alias("c")).alias("place")))
+    base = stage(base.withColumn("place", F.row_number().over(Window.orderBy("place")) - 1))  # at most (3 + scopes) times the roots
+    extra = boosts(base.where(~F.col("redacted")), relations, entities, mentions, query, trust) if query else base.select("id", F.lit(0).alias("boost"))
+    roots = stage(rank_roots(base.select("id", "place"), extra, limits.roots))
+    nodes, edges = expand(roots, relations, records, trust, limits)
+    picks = selected(visible(records, trust).where(F.col("type").isin(*layers_of(types)) & (F.col("salience") >= min_salience)), as_of, embeddings, vector)
+    return Found(order_nodes(nodes, records, trust), edges.orderBy("place"), roots.select("id", "root_rank"), selection_confidence(picks, threshold))

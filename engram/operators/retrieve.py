@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.exprs import LAYERS, cosine01, pick, recency, success_rate
+from engram.operators.ranks import numbered
 from engram.operators.store import Denied, NotFound
 from engram.operators.trust import Trust, allows, visible
 
@@ -97,19 +98,28 @@ def vector_rank(candidates: DataFrame, embeddings: DataFrame, query: Sequence[fl
         near, by = similarities(query, embeddings), ["query_id"]
         asked = candidates.crossJoin(query.select(F.col("query_id").cast("string").alias("query_id")).distinct())
     else:
-        vector, by, asked = F.array(*[F.lit(float(x)) for x in query]), [], candidates
-        near = (
-            embeddings.where(F.size("embedding") == (model_size or len(query)))
-            .select("record_id", cosine01(F.col("embedding"), vector).alias("similarity"))
-            .orderBy(F.desc("similarity"), "record_id")
-            .limit(n)
-        )
-    order = Window.partitionBy(*by).orderBy(F.desc("similarity"), "record_id")  # over the limited hits, or those of a query
-    ranked = near.withColumn("vector_rank", F.row_number().over(order) - 1).where(F.col("vector_rank") < n).withColumn("hits", F.count("*").over(Window.partitionBy(*by)))
+        by, asked = [], candidates
+        near = embeddings.where(F.size("embedding") == (model_size or len(query))).select("record_id", cosine01(F.col("embedding"), as_vector(query)).alias("similarity"))
+    ranked = numbered(near, [F.desc("similarity"), "record_id"], "vector_rank", by).where(F.col("vector_rank") < n)
+    if by:
+        hits = ranked.groupBy(*by).agg(F.count("*").alias("hits"))
+        ranked = ranked.join(hits, by)
+    else:
+        ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("hits"))))  # one row
     scored = ranked.select(*by, F.col("record_id").alias("id"), "similarity", "vector_rank", (1 - F.col("vector_rank") / F.col("hits")).alias("vector_score"))
     return asked.join(scored, [*by, "id"], "left")
 
 
+def as_vector(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in values])
+
+
+def with_similarity(records: DataFrame, embeddings: DataFrame, vector: Sequence[float]) -> DataFrame:
+    """Records with ``similarity`` to the vector; null where none of its size is stored."""
+    stored = embeddings.where(F.size("embedding") == len(vector)).select(F.col("record_id").alias("id"), cosine01(F.col("embedding"), as_vector(vector)).alias("similarity"))
+    return records.join(stored, "id", "left")
+
+
 def hybrid_order(ranked: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     """``place`` in the three bands: selected procedures by score, hits by 0.7 vector + 0.3 salience, the rest by salience."""
     df = ranked if selected is None else ranked.join(selected.select("id", "selection_score"), "id", "left")
@@ -145,6 +155,14 @@ def pick_lists(c: Column, values: dict[str, list[int]]) -> Column:
     return out
 
 
+def selected(found: DataFrame, as_of: Column, embeddings: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
+    """The procedures among candidates, each once, scored; by similarity where there is a vector of theirs to compare."""
+    picks = found.where(F.col("type").isin(*PROCEDURES)).drop("layer").dropDuplicates()
+    if vector is None or embeddings is None:
+        return select(picks, as_of)
+    return select(with_similarity(picks, embeddings, vector), as_of, F.col("similarity")).drop("similarity")
+
+
 def retrieve(
     records: DataFrame, trust: Trust | None, as_of: Column, query: str = "", limit: int = 0, min_salience: float = 0, types: Sequence[str] = (),
     embeddings: DataFrame | None = None, vector: Sequence[float] | None = None,
@@ -155,14 +173,14 @@ def retrieve(
     query text: selected procedures first, the others by salience. Else by salience. Status is not looked at.
     """
     found = candidates(records, trust, min_salience, types)
-    picks = select(found.where(F.col("type").isin(*PROCEDURES)), as_of)
+    picks = selected(found, as_of, embeddings, vector)
     if vector is not None and embeddings is not None:
         ranked = vector_rank(found, embeddings, vector)
-        out = hybrid_order(ranked, picks.dropDuplicates(["id"]))
+        out = hybrid_order(ranked, picks)
         if embeddings.isEmpty():
             out = out.withColumn("band", F.lit(2)).withColumn("order_key", F.col("salience"))
     elif query.strip():
-        out = found.join(picks.select("id", "selection_score").dropDuplicates(["id"]), "id", "left")
+        out = found.join(picks.select("id", "selection_score"), "id", "left")
         out = out.withColumn("band", F.when(F.col("selection_score").isNotNull(), 0).otherwise(2)).withColumn("order_key", F.coalesce("selection_score", "salience"))
     else:
         out = found.withColumn("band", F.lit(2)).withColumn("order_key", F.col("salience"))

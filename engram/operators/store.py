@@ -7,17 +7,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from engram.functions.exprs import first_violation
+from engram.functions.exprs import first_violation, inverse_predicate
 from engram.functions.text import norm
 
 RECORDS = (
     "id string, type string, sensitivity string, confidence double, salience double, scope string, tags array<string>, created_at timestamp, "
     "updated_at timestamp, last_reinforced_at timestamp, half_life_seconds long, min_salience double, max_age_seconds long, "
-    "reinforcement_gain double, pinned boolean, deletion_policy string, payload_json string, status string"
+    "reinforcement_gain double, pinned boolean, deletion_policy string, payload_json string, status string, supersedes string, superseded_by string, "
+    "created_by string, provenance array<struct<kind:string,ref:string,created_by:string,timestamp:timestamp>>, interpretation_json string"
 )
+SOURCE = "array<struct<kind:string,ref:string,created_by:string,timestamp:timestamp>>"
 RELATIONS = "source_id string, predicate string, target_id string, weight double, created_at timestamp, seq long"
 AUDIT = "record_id string, action string, actor string, at timestamp, rationale string, seq long"
 EMBEDDINGS = "record_id string, embedding array<float>, model string, created_at timestamp"
@@ -62,23 +66,48 @@ class Snapshot:
         return replace(self, **tables)
 
 
+def as_records(df: DataFrame) -> DataFrame:
+    """The columns of ``RECORDS`` in order; those that ``df`` lacks have the value of a new record."""
+    new = {
+        "sensitivity": "low", "confidence": 1.0, "salience": 1.0, "scope": "", "half_life_seconds": 86_400, "min_salience": 0.0, "max_age_seconds": 0, "reinforcement_gain": 0.0,
+        "pinned": False, "deletion_policy": "auto_prune",
+    }
+    cols = []
+    for f in StructType.fromDDL(RECORDS):
+        c = F.col(f.name) if f.name in df.columns else F.array() if f.name in ("tags", "provenance") else F.lit(new.get(f.name))
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
+
+def provenance(kind: str, ref: Column, created_by: Column | str, at: Column) -> Column:
+    """One source of a record."""
+    by = F.lit(created_by) if isinstance(created_by, str) else created_by
+    return F.struct(F.lit(kind).alias("kind"), ref.alias("ref"), by.alias("created_by"), at.alias("timestamp"))
+
+
 def empty(spark: SparkSession) -> Snapshot:
     """A reset store."""
     return Snapshot(*(spark.createDataFrame([], s) for s in (RECORDS, RELATIONS, AUDIT, EMBEDDINGS)))
 
 
 def publish(snap: Snapshot, path: str, version: int) -> None:
-    """Write a version and make it the current one in a last, atomic step; one writer at a time.
+    """Write a version and make it the current one in a last, atomic step. A version that exists is refused, so of two
+    writers that take the same number one fails.
 
     Records are laid out by type and sorted by salience, so that type filters prune folders and salience filters
     prune row groups.
     """
     spark = snap.records.sparkSession
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}.lock")
+    try:
+        lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(lock, False).close()
+    except Py4JJavaError as e:
+        raise AlreadyExists(f"version {version}") from e
     for f in fields(snap):
         if (df := getattr(snap, f.name)) is None:
             continue
         w = df.sortWithinPartitions(F.desc("salience")) if f.name == "records" else df
-        w = w.write.mode("overwrite")
+        w = w.write.mode("errorifexists")
         (w.partitionBy("type") if f.name == "records" else w).parquet(f"{path}/v{version}/{f.name}")
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to, tmp = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT"), jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT.{version}")
@@ -155,11 +184,6 @@ def relations_of(snap: Snapshot, record_id: str) -> DataFrame:
 # --- writing
 
 
-def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1).drop("__n")
-
-
 def add_relations(relations: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by (source, predicate, target): weight and time of the last one, place of the first; weight 0 becomes 1."""
     rows = relations.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -170,12 +194,30 @@ def add_relations(relations: DataFrame, new: DataFrame) -> DataFrame:
     return merged.select(*key, weight.alias("weight"), F.col("last.created_at").alias("created_at"), "seq")
 
 
+def both_ways(links: DataFrame, as_of: Column) -> DataFrame:
+    """Edges of each link (source_id, predicate, target_id, weight) and of its inverse, each once; self-links make none."""
+    rows = links.where(F.col("source_id") != F.col("target_id")).select("source_id", norm("predicate").alias("predicate"), "target_id", "weight").where(F.col("predicate") != "")
+    back = rows.select(F.col("target_id").alias("source_id"), inverse_predicate(F.col("predicate")).alias("predicate"), F.col("source_id").alias("target_id"), "weight")
+    once = rows.unionByName(back).groupBy("source_id", "predicate", "target_id").agg(F.max("weight").alias("weight"))
+    return once.withColumns({"created_at": as_of, "seq": F.unix_micros(as_of)})
+
+
+def link(snap: Snapshot, new: DataFrame) -> Snapshot:
+    """Add edges whose sources exist; else nothing is written."""
+    sources = new.select(F.col("source_id").alias("id")).distinct()
+    if (missing := sources.join(snap.records.select("id"), "id", "left_anti").first()) is not None:
+        raise NotFound(missing["id"])
+    return snap.having(relations=add_relations(snap.relations, new))
+
+
 def create(snap: Snapshot, new: DataFrame, relations: DataFrame | None = None, audit: DataFrame | None = None) -> Snapshot:
     """Add records: all or none. Invalid rows and ids that exist already (or twice) are refused."""
     wrong = new.select("id", first_violation({c: F.col(c) for c in new.columns}).alias("rule")).where(F.col("rule").isNotNull()).first()
     if wrong:
         raise Invalid(f"{wrong['id']}: {wrong['rule']}")
     twice = new.groupBy("id").count().where(F.col("count") > 1).select("id")
+    if "payload_json" not in new.columns:
+        raise Invalid("payload_json is required")
     clash = new.join(snap.records.select("id"), "id", "left_semi").select("id").unionByName(twice).first()
     if clash:
         raise AlreadyExists(clash["id"])
@@ -244,6 +286,18 @@ def store_embeddings(embeddings: DataFrame, new: DataFrame, model: str, dimensio
     return embeddings.join(rows.select("record_id"), "record_id", "left_anti").unionByName(rows)
 
 
+def get_embeddings(embeddings: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored vectors of ``ids`` (id)."""
+    return embeddings.join(ids.select(F.col("id").alias("record_id")).distinct(), "record_id", "left_semi")
+
+
+def find_exact(facts: DataFrame, triples: DataFrame) -> DataFrame:
+    """Triples (subject, predicate, object) with ``id`` of the fact that says just so: the smallest; null if none does."""
+    key = ["subject", "predicate", "object"]
+    known = facts.groupBy(*key).agg(F.min("id").alias("id"))
+    return triples.join(known, key, "left")
+
+
 # --- entity lookups
 
 

@@ -64,9 +64,9 @@ def plan_text(intent: Column, ops: Column) -> Column:
 
 def trigger_text(rows: DataFrame) -> Column:
     """By memory_type, over flat columns; entities and unknown types have no text."""
-    event = F.array(F.struct("event_kind", "ref", "summary"))
+    plain = F.concat(F.coalesce("event_kind", F.lit("")), F.lit(" "), F.coalesce("ref", F.lit("")))
     return (
-        F.when(F.col("memory_type") == "episodic", episodic_text(event))
+        F.when(F.col("memory_type") == "episodic", F.coalesce(F.nullif("summary", F.lit("")), plain))  # their one event
         .when(F.col("memory_type") == "working", working_text(F.lit(None).cast("string"), F.col("state"), F.col("next_actions")))
         .when(F.col("memory_type") == "semantic", semantic_text(F.col("subject"), F.col("predicate"), F.col("object")))
         .when(F.col("memory_type") == "competence", competence_text(F.col("skill_name"), F.col("triggers")))

@@ -71,12 +71,24 @@ def node(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mention(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["record_id", "pos", "surface", "entity_kind", "canonical_entity_id", "confidence"]
+    cols = ["record_id", "pos", "surface", "entity_kind", "canonical_entity_id", "confidence", "aliases"]
     return newest(table(spark, d, "mentions"), F.col("mention_id"), [], cols, "mention_id").select(
-        "mention_id", norm_id("record_id").alias("id"), "pos", "surface", "entity_kind", norm_id("canonical_entity_id").alias("entity_id"), "confidence"
+        "mention_id", norm_id("record_id").alias("id"), "pos", "surface", "entity_kind", norm_id("canonical_entity_id").alias("entity_id"), "confidence", "aliases"
     )
 
 
+def named(spark: SparkSession, d: str) -> DataFrame:
+    """Entities as the graph operators take them."""
+    e = ent(spark, d)
+    return e.select(F.col("entity_id").alias("id"), "canonical_name", F.col("aliases.value").alias("aliases"), "types", F.coalesce("scope", F.lit("")).alias("scope"), F.lit("low").alias("sensitivity"))
+
+
+def everything(spark: SparkSession, d: str) -> DataFrame:
+    """Records of all types: ``rec``, and the entities as records."""
+    e = named(spark, d).select("id", F.lit("entity").alias("type"), "sensitivity", F.lit(1.0).alias("confidence"), F.lit(0.5).alias("salience"), "scope", F.lit(True).alias("has_payload"))
+    return rec(spark, d).unionByName(e, allowMissingColumns=True)
+
+
 _DIGIT = f"(strpos('{DIGITS}', right(id, 1)) - 1)"
 _NORM = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 _LAST = "row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1"
@@ -98,7 +110,7 @@ CTES = {
         QUALIFY {_LAST.format(key=_NORM.format('record_id') + ', pos', order='ingested_at DESC NULLS LAST')})""",
     "node": f"""node AS (SELECT {_NORM.format('record_id')} AS id, node_id, tool, coalesce(depends_on, []) AS deps FROM tool_nodes
         QUALIFY {_LAST.format(key=_NORM.format('record_id') + ', node_id', order='called_at DESC NULLS LAST')})""",
-    "mention": f"""mention AS (SELECT mention_id, {_NORM.format('record_id')} AS id, pos, surface, entity_kind, {_NORM.format('canonical_entity_id')} AS entity_id, confidence FROM mentions
+    "mention": f"""mention AS (SELECT mention_id, {_NORM.format('record_id')} AS id, pos, surface, entity_kind, {_NORM.format('canonical_entity_id')} AS entity_id, confidence, aliases FROM mentions
         QUALIFY {_LAST.format(key='mention_id', order='surface DESC NULLS LAST')})""",
 }
 

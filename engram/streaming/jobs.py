@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from engram.operators import lifecycle, store
+from engram.operators import consolidate, lifecycle, store
 
 #: A client's bucket is forgotten after this idle time.
 IDLE_SECONDS = 300
@@ -33,6 +33,20 @@ def decay_job(spark: SparkSession, path: str) -> Callable[[int], None]:
     return run
 
 
+def consolidation_job(spark: SparkSession, path: str, inputs: Callable[[store.Snapshot], tuple[DataFrame, DataFrame, DataFrame]], report: Callable[[DataFrame], None] | None = None) -> Callable[[int], None]:
+    """Consolidate the published snapshot and publish the next version. ``inputs``: its timeline, tool nodes and entity terms."""
+
+    def run(_: int) -> None:
+        snap = store.current(spark, path)
+        version = 1 + max(int(x) for x in _versions(spark, path))
+        after, counters = consolidate.consolidate(snap, *inputs(snap), F.current_timestamp())
+        store.publish(after, path, version)
+        if report is not None:
+            report(counters)
+
+    return run
+
+
 def _versions(spark: SparkSession, path: str) -> list[str]:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -45,11 +59,6 @@ def capture_stream(requests: DataFrame, write: Callable[[DataFrame, int], None],
     return requests.withWatermark("timestamp", late).dropDuplicatesWithinWatermark([key]).writeStream.foreachBatch(write)
 
 
-def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events (t, scope, event_kind) by window; windows close once nothing older can come."""
-    return events.withWatermark("t", late).groupBy(F.window("t", window), "scope", "event_kind").agg(F.count("*").alias("n"))
-
-
 def _spend(tokens: float, last: float | None, at: float, rate: float, burst: float) -> tuple[bool, float]:
     tokens = burst if last is None or at - last > IDLE_SECONDS else min(burst, tokens + (at - last) * rate)
     return (True, tokens - 1) if tokens >= 1 else (False, tokens)

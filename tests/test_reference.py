@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import exprs as ex
 from engram.functions.text import norm, norm_id
-from engram.operators import capture, consolidate, evalkit, graph, lifecycle, metrics, retrieve, revise, store, texts, trust
+from engram.operators import capture, consolidate, evalkit, graph, ingest, lifecycle, metrics, retrieve, revise, store, texts, trust
 from engram.sources import io
 from engram.streaming import jobs
 
@@ -148,6 +148,10 @@ def test_selection_and_bands(spark):
     emb = spark.createDataFrame([("fact", [1.0, 0.0], "m", NOW), ("other", [0.9, 0.1], "m", NOW)], store.EMBEDDINGS)
     out = retrieve.retrieve(df, None, AS_OF, embeddings=emb, vector=[1.0, 0.0]).collect()
     assert [r["band"] for r in out] == [0, 0, 0, 0, 1] and out[-1]["vector_score"] == 1.0 and out[-1]["hybrid_score"] == pytest.approx(0.7 + 0.3 * 0.99)
+    near = spark.createDataFrame([("cand-c", [1.0, 0.1], "m", NOW), ("cand-a", [-1.0, 0.0], "m", NOW)], store.EMBEDDINGS)
+    order = [r["id"] for r in retrieve.retrieve(df.where("id in ('cand-a', 'cand-c')"), None, AS_OF, embeddings=near, vector=[1.0, 0.0]).collect()]
+    far = df.where("id in ('cand-a', 'cand-c')").withColumns({"success_count": F.lit(0), "failure_count": F.lit(0), "last_reinforced_at": AS_OF})
+    assert order == ["cand-a", "cand-c"] and [r["id"] for r in retrieve.retrieve(far, None, AS_OF, embeddings=near, vector=[1.0, 0.0]).collect()] == ["cand-c", "cand-a"]  # the near one, of less confidence
     plain = retrieve.retrieve(df, None, AS_OF, embeddings=emb.limit(0), vector=[1.0, 0.0]).collect()
     assert plain[0]["id"] == "fact"
 
@@ -163,7 +167,7 @@ def expand(spark, edges, nodes, limits, roots=("root",), t=None):
     r = records(spark, *[record(n, salience=s, **(k[0] if k else {})) for n, s, *k in nodes])
     roots_ = spark.createDataFrame([(x, i) for i, x in enumerate(roots)], "id string, root_rank int")
     n, ed = graph.expand(roots_, e, r, t, limits)
-    return [(x["id"], x["hop"]) for x in graph.order_nodes(n, r).collect()], [(x["source_id"], x["predicate"], x["target_id"]) for x in ed.orderBy("place").collect()]
+    return [(x["id"], x["hop"]) for x in graph.order_nodes(n, r, t).collect()], [(x["source_id"], x["predicate"], x["target_id"]) for x in ed.orderBy("place").collect()]
 
 
 def test_expansion(spark):
@@ -178,6 +182,28 @@ def test_expansion(spark):
     assert expand(spark, edges, nodes, graph.Limits(1, 9, 9, 0)) == ([("root", 0)], [])
 
 
+def test_redacted_nodes_show_nothing(spark):
+    r = records(spark, record("root"), record("mid", sensitivity="medium"))
+    nodes = spark.createDataFrame([("root", 0, 0, True), ("mid", 1, 1, False)], "id string, hop int, place long, root boolean")
+    got = {x["id"]: (x["redacted"], x["payload_json"]) for x in graph.order_nodes(nodes, r, trust.Trust("low")).collect()}
+    assert got["mid"] == (True, None) and got["root"][1]
+
+
+def test_retrieve_graph(spark):
+    rows = [record("entity-3", type="entity", salience=0.1), record("linked", salience=0.2), record("plain", salience=1.0), record("mid", sensitivity="medium", salience=0.9), record("high", sensitivity="high", salience=0.95)]
+    recs = records(spark, *rows, extra=True)
+    rel = spark.createDataFrame([("linked", " Subject_Entity ", "entity-3", 1.0, NOW, 1), ("entity-3", "fact_subject_of", "linked", 1.0, NOW, 2), ("entity-3", "mentioned_in", "mid", 1.0, NOW, 3), ("entity-3", "x", "high", 1.0, NOW, 4)], EDGE)
+    ents = spark.createDataFrame([("entity-3", "Orchid", ["deploy target"], ["Service"], "", "low")], "id string, canonical_name string, aliases array<string>, types array<string>, scope string, sensitivity string")
+    none = spark.createDataFrame([], "id string, mentions array<struct<surface:string,aliases:array<string>>>")
+    ask = lambda t="low", **kw: graph.retrieve_graph(recs, rel, ents, none, trust.Trust(t), AS_OF, **kw)
+    got = ask(query="Orchid deploy target", types=("semantic",), limits=graph.Limits(1, 3, 9, 1))
+    assert [r["id"] for r in got.roots.collect()] == ["linked"] and [(r["id"], r["hop"]) for r in got.nodes.collect()] == [("linked", 0), ("entity-3", 1)] and got.edges.count() == 1
+    got = ask(query="orchid", limits=graph.Limits(1, 9, 9, 1))
+    assert [r["id"] for r in got.roots.collect()] == ["entity-3"] and {r["id"]: r["payload_json"] is None for r in got.nodes.collect()} == {"entity-3": False, "linked": False, "mid": True}
+    got = ask(limits=graph.Limits(2, 9, 9, 0))
+    assert [r["id"] for r in got.roots.orderBy("root_rank").collect()] == ["plain", "mid"] and got.selection.first()["needs_more"]
+
+
 def test_boosts(spark):
     e = spark.createDataFrame([("Orchid", ["staging deploy target"], ["Service"])], "canonical_name string, aliases array<string>, types array<string>")
     assert e.select(graph.entity_boost(F.lit("orchid")).alias("b")).first()["b"] == 100 and e.select(graph.entity_boost(F.lit("orchid staging deploy target service")).alias("b")).first()["b"] == 190
@@ -198,8 +224,11 @@ def test_store(spark, tmp_path):
     assert {(r["source_id"], r["weight"], r["seq"]) for r in snap.relations.collect()} == {("a", 0.4, 1), ("b", 1.0, 3)}
     with pytest.raises(store.AlreadyExists):
         store.create(snap, records(spark, record("a")))
-    with pytest.raises(store.Invalid):
-        store.create(snap, records(spark, record("c", confidence=2.0)))
+    for bad in (dict(confidence=2.0), dict(payload_json=None), dict(payload_json="null"), dict(type="working"), dict(sensitivity=""), dict(salience=-0.1)):
+        with pytest.raises(store.Invalid):
+            store.create(snap, records(spark, record("c", **bad)))
+    with pytest.raises(store.NotFound):
+        store.link(snap, rel.limit(1).withColumn("source_id", F.lit("zz")))
     assert store.get(snap, "a").first()["relations"][0]["target_id"] == "b" and [r["id"] for r in store.get_batch(snap, ["b", "zz", "a"]).collect()] == ["b", "a"]
     with pytest.raises(store.NotFound):
         store.get(snap, "zz")
@@ -211,6 +240,8 @@ def test_store(spark, tmp_path):
     store.publish(snap, path, 1)
     store.publish(up, path, 2)
     assert store.current(spark, path).records.where("id = 'a'").first()["salience"] == 0.2
+    with pytest.raises(store.AlreadyExists):
+        store.publish(snap, path, 2)
     jobs.decay_job(spark, path)(0)
     assert store.current(spark, path).records.count() == 2 and store.current(spark, path).audit.count() == 2
     emb = spark.createDataFrame([("a", [1.0, 2.0], NOW)], "record_id string, embedding array<float>, created_at timestamp")
@@ -234,6 +265,9 @@ def test_revision(spark):
     c = revise.contest(snap, "old", "other", "me", "no", AS_OF)
     assert c.records.where("status = 'contested' and salience = 0.8").count() == 1
     assert revise.retract(snap, "old", "me", "x", AS_OF).audit.first()["action"] == "delete"
+    assert (rows["old"]["superseded_by"], rows["new"]["supersedes"]) == ("new", "old") and [(x["kind"], x["ref"], x["created_by"]) for x in rows["new"]["provenance"]] == [("event", "old", "me")]
+    source = [("observation", "x", "me", NOW)]
+    assert revise.fork(snap, "old", new("g", payload_json='{"kind":"semantic"}', provenance=source), "me", "y", AS_OF).records.where("id = 'g'").count() == 1
     for call, err in (
         (lambda: revise.retract(snap, "epi", "m", "x", AS_OF), store.NotRevisable), (lambda: revise.retract(snap, "zz", "m", "x", AS_OF), store.NotFound),
         (lambda: revise.supersede(snap, "old", new("n", payload_json="{}"), "m", "x", AS_OF), store.NotRevisable), (lambda: revise.fork(snap, "old", new("other"), "m", "x", AS_OF), store.AlreadyExists),
@@ -243,6 +277,64 @@ def test_revision(spark):
             call()
 
 
+def test_many_revisions(spark):
+    snap = snapshot(spark, *[record(i) for i in "abcdefg"], record("epi", type="episodic"), record("work", type="working"))
+    rows = [
+        ("supersede", "a", "a2", "me", "why"), ("merge", "b", "m", "me", "one"), ("merge", "c", "m", "me", "one"), ("fork", "d", "d2", "me", "try"), ("retract", "e", None, "me", "gone"), ("retract", "work", None, "me", "gone"),
+        ("contest", "f", "g", "me", "no"), ("retract", "epi", None, "me", ""), ("retract", "zz", None, "me", ""), ("merge", "g", "m2", "me", ""), ("merge", "zz", "m2", "me", ""), ("fork", "g", "bare", "me", ""), ("fork", "g", "none", "me", ""),
+        ("contest", "g", "zz", "me", ""), ("odd", "g", "d3", "me", ""), ("supersede", "g", "b", "me", ""), ("retract", "e", None, "me", "gone"),
+    ]
+    changes = spark.createDataFrame(rows, "op string, old_id string, new_id string, actor string, rationale string")
+    new = records(spark, *[record(i) for i in ("a2", "m", "d2", "m2", "b")], record("bare", payload_json='{"kind":"semantic"}'))
+    after, refused = revise.revise_many(snap, changes, new, AS_OF)
+    got = {r["id"]: (r["salience"], r["status"], r["superseded_by"], r["supersedes"]) for r in after.records.collect()}
+    assert got["a"] == (0.0, "retracted", "a2", None) and got["a2"] == (0.8, "active", None, "a") and got["b"][:2] == got["c"][:2] == got["e"][:2] == (0.0, "retracted") and got["work"][:2] == (0.0, "active")
+    assert got["f"][:2] == (0.8, "contested") and got["d"][:2] == got["g"][:2] == (0.8, "active") and not {"m2", "bare"} & set(got) and len(got) == 12
+    assert {(r["source_id"], r["predicate"], r["target_id"]) for r in after.relations.collect()} == {("a2", "supersedes", "a"), ("m", "derived_from", "b"), ("m", "derived_from", "c"), ("d2", "derived_from", "d"), ("f", "contested_by", "g")}
+    assert {(r["old_id"], r["new_id"], r["reason"].split()[0]) for r in refused.collect()} == {("epi", None, "episodic"), ("zz", None, "record"), ("g", "m2", "record"), ("zz", "m2", "record"), ("g", "bare", "a"), ("g", "none", "new"), ("g", "zz", "contesting"), ("g", "d3", "unknown"), ("g", "b", "new")}
+    log = {(r["record_id"], r["action"], r["rationale"]) for r in after.audit.collect()}
+    assert {("m", "create", "merged from b, c: one"), ("a", "revise", "superseded by a2: why"), ("e", "delete", "gone"), ("f", "revise", "no"), ("d2", "create", "forked from d: try")} <= log and after.audit.count() == 10
+    one = revise.supersede(snap, "a", records(spark, record("a2")), "me", "why", AS_OF)
+    same = lambda s, i: s.records.where(F.col("id") == i).first().asDict()
+    assert same(one, "a2") == same(after, "a2") and same(one, "a") == same(after, "a")
+    none, _ = revise.revise_many(snap, changes.limit(0), new, AS_OF)
+    assert none.records.count() == 9 and none.audit.count() == 0
+
+
+def test_ingest(spark):
+    rows = [
+        dict(request_id="e", kind="event", source="app", timestamp=NOW, tags=["t"], scope="s", event_kind='say "hi"', ref="r\\1", summary="ok\n"),
+        dict(request_id="t", kind="tool_output", source="app", timestamp=NOW, tool_name="bash", args='{"a":[1]}', result='"done"', depends_on=["n0"]),
+        dict(request_id="o", kind="observation", source="app", timestamp=NOW, scope="s", subject="ORCHID", predicate="is", object='"orchid"', sensitivity="high"),
+        dict(request_id="o2", kind="observation", source="app", timestamp=NOW, scope="z", subject="nobody", predicate="is", object='{"x":1}'),
+        dict(request_id="w", kind="working_state", source="app", thread_id="th", state="planning", next_actions=["a"], open_questions=[]),
+        dict(request_id="x", kind="outcome", source="app", timestamp=NOW, target_record_id="epi", outcome="success"), dict(request_id="x2", kind="outcome", source="app", timestamp=ago(hours=1), target_record_id="epi", outcome="failure"),
+        dict(request_id="y", kind="outcome", source="app", timestamp=NOW, target_record_id="sem", outcome="success"), dict(request_id="z", kind="outcome", source="app", timestamp=NOW, target_record_id="zz", outcome="success"),
+        dict(request_id="b1", kind="event", source="app", timestamp=NOW, event_kind="k", ref=""), dict(request_id="b2", kind="outcome", source="app", timestamp=NOW, target_record_id="epi", outcome="great"),
+        dict(request_id="b3", source="app"), dict(request_id="b4", kind="tool_output", source="app", tool_name="x", sensitivity="odd"), dict(request_id=None, kind="event", source="a"),
+    ]
+    req = spark.createDataFrame(rows, ingest.REQUESTS)
+    req = req.unionByName(req.where("request_id = 'e'"))
+    terms = spark.createDataFrame([("orchid", "entity-1", "s"), ("orchid", "entity-2", "")], "term string, entity_id string, scope string")
+    snap = snapshot(spark, record("epi", type="episodic", payload_json='{"kind":"episodic","timeline":[{"ref":"a\\"b"}],"outcome":"partial"}'), record("sem"))
+    got = ingest.ingest(req, snap.records, terms, AS_OF)
+    assert {(r["request_id"], r["reason"]) for r in got.refused.collect()} == {("y", "target record is not episodic"), ("z", "target record not found"), ("b1", "ref is required"), ("b2", "outcome is unknown"), ("b3", "kind is required"), ("b4", "sensitivity is unknown")}
+    made = {json.loads(r["payload_json"]).get("thread_id") or r["provenance"][0]["kind"] + str(len(r["tags"])) + r["scope"]: (r, json.loads(r["payload_json"])) for r in got.records.collect()}
+    e, o, o2 = made["event1s"], made["observation0s"], made["observation0z"]
+    assert e[1]["timeline"] == [{"t": "2026-02-05T12:00:00.000000Z", "event_kind": 'say "hi"', "ref": "r\\1", "summary": "ok\n"}] and (e[0]["confidence"], e[0]["half_life_seconds"], e[0]["created_by"]) == (0.8, 3600, "ingestion-service")
+    t = made["tool_call0"][1]
+    assert t["tool_graph"][0]["args"] == {"a": [1]} and t["tool_graph"][0]["result"] == "done" and t["tool_graph"][0]["id"] == t["timeline"][0]["ref"] and t["timeline"][0]["summary"] == "tool_call: bash"
+    assert (o[1]["subject"], o[1]["object"], o[0]["sensitivity"], o[0]["type"]) == ("entity-1", "entity-1", "high", "semantic") and (o2[1]["subject"], o2[1]["object"]) == ("nobody", {"x": 1}) and o[1]["evidence"][0]["source_id"] == "app"
+    assert made["th"][1] == {"kind": "working", "thread_id": "th", "state": "planning", "next_actions": ["a"]} and made["th"][0]["confidence"] == 1.0
+    assert sorted(r["predicate"] for r in got.relations.collect()) == ["fact_object_of", "fact_subject_of", "object_entity", "subject_entity"]
+    after = ingest.apply(snap, got)
+    epi = after.records.where("id = 'epi'").first()
+    assert json.loads(epi["payload_json"]) == {"kind": "episodic", "timeline": [{"ref": 'a"b'}], "outcome": "success"} and [x["ref"] for x in epi["provenance"]] == ["outcome:epi:failure", "outcome:epi:success"]
+    assert after.records.count() == 7 and after.audit.count() == 7 and {r["rationale"] for r in after.audit.where("record_id = 'epi'").collect()} == {"Outcome recorded: success", "Outcome recorded: failure"}
+    empty = ingest.ingest(req.limit(0), snap.records, terms, AS_OF)
+    assert empty.records.count() == empty.relations.count() == empty.changed.count() == empty.refused.count() == 0
+
+
 # --- metrics and evaluation
 
 
@@ -283,7 +375,10 @@ def test_consolidation(spark):
     ev = spark.createDataFrame([("e1", 1, "build", "done"), ("e1", 2, "build", "again"), ("e2", 3, "note", " "), ("e2", 4, "known", "s"), ("e2", 5, None, "s")], "record_id string, place int, event_kind string, summary string")
     old = spark.createDataFrame([("known", "f1", 0.95)], "subject string, fact_id string, salience double")
     new, more = consolidate.semantic_facts(ev, old)
-    assert [(r["subject"], r["object"], r["reinforcements"]) for r in new.collect()] == [("build", "done", 1)] and [(r["fact_id"], r["salience"]) for r in more.collect()] == [("f1", 1.0)]
+    assert sorted((r["subject"], r["object"], r["reinforcements"]) for r in new.collect()) == [("", "s", 0), ("build", "done", 1), ("note", " ", 0)] and [(r["fact_id"], r["salience"]) for r in more.collect()] == [("f1", 1.0)]
+    other = spark.createDataFrame([("known", "is", "f0", 0.1), ("known", "observed_in", "f2", 0.3), ("known", "observed_in", "f3", 0.4), ("build", "is", "f4", 0.5)], "subject string, predicate string, fact_id string, salience double")
+    new, more = consolidate.semantic_facts(ev, other)
+    assert {r["subject"] for r in new.collect()} == {"", "build", "note"} and [(r["fact_id"], r["salience"]) for r in more.collect()] == [("f2", 0.4)]
     tools = spark.createDataFrame([("e1", 1, "bash"), ("e1", 2, "apt"), ("e2", 1, "apt"), ("e2", 2, " bash "), ("e3", 1, "")], "record_id string, place int, tool string")
     eps = spark.createDataFrame([("e1", 1, "project:beta", "high"), ("e2", 2, "project:alpha", "zz"), ("e3", 3, "", "low")], "record_id string, place int, scope string, sensitivity string")
     none = spark.createDataFrame([], "skill_name string, skill_id string, salience double")
@@ -327,7 +422,7 @@ def test_capture(spark):
     links = spark.createDataFrame([("a", "uses", "b", 0.0), ("a", "uses", "a", 0.5), ("a", "mine", "c", 3.0)], "source_id string, predicate string, target_id string, confidence double")
     assert {(r["source_id"], r["predicate"], r["weight"]) for r in capture.edge_pairs(links, AS_OF).collect()} == {("a", "uses", 1.0), ("b", "used_by", 1.0), ("a", "mine", 1.0), ("c", "inverse_of_mine", 1.0)}
     obs = spark.createDataFrame([("q", "s", "low", "observation", None, None, '{"subject":"Orchid","predicate":"deploy_target_for","object":"staging"}'), ("w", "s", "low", "event", None, 0.4, "{}")], "request_id string, scope string, sensitivity string, source_kind string, proposed_type string, extraction_confidence double, content string")
-    assert [(f["subject"], f["object"], f["confidence"]) for f in capture.facts_of(obs, AS_OF).collect()] == [("Orchid", "staging", 0.7)]
+    assert [(f["subject"], f["object"], f["confidence"]) for f in capture.facts_of(obs, AS_OF).collect()] == [("Orchid", "staging", 0.8)]
 
 
 def test_candidate_scores(spark):
@@ -374,7 +469,9 @@ def test_capture_batch(spark):
     out = {k: df.collect() for k, df in capture.capture_batch(req, records(spark, record("old")), ents, terms, line, AS_OF).items()}
     assert sorted(r["type"] for r in out["records"]) == ["episodic"] * 3 and len(out["facts"]) == 1 and [e["canonical_name"] for e in out["entities"]] == ["Orchid"]
     kinds = sorted((e["predicate"], e["target_id"] in ("entity-1", "old")) for e in out["edges"])
-    assert kinds == sorted([("mentions_entity", True), ("mentioned_in", False), ("references_record", True), ("referenced_by", False), ("mentions_entity", False), ("mentioned_in", False), ("derived_semantic", False), ("derived_from", False)])
+    assert kinds == sorted([("mentions_entity", True), ("mentioned_in", False), ("references_record", True), ("referenced_by", False), ("mentions_entity", False), ("mentioned_in", False), ("derived_semantic", False), ("derived_from", False), ("subject_entity", False), ("fact_subject_of", False)])
+    assert {e["weight"] for e in out["edges"]} == {1.0} and out["facts"][0]["subject"] == out["entities"][0]["entity_id"] and out["entities"][0]["aliases"] == ["Orchid"]
+    assert len(out["audit"]) == 3 and all(json.loads(r["payload_json"])["timeline"] for r in out["records"]) and {r["status"] for r in out["interpretations"]} == {"resolved"}
     none = {k: df.collect() for k, df in capture.capture_batch(req.limit(0), records(spark, record("old")), ents, terms, line, AS_OF).items()}
     assert all(v == [] for v in none.values())
 
@@ -390,6 +487,44 @@ def test_run_all(spark):
     assert out["skills"].first()["skill_name"] == "skill:a+b+c"
 
 
+def test_consolidation_writes(spark):
+    episode = lambda i, **kw: record(i, type="episodic", created_at=ago(hours=1), payload_json='{"kind":"episodic","outcome":"success"}', tags=["x"], **kw)
+    snap = snapshot(spark, episode("e0", scope="s"), episode("e1", scope="s", sensitivity="medium"), record("old", salience=0.5, payload_json='{"kind":"semantic","subject":"known","predicate":"observed_in","object":"o"}'))
+    line = spark.createDataFrame([("e0", 1, "build", "Orchid"), ("e1", 1, "known", "ok"), ("e1", 2, "known", "ok")], "record_id string, place int, event_kind string, summary string")
+    nodes = spark.createDataFrame([(e, i, f"n{i}", t, [f"n{i - 1}"] if i else []) for e in ("e0", "e1") for i, t in enumerate(("bash", "apt", "git"))], "record_id string, place int, node string, tool string, deps array<string>")
+    terms = spark.createDataFrame([("orchid", "entity-1", ""), ("bash", "entity-2", "s")], "term string, entity_id string, scope string")
+    answers = spark.createDataFrame([("e0", '[{"subject":"a","predicate":"b","object":"c"},{"subject":"known","predicate":"observed_in","object":"o"}]'), ("e1", '[{"subject":"a","predicate":"b","object":"c"}]')], "record_id string, answer string")
+    after, counters = consolidate.consolidate(snap, line, nodes, terms, AS_OF, answers)
+    n = {r["counter"]: r["n"] for r in counters.collect()}
+    assert n == {"episodes_compressed": 0, "facts_created": 1, "facts_reinforced": 1, "skills_created": 1, "skills_reinforced": 0, "plans_created": 2, "triples_created": 1, "triples_reinforced": 1}
+    rows = {r["id"]: r for r in after.records.collect()}
+    body = {i: json.loads(r["payload_json"]) for i, r in rows.items()}
+    fact = next(r for i, r in rows.items() if body[i].get("subject") == "build")
+    assert (body[fact["id"]]["object"], fact["tags"], fact["scope"], fact["provenance"][0]["ref"]) == ("entity-1", ["consolidated", "x"], "s", "e0") and rows["old"]["salience"] == pytest.approx(0.8)
+    skill = next(r for r in rows.values() if r["type"] == "competence")
+    assert (body[skill["id"]]["skill_name"], [x["step"] for x in body[skill["id"]]["recipe"]][0], skill["sensitivity"], skill["tags"]) == ("skill:apt+bash+git", "Step 1: invoke bash", "medium", ["consolidated", "auto-competence"])
+    plans = [r for r in rows.values() if r["type"] == "plan_graph"]
+    assert len(plans) == 2 and all(len(body[p["id"]]["edges"]) == 2 and len(body[p["id"]]["nodes"]) == 3 for p in plans) and len(rows) == 8
+    edges = {(r["source_id"], r["predicate"], r["target_id"]) for r in after.relations.collect()}
+    assert {(skill["id"], "derived_from", "e0"), (skill["id"], "derived_from", "e1"), (skill["id"], "uses", "entity-2"), ("entity-2", "used_by", skill["id"]), (fact["id"], "object_entity", "entity-1"), ("entity-1", "fact_object_of", fact["id"])} <= edges
+    again, counters = consolidate.consolidate(after, line, nodes, terms, AS_OF, answers)
+    n = {r["counter"]: r["n"] for r in counters.collect()}
+    assert again.records.count() == 8 and (n["facts_created"], n["skills_created"], n["plans_created"], n["triples_created"]) == (0, 0, 0, 0) and n["skills_reinforced"] == 1
+
+
+def test_embedding_seam(spark):
+    from engram.operators import embed
+
+    model = lambda ts: [[float(len(t)), 1.0] for t in ts]
+    texts_ = spark.createDataFrame([("a", "xyz"), ("b", " "), ("c", None), ("d", "xyz"), ("e", "q")], "id string, text string")
+    old = spark.createDataFrame([("e", [1.0, 1.0], "m", NOW)], store.EMBEDDINGS)
+    out, added = embed.backfill(old, texts_, model, "m", 2, AS_OF)
+    assert {r["record_id"]: list(r["embedding"]) for r in out.collect()} == {"a": [3.0, 1.0], "d": [3.0, 1.0], "e": [1.0, 1.0]} and added.count() == 2
+    assert {(r["id"], round(r["similarity"], 3), r["known"]) for r in embed.similarity(out, texts_, [3.0, 1.0]).where("id in ('a', 'b')").collect()} == {("a", 1.0, True), ("b", 0.5, False)}
+    with pytest.raises(store.Invalid):
+        embed.backfill(old, texts_, model, "other", 2, AS_OF)
+
+
 # --- sources and streams
 
 
@@ -442,16 +577,16 @@ def test_consolidation_takes_every_episode(spark, sf):
     filled = lambda c: c.fillna("").str.strip() != ""
     line = pd.read_parquet(f"{sf}/timeline_events.parquet")
     line = line.assign(id=line["record_id"].str.strip().str.lower()).sort_values("ingested_at").drop_duplicates(["id", "pos"], keep="last")
-    told = int((filled(line["event_kind"]) & filled(line["summary"])).sum())
-    new = QUERIES["ref_semantic_new_all"](spark, sf).agg(F.sum(F.col("reinforcements") + 1)).first()[0]
-    assert new + QUERIES["ref_semantic_reinforced_all"](spark, sf).agg(F.sum("matches")).first()[0] == told
+    told = int((line["summary"].fillna("") != "").sum())
+    new = QUERIES["ref_semantic_new"](spark, sf).agg(F.sum(F.col("reinforcements") + 1)).first()[0]
+    assert new + QUERIES["ref_semantic_reinforced"](spark, sf).agg(F.sum("matches")).first()[0] == told
     node = pd.read_parquet(f"{sf}/tool_nodes.parquet")
     node = node.assign(id=node["record_id"].str.strip().str.lower()).sort_values("called_at").drop_duplicates(["id", "node_id"], keep="last")
     big = node.groupby("id").filter(lambda g: len(g) >= 3)
-    assert QUERIES["ref_plans_all"](spark, sf).count() == big["id"].nunique()
-    assert QUERIES["ref_plan_edges_all"](spark, sf).count() == sum(0 if x is None else len(x) for x in big["depends_on"])
+    assert QUERIES["ref_plans"](spark, sf).count() == big["id"].nunique()
+    assert QUERIES["ref_plan_edges"](spark, sf).count() == sum(0 if x is None else len(x) for x in big["depends_on"])
     bags = node[filled(node["tool"])].groupby("id")["tool"].agg(lambda t: "+".join(sorted(x.strip() for x in t))).value_counts()
-    assert {r["skill_name"]: r["success_count"] for r in QUERIES["ref_skills_all"](spark, sf).collect()} == {f"skill:{k}": n for k, n in bags.items() if n >= 2}
+    assert {r["skill_name"]: r["success_count"] for r in QUERIES["ref_skills"](spark, sf).collect()} == {f"skill:{k}": n for k, n in bags.items() if n >= 2}
 
 
 def test_vector_rank_of_a_query_set(spark):
@@ -499,6 +634,6 @@ def test_linked_boost_counts_aliases_and_longer_names(spark, tmp_path):
     rows = [(*e, "", None, [], [], NOW) for e in ents]
     schema = f"entity_id string, canonical_name string, aliases {alias}, scope string, primary_type string, types array<string>, identifiers array<struct<namespace:string,value:string>>, created_at timestamp"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/entities.parquet")
-    ms = [(i, f"r{i}", 0, "s", None, f"e{i}", 0.5) for i in range(1, 5)]
-    spark.createDataFrame(ms, "mention_id long, record_id string, pos int, surface string, entity_kind string, canonical_entity_id string, confidence double").write.parquet(f"{tmp_path}/mentions.parquet")
+    ms = [(i, f"r{i}", 0, "s", None, f"e{i}", 0.5, None) for i in range(1, 5)]
+    spark.createDataFrame(ms, "mention_id long, record_id string, pos int, surface string, entity_kind string, canonical_entity_id string, confidence double, aliases array<string>").write.parquet(f"{tmp_path}/mentions.parquet")
     assert {r["id"]: r["linked"] for r in QUERIES["ref_linked_boost"](spark, str(tmp_path)).collect()} == {"r1": 80, "r2": 80, "r3": 65}
