@@ -305,6 +305,71 @@ def test_repair_finds_every_word_within_the_edits(spark):
     assert {(r["token"], r["word"]) for r in mapping.repair(t, w).collect()} == want
 
 
+def brute_mapping(mentions, entries, kinds):
+    """Every token against every word of the reference, every spelling against every name."""
+
+    def dist(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    names = [(e, t, n, w) for e, t, n in entries if n is not None for w in mapping.token_sets(n)]
+    cut = {n: mapping.token_sets(n) for _, _, n, _ in names}
+    words = collections.defaultdict(set)
+    for e, _, n, w in names:
+        for x in w:
+            words[x].add(e)
+    solid = {x: all(len(w) == 1 and len(cut[n]) > 1 for _, _, n, w in names if x in w) for x in words}
+    idf = {x: np.log(1 + len({e for e, *_ in names}) / len(es)) for x, es in words.items()}
+    sims = {}
+
+    def sim(t, w):
+        if (t, w) not in sims:
+            n, m = len(t), len(w)
+            d = dist(t, w) if abs(n - m) <= 3 else 9
+            near = 1 - 0.6 * (d - (0.5 if d == 2 and n == m and sorted(t) == sorted(w) else 0)) / max(n, m) if d <= mapping.allowed(m) else 0
+            short = 0.8 + 0.15 * n / m if not solid[w] and mapping.PREFIX <= n < m and w.startswith(t) else 0
+            sims[t, w] = max(near, short)
+        return sims[t, w]
+
+    def rank(spelling):
+        best = {}
+        for tokens_ in mapping.token_sets(spelling):
+            for e, t, n, form in names:
+                hits = collections.defaultdict(float)
+                for w in form:
+                    s, at = max((int(sim(x, w) * mapping.SCALE), -i) for i, x in enumerate(tokens_))
+                    hits[at] = max(hits[at], s / mapping.SCALE * idf[w])
+                hit, total = sum(hits.values()), sum(idf[w] for w in form)
+                if hit >= mapping.COVERED * total:
+                    best[t] = max(best.get(t, (-1,)), (round(hit * hit / total, 6), n == spelling, e))
+        return best
+
+    out = {}
+    for i, surface, kind, aliases in mentions:
+        choice = []
+        for at, s in enumerate([surface, *(aliases or [])]):
+            if s and s.strip():
+                for t, (score, exact, e) in rank(s).items():
+                    k = (kind or "").strip().lower()
+                    fits = 0.5 if not k else float(kinds.get(k, "").lower() == t.lower() or (k not in kinds and t.lower() not in {x.lower() for x in kinds.values()}))
+                    choice.append((-min(at, 1), score * (0.9 + 0.1 * fits), fits, exact, e))
+        out[i] = max(choice)[-1] if choice else ""
+    return out
+
+
+def test_p1_against_brute_force(spark, sf):
+    entries = [(r["entity_id"], r["primary_type"], r["name"]) for r in entry._entries(spark, sf).collect()]
+    known = {e.strip().lower() for e, _, _ in entries}
+    asked = [tuple(r[c] for c in ("mention_id", "surface", "entity_kind", "aliases")) for r in entry._mentions(spark, sf).collect() if (r["canonical_entity_id"] or "").strip().lower() not in known]
+    want = brute_mapping(asked, entries, entry.KINDS)
+    got = {r["mention_id"]: r["entity_id"] for r in entry.p1_found(spark, sf).collect()}
+    assert {i: got[i] for i in want} == want and set(want.values()) != {""}
+
+
 def test_known_mentions_agree(spark, sf):
     out = {r["state"]: r["mentions"] for r in entry.p1_agreement(spark, sf).collect()}
     assert out["right"] >= 0.97 * sum(out.values())
