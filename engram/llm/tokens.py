@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.plans.staging import stage
 from engram.sources.tables import one_row_each
 
 #: Where the vocabularies lie; a parameter of each function here.
@@ -28,6 +29,8 @@ VOCABULARIES = os.environ.get("ENGRAM_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longer texts are cut into chunks of this many code points.
 CHUNK = 4_096
+#: Parts that one node of the tree joins.
+FAN = 64
 #: A piece that ends this close to a cut could have read on.
 REACH = 3
 
@@ -175,6 +178,7 @@ def encode_corpus(
     name: str = "byte_bpe_50k",
     folder: str = VOCABULARIES,
     chunk: int = CHUNK,
+    fan: int = FAN,
     counts_only: bool = False,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -202,15 +206,21 @@ def encode_corpus(
         for pdf in batches:
             yield pdf.assign(ids=[enc.encode_ordinary(t) for t in pdf["text"]])
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    node = f"{head}, no long, text string, ids array<int>"
+
+    def join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoding(folder, name)
         pdf = pdf.sort_values("no")
-        ids = concat(enc, [Coded(t, list(map(int, i))) for t, i in zip(pdf["text"], pdf["ids"])]).ids
-        return pdf[["id", *kept]].iloc[:1].assign(**{made: [len(ids) if counts_only else ids]})
+        whole_ = concat(enc, [Coded(t, list(map(int, i))) for t, i in zip(pdf["text"], pdf["ids"])])
+        return pdf.iloc[:1].assign(no=pdf["no"].iloc[0] // fan, text=whole_.text, ids=[whole_.ids])
 
     short = rows.where(~long_).mapInPandas(whole, f"{head}, {out}")
     cuts = rows.where(long_).select("id", *kept, "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk))).alias("no"))
     spread = cuts.select("id", *kept, "no", F.substr("text", (F.col("no") * chunk + 1).cast("int"), F.lit(chunk)).alias("text")).repartition("id", "no")
-    coded = spread.mapInPandas(parts, f"{head}, no long, text string, ids array<int>")
-    joined = coded.groupBy("id").applyInPandas(tree, f"{head}, {out}")
+    coded = stage(spread.mapInPandas(parts, node))
+    top = coded.agg(F.max("no")).first()[0] or 0
+    while top > 0:  # level by level, so no task holds more than one node's parts
+        coded = coded.groupBy("id", F.floor(F.col("no") / fan).alias("__up")).applyInPandas(join_parts, node)
+        top //= fan
+    joined = coded.select("id", *kept, (F.size("ids").cast("long") if counts_only else F.col("ids")).alias(made))
     return short.unionByName(joined).select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(keep, kept)], made)

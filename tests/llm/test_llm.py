@@ -208,7 +208,7 @@ def test_corpus_encoding(spark, enc):
     texts = ["", None, " ", "hello world", "x" * 700, "the cat. " * 90, "日本語" * 120, "=-" * 300 + " it's", "zq'll" * 99]
     rows = [(i, t, "s", 0) for i, t in enumerate(texts)] + [(3, "hello world", "s", 0), (None, "y", "s", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, no int")
-    got = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df, "doc_id", "text", chunk=50).collect()}
+    got = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df, "doc_id", "text", chunk=50, fan=3).collect()}
     assert got == {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
     n = {r["doc_id"]: (r["source"], r["n_tokens"]) for r in tokens.encode_corpus(df, "doc_id", "text", chunk=50, counts_only=True, keep=("source",)).collect()}
     assert n == {i: ("s", len(x)) for i, x in got.items()}
