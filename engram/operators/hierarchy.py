@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from engram.plans.staging import stage
 
 #: Once the remaining links take less than this, one task peels the rest in memory (some ten times as much in Python).
-LOCAL_BYTES = 4 << 20
+LOCAL_BYTES = 8 << 20
 #: What a link takes beside its ids, for ``LOCAL_BYTES``.
 LINK_BYTES = 64
 #: Path elements that the local peel holds at once.
