@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions import values
 from engram.functions.exprs import cosine01
-from engram.operators import store
+from engram.operators import store, texts
 from engram.operators.retrieve import as_vector
 
 Model = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -28,6 +29,20 @@ def embedding(text: Column, model: Model) -> Column:
     return embed(text)
 
 
+def record_texts(records: DataFrame) -> DataFrame:
+    """(id, text): what each record of a store is embedded by; entities and unreadable payloads have no text."""
+    p = {k: values.payload_of(F.col("payload_json"), k) for k in values.VARIANTS}
+    w, c, g = p["working"], p["competence"], p["plan_graph"]
+    text = (
+        F.when(F.col("type") == "episodic", texts.episodic_text(p["episodic"]["timeline"]))
+        .when(F.col("type") == "working", texts.working_text(w["context_summary"], w["state"], w["next_actions"]))
+        .when(F.col("type") == "semantic", texts.semantic_text(*[p["semantic"][k] for k in ("subject", "predicate", "object")]))
+        .when(F.col("type") == "competence", texts.competence_text(c["skill_name"], F.transform(c["triggers"], lambda t: t["signal"])))
+        .when(F.col("type") == "plan_graph", texts.plan_text(g["intent"], F.transform(g["nodes"], lambda n: n["op"])))
+    )
+    return records.select("id", F.coalesce(text, F.lit("")).alias("text"))
+
+
 def backfill(embeddings: DataFrame, texts: DataFrame, model: Model, name: str, dimensions: int, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(embeddings, added): vectors for the records (id, text) that have none yet and whose text is not blank."""
     todo = texts.where(F.coalesce(F.trim("text"), F.lit("")) != "").join(embeddings.select(F.col("record_id").alias("id")), "id", "left_anti")

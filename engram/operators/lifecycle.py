@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,11 @@ GONE = 0.001
 ACTOR = "decay-service"
 
 
-def decayed_salience(as_of: Column) -> Column:
+#: Curves by name: salience, elapsed seconds, half-life, floor -> salience. Others may be added.
+CURVES: dict[str, Callable[[Column, Column, Column, Column], Column]] = {"exponential": decayed}
+
+
+def decayed_salience(as_of: Column, curve: str = "exponential") -> Column:
     """A record's salience at ``as_of``: 0 beyond its maximal age, else decayed since its last reinforcement.
 
     The floor does not lift what the maximal age or an earlier step brought to 0. The clock is not reset, so repeated
@@ -24,7 +29,7 @@ def decayed_salience(as_of: Column) -> Column:
     old = (F.col("max_age_seconds") > 0) & (seconds_between(F.col("created_at"), as_of) >= F.col("max_age_seconds"))
     elapsed = F.coalesce(seconds_between(F.col("last_reinforced_at"), as_of), F.lit(0.0))
     s = F.when(old, 0.0).otherwise(F.col("salience"))
-    s = F.when(s > 0, decayed(s, elapsed, F.col("half_life_seconds"), F.col("min_salience"))).otherwise(s)
+    s = F.when(s > 0, CURVES[curve](s, elapsed, F.col("half_life_seconds"), F.col("min_salience"))).otherwise(s)
     return F.when(F.isnan(s) | (s == math.inf), F.col("min_salience")).when(s < 0, 0.0).otherwise(s)
 
 
@@ -72,6 +77,18 @@ def penalize(records: DataFrame, amounts: DataFrame, as_of: Column) -> DataFrame
     ).select(*records.columns)
 
 
+def reinforced(snap: store.Snapshot, ids: DataFrame, actor: str, rationale: str, as_of: Column) -> store.Snapshot:
+    """``reinforce`` with an audit entry for each record."""
+    known = ids.select("id").distinct().join(snap.records.select("id"), "id", "left_semi")
+    return snap.having(records=reinforce(snap.records, ids, as_of), audit=store.log_entries(snap.audit, known, "reinforce", actor, as_of, rationale))
+
+
+def penalized(snap: store.Snapshot, amounts: DataFrame, actor: str, rationale: str, as_of: Column) -> store.Snapshot:
+    """``penalize`` with an audit entry for each record."""
+    known = amounts.select("id").distinct().join(snap.records.select("id"), "id", "left_semi")
+    return snap.having(records=penalize(snap.records, amounts, as_of), audit=store.log_entries(snap.audit, known, "decay", actor, as_of, f"penalty: {rationale}"))
+
+
 def prunable() -> Column:
     """Not pinned, pruned automatically, at its floor and practically gone."""
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import exprs as ex
 from engram.functions.text import norm
-from engram.operators import capture, consolidate, evalkit, flatten, graph, ingest, lifecycle, metrics, retrieve, revise, store, texts, trust
+from engram.operators import capture, consolidate, evalkit, flatten, graph, ingest, lifecycle, metrics, retrieve, revise, store, texts, trust, vectors
 from engram.plans import views as v
 from engram.plans.general import INTERPRETATION_ARRAYS
 from engram.plans.general import _JSON as JSON_OF
@@ -124,7 +124,7 @@ def retrieve_text(spark, d):
 
 
 # Each vector whose number 50 divides, against all vectors.
-EVERY = 50
+EVERY, DIMENSIONS = 50, 64
 NEAR_ALL = f"""SELECT q_id, vec_id, (list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) + 1) / 2 AS sim FROM
     (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT vec_id AS q_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % {EVERY} = 0)"""
 
@@ -152,6 +152,14 @@ def hybrid_all(spark, d):
     return retrieve.hybrid_order(retrieve.vector_rank(cand, emb, asked)).select("query_id", "id", r6("hybrid_score", "hybrid"), "band")
 
 
+@query("ref_index_recall", sql("", f"SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % {EVERY} = 0"))
+def index_recall(spark, d):
+    """The inverted-file index measured against all vectors: whether the mean recall of the 10 nearest reaches 0.9."""
+    emb, asked = _searches(spark, d)
+    got = vectors.recall(vectors.build(emb, DIMENSIONS, lists=64), asked, 10, probes=24)
+    return got.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
 NEAR_ONE = NEAR_ALL.replace(f"WHERE vec_id % {EVERY} = 0", "WHERE vec_id = 0")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,24 @@ def from_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high
     return reader.options(**options).load()
 
 
+def ranges(key: str, cuts: Sequence[str]) -> list[str]:
+    """Conditions that cut the values of a text key into disjoint ranges, nulls in the first."""
+    q = ["'" + c.replace("'", "''") + "'" for c in sorted(set(cuts))]
+    if not q:
+        return ["1 = 1"]
+    return [f"({key} < {q[0]} OR {key} IS NULL)", *[f"({key} >= {a} AND {key} < {b})" for a, b in zip(q, q[1:])], f"({key} >= {q[-1]})"]
+
+
+def from_jdbc_text(spark: SparkSession, url: str, name: str, key: str, cuts: Sequence[str], **options: str) -> DataFrame:
+    """A table of a relational store with a text key, read in the ranges between ``cuts`` (as 0..f for hexadecimal ids)."""
+    return spark.read.jdbc(url, name, predicates=ranges(key, cuts), properties=options)
+
+
+def to_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", parts: int = 8, **options: str) -> None:
+    """Rows into a table of a relational store, over ``parts`` connections."""
+    df.coalesce(parts).write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
 def to_json(records: DataFrame) -> DataFrame:
     """(id, json): records with the payload as a nested object instead of a text."""
     cols = [c for c in records.columns if c != "payload_json"]

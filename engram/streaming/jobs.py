@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from engram.operators import consolidate, lifecycle, store
+from engram.operators import consolidate, embed, lifecycle, store
+from engram.plans.staging import stage
 
 #: A client's bucket is forgotten after this idle time.
 IDLE_SECONDS = 300
@@ -47,6 +48,19 @@ def consolidation_job(spark: SparkSession, path: str, inputs: Callable[[store.Sn
     return run
 
 
+def backfill_job(spark: SparkSession, path: str, model: embed.Model, name: str, dimensions: int) -> Callable[[int], None]:
+    """Embed the records that have no vector yet, and publish the next version if there are any."""
+
+    def run(_: int) -> None:
+        snap = store.current(spark, path)
+        embeddings, added = embed.backfill(snap.embeddings, embed.record_texts(snap.records), model, name, dimensions, F.current_timestamp())
+        if not (added := stage(added)).isEmpty():
+            version = 1 + max(int(x) for x in _versions(spark, path))
+            store.publish(snap.having(embeddings=embeddings), path, version)
+
+    return run
+
+
 def _versions(spark: SparkSession, path: str) -> list[str]:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -65,18 +79,28 @@ def _spend(tokens: float, last: float | None, at: float, rate: float, burst: flo
 
 
 def admit(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """A batch of requests (client, request_id, t) with ``admitted`` by a token bucket for each client."""
-
-    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "request_id"])
-        tokens, last, out = burst, None, []
-        for at in pdf["t"].astype("int64") / (1e9 if str(pdf["t"].dtype).startswith("datetime64[ns") else 1e6):
-            ok, tokens = _spend(tokens, last, at, rate, burst)
-            last = at
-            out.append(ok)
-        return pdf.assign(admitted=out)
-
-    return requests.select("client", "request_id", "t").groupBy("client").applyInPandas(bucket, "client string, request_id long, t timestamp, admitted boolean")
+    """A batch of requests (client, request_id, t) with ``admitted`` by a token bucket for each client.
+
+    Each client's requests are read in order, batch by batch, with the bucket carried on: a client with any number of
+    requests takes no more memory. Rows without a client or a time are refused."""
+
+    def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, tokens, last = None, burst, None
+        for pdf in batches:
+            out = []
+            for c, at in zip(pdf["client"], pdf["at"]):
+                if c != client:
+                    client, tokens, last = c, burst, None
+                if pd.isna(c) or pd.isna(at):
+                    out.append(False)
+                    continue
+                ok, tokens = _spend(tokens, last, at, rate, burst)
+                last = at
+                out.append(ok)
+            yield pdf.drop(columns="at").assign(admitted=out)
+
+    ordered = requests.select("client", "request_id", "t", (F.unix_micros("t") / 1e6).alias("at")).repartition("client").sortWithinPartitions("client", "t", "request_id")
+    return ordered.mapInPandas(bucket, "client string, request_id long, t timestamp, admitted boolean")
 
 
 def admit_stream(requests: DataFrame, rate: float, burst: float) -> DataFrame:

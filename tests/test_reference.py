@@ -84,9 +84,54 @@ def test_vector_rules(spark):
     assert value(spark, io.parse_vector(io.vector_text(F.array(F.lit(1.5), F.lit(-2.0))))) == [1.5, -2.0]
 
 
+def test_untyped_values(spark):
+    from engram.functions import values as va
+
+    j = lambda fn, x: value(spark, fn(F.lit(x).cast("string")))
+    assert j(va.as_object, '{"a":1,"b":{"c":"x"},"d":null}') == {"a": "1", "b": '{"c":"x"}', "d": None} and j(va.as_object, "[1]") == j(va.as_object, None) == {}
+    assert j(va.string_list, '[" a","A",1,null,""]') == ["a", "1"] and j(va.string_list, '"a"') == [] and j(va.string_list, None) == []
+    assert [j(va.bool_value, x) for x in ("true", '"true"', "1", None)] == [True, False, False, False]
+    got = j(va.constraint_list, '[{"type":" t ","key":"k","value":{"x":1},"required":true},"x",{"required":"true"}]')
+    assert [tuple(c) for c in got] == [("t", "k", '{"x":1}', True), ("", "", None, False)] and j(va.constraint_list, "{}") is None
+    assert [j(va.plain_text, x) for x in ('"a\\"b"', '{"x":1}', "null", None, "5")] == ['a"b', '{"x":1}', "", "", "5"]
+    assert j(va.answer_text, '[{"type":"text","text":"a"},{"type":"x"},{"text":"b"}]') == "ab" and j(va.answer_text, '"c"') == "c"
+    assert value(spark, va.format_time(va.parse_time(F.lit("2026-02-05T13:00:00.5+01:00")))) == "2026-02-05T12:00:00.500000Z" and [j(va.parse_time, x) for x in ("", "yesterday", None, "2026-13-01T00:00:00Z")] == [None] * 4 and value(spark, va.format_time(F.lit(None).cast("timestamp"))) == ""
+    ms = F.from_json(F.lit('[{"surface":" A"},{"surface":"a"},{"surface":""},{"surface":"b"},{}]'), "array<struct<surface:string>>")
+    assert [m["surface"] for m in value(spark, va.unique_mentions(ms))] == [" A", "b"] and value(spark, va.entity_types(F.lit("Tool"), F.array(F.lit("tool"), F.lit(" x "), F.lit("")))) == ["Tool", "x"]
+    none = F.array().cast("array<string>")
+    d = value(spark, va.derived_interpretation(F.lit(None).cast("string"), none, F.lit(0.0), F.array(F.lit("e1"), F.lit(None))))
+    assert (d["status"], d["extraction_confidence"], [m["canonical_entity_id"] for m in d["mentions"]]) == ("resolved", 0.7, ["e1"]) and value(spark, va.derived_interpretation(F.lit(""), none, F.lit(0.5), none)) is None
+    df = spark.createDataFrame([(1, 0.0, "exponential"), (0, 0.0, "exponential"), (1, -1.0, "exponential"), (1, 0.0, "odd"), (None, None, None)], "half_life_seconds long, min_salience double, curve string")
+    assert [r[0] and r[0].split()[0] for r in df.select(va.storage_violation({c: F.col(c) for c in df.columns})).collect()] == [None, "half-life", "minimal", "curve", "curve"]
+    assert [value(spark, va.edge_violation(F.lit(x).cast("double"))) is None for x in (0, 1, None, 1.1, -0.1)] == [True, True, True, False, False]
+
+
+def test_payload_variants(spark):
+    from engram.functions import values as va
+
+    texts_ = ['{"kind":"entity","canonical_name":"Orchid","aliases":["a",{"value":"b","kind":"x"},{"value":" "}]}', '{"kind":"semantic","object":{"x":1},"revision":{"status":"active"}}', '{"kind":"zzz"}', "{", None]
+    rows = spark.createDataFrame([(t,) for t in texts_], "p string").select(*va.payloads(F.col("p"))).collect()
+    assert rows[0]["p_entity"]["aliases"] == ["a", "b"] and rows[0]["p_semantic"] is None and rows[1]["p_semantic"]["object"] == '{"x":1}' and rows[1]["p_semantic"]["revision"]["status"] == "active"
+    assert all(all(x is None for x in r) for r in rows[2:]) and set(va.VARIANTS) == set(ex.TYPES)
+
+
 # --- lifecycle
 
 
+def test_lifecycle_scenarios(spark):
+    """Retraction, reinforcement, supersession and decay as a caller sees them."""
+    e = store.empty(spark)
+    snap = e.having(records=records(spark, record("fact"), record("other", salience=0.5), record("skill", type="competence", salience=0.4), extra=True))
+    seen = lambda s: [r["id"] for r in retrieve.retrieve(s.records, trust.Trust("low"), AS_OF, min_salience=0.01, types=("semantic",)).collect()]
+    assert seen(snap) == ["fact", "other"] and seen(revise.retract(snap, "fact", "me", "wrong", AS_OF)) == ["other"]
+    new = revise.supersede(snap, "fact", records(spark, record("fact2", salience=0.9), extra=True), "me", "newer", AS_OF)
+    assert seen(new) == ["fact2", "other"]
+    up = snap.having(records=lifecycle.reinforce(snap.records, spark.createDataFrame([("other",)], "id string"), AS_OF))
+    assert up.records.where("id = 'other'").first()["salience"] == pytest.approx(0.8)
+    later = F.lit("2026-02-05 13:00:00").cast("timestamp")
+    assert {r["id"]: round(r["salience"], 3) for r in lifecycle.decay_and_prune(up, later).records.collect()} == {"fact": 0.2, "other": 0.4, "skill": 0.1}
+
+
 def test_reinforce_penalize_prune(spark):
     df = records(spark, record("a", salience=0.95), record("b", salience=0.8), record("c", salience=1.5))
     ids = spark.createDataFrame([("a",), ("a",), ("c",), ("none",)], "id string")
@@ -100,6 +145,8 @@ def test_reinforce_penalize_prune(spark):
     snap = snapshot(spark, record("gone", **zero), record("pin", **zero, pinned=True), record("man", **zero, deletion_policy="manual_only"), record("floor", salience=0.1))
     left, tomb = lifecycle.prune(snap, AS_OF)
     assert {r["id"] for r in left.records.collect()} == {"pin", "man", "floor"} and [r["record_id"] for r in tomb.collect()] == ["gone"]
+    noted = lifecycle.penalized(lifecycle.reinforced(snap, spark.createDataFrame([("pin",), ("zz",)], "id string"), "me", "used", AS_OF), spark.createDataFrame([("floor", 0.01)], "id string, amount double"), "me", "wrong", AS_OF)
+    assert {(r["record_id"], r["action"], r["rationale"]) for r in noted.audit.collect()} == {("pin", "reinforce", "used"), ("floor", "decay", "penalty: wrong")}
     after = lifecycle.decay_and_prune(snap, AS_OF)
     assert "decay applied: 0.1000 -> 0.1000 (elapsed 3600s)" in {r["rationale"] for r in after.audit.collect()}
     assert lifecycle.sweep(snap.records.limit(0), AS_OF).collect() == []
@@ -512,7 +559,7 @@ def test_consolidation_writes(spark):
     assert again.records.count() == 8 and (n["facts_created"], n["skills_created"], n["plans_created"], n["triples_created"]) == (0, 0, 0, 0) and n["skills_reinforced"] == 1
 
 
-def test_embedding_seam(spark):
+def test_embedding_seam(spark, tmp_path):
     from engram.operators import embed
 
     model = lambda ts: [[float(len(t)), 1.0] for t in ts]
@@ -523,6 +570,15 @@ def test_embedding_seam(spark):
     assert {(r["id"], round(r["similarity"], 3), r["known"]) for r in embed.similarity(out, texts_, [3.0, 1.0]).where("id in ('a', 'b')").collect()} == {("a", 1.0, True), ("b", 0.5, False)}
     with pytest.raises(store.Invalid):
         embed.backfill(old, texts_, model, "other", 2, AS_OF)
+    snap = snapshot(spark, record("p", type="plan_graph", payload_json='{"kind":"plan_graph","intent":"ship it"}'), record("s", payload_json='{"kind":"semantic","subject":"a","predicate":"is","object":"b"}'), record("n", type="entity", payload_json='{"kind":"entity","canonical_name":"x"}'))
+    got = {r["id"]: r["text"] for r in embed.record_texts(snap.records).collect()}
+    assert got == {"p": "ship it", "s": "a is b", "n": ""}
+    path = f"file://{tmp_path}/store"
+    store.publish(snap, path, 1)
+    jobs.backfill_job(spark, path, model, "m", 2)(0)
+    assert {r["record_id"] for r in store.current(spark, path).embeddings.collect()} == {"p", "s"}
+    jobs.consolidation_job(spark, path, lambda s: (spark.createDataFrame([], "record_id string, place int, event_kind string, summary string"), spark.createDataFrame([], "record_id string, place int, node string, tool string, deps array<string>"), spark.createDataFrame([], "term string, entity_id string, scope string")))(0)
+    assert store.current(spark, path).records.count() == 3
 
 
 # --- sources and streams
@@ -539,6 +595,7 @@ def test_sources(spark, tmp_path):
     df = records(spark, record("a"), record("b", payload_json='{"kind":"zzz"}'), record("c", payload_json=None))
     back = {r["id"]: r["payload_json"] for r in io.from_json(io.to_json(df), "id string, salience double").collect()}
     assert json.loads(back["a"])["kind"] == "semantic" and back["b"] is None and back["c"] is None
+    assert io.ranges("id", ["8", "4", "8"]) == ["(id < '4' OR id IS NULL)", "(id >= '4' AND id < '8')", "(id >= '8')"] and io.ranges("id", []) == ["1 = 1"]
     assert io.Settings.load({"graph_hops": 2}).hops(0) == 2 and io.Settings().hops(-1) == 0
     for call in (lambda: io.Settings.load({"x": 1}), lambda: io.check_retrieve("zz"), lambda: io.check_retrieve("low", 10_001), lambda: io.check_penalty(math.nan), lambda: io.check_capture({"tags": ["x"] * 101}), lambda: io.check_capture({"summary": "x" * 100_001})):
         with pytest.raises(store.Invalid):
@@ -602,6 +659,29 @@ def test_vector_rank_of_a_query_set(spark):
         assert one == {i: x[:2] for (k, i), x in got.items() if k == q}
 
 
+def test_vector_index(spark):
+    import numpy as np
+
+    from engram.operators import vectors
+
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(600, 8)) + 3 * rnd.normal(size=(12, 8))[rnd.integers(0, 12, 600)]
+    rows = [(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("zero", [0.0] * 8), ("long", [1.0] * 9), ("null", None)]
+    emb = spark.createDataFrame(rows, "record_id string, embedding array<double>")
+    asked = spark.createDataFrame([(r, v) for r, v in rows[::40]] + [("bad", [1.0])], "query_id string, embedding array<double>")
+    index = vectors.build(emb, 8, lists=16, sample=300)
+    assert index.rows.count() == 601 and index.centroids.shape == (16, 8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    true = {f"v{i:03d}": [f"v{j:03d}" for j in np.argsort(-(unit(x) @ unit(x[i])), kind="stable")[:5]] for i in range(0, 600, 40)}
+    got = {}
+    for r in vectors.search(index, asked, 5, 16).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["record_id"])
+    assert got.pop("bad", None) is None and {q: got[q] for q in true} == true
+    assert vectors.recall(index, asked, 5, 6).agg(F.avg("recall")).first()[0] >= 0.9
+    empty = vectors.build(emb.limit(0), 8)
+    assert vectors.search(empty, asked, 5).count() == 0
+
+
 def test_expansion_without_limits(spark):
     nodes = [("root", 1.0), ("first", 0.9), ("second", 0.8), ("leaf", 0.7)]
     edges = [("root", "related", "first"), ("root", "related", "first"), ("root", "supports", "second"), ("first", "related", "leaf"), ("root", "x", "missing"), ("first", "back", "root")]
