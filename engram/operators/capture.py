@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from engram.functions.exprs import TASK_STATES, clamp01, entity_type, first_text, freshness, half_life, record_type, source_confidence, term_match, unique_folded
 from engram.functions.text import norm
-from engram.operators import ingest
-from engram.operators.store import both_ways
+from engram.functions.values import derived_interpretation
+from engram.operators import ingest, store
+from engram.operators.store import Snapshot, both_ways
 from engram.plans.staging import stage
 
 #: Candidates read for a request, and kept.
@@ -177,7 +178,7 @@ def facts_of(requests: DataFrame, as_of: Column) -> DataFrame:
     # the confidence of the capture's own record, which is an event's unless a tool's or a working state's
     own = source_confidence(F.when(F.col("source_kind").isin("tool_output", "working_state"), F.col("source_kind")).otherwise("event"))
     conf = F.greatest(own, F.coalesce("extraction_confidence", F.lit(0.0)))
-    rows = requests.where(needs_fact(requests)).select("request_id", "scope", "sensitivity", *[v.alias(k) for k, v in got.items()], conf.alias("confidence"), F.lit(1.0).alias("salience"), as_of.alias("created_at"))
+    rows = requests.where(needs_fact(requests)).select("request_id", "scope", "sensitivity", F.col("extraction_confidence").cast("double").alias("extraction_confidence"), *[v.alias(k) for k, v in got.items()], conf.alias("confidence"), F.lit(1.0).alias("salience"), as_of.alias("created_at"))
     return rows.where((norm("subject") != "") & (norm("predicate") != "") & F.col("object").isNotNull())
 
 
@@ -207,6 +208,11 @@ def canonical_sides(facts: DataFrame, mentions: DataFrame) -> DataFrame:
     return out
 
 
+def _as_json(c: Column) -> Column:
+    """JSON as it is, any other text as a JSON text."""
+    return F.when(F.get_json_object(c, "$").isNotNull(), c).otherwise(ingest.text_json(c))
+
+
 def capture_batch(requests: DataFrame, records: DataFrame, entities: DataFrame, terms: DataFrame, timeline: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """A batch of requests as rows to add: 'records', 'facts', 'entities', 'edges' and 'audit', and the 'interpretations'
     with their status; nothing is written here.
@@ -234,6 +240,7 @@ def capture_batch(requests: DataFrame, records: DataFrame, entities: DataFrame,
         F.coalesce(content_value(content, "thread_id", "thread"), F.lit("unknown")).alias("thread_id"), F.when(state.isin(*TASK_STATES), state).otherwise("executing").alias("state"), texts_of("next_actions").alias("next_actions"),
         texts_of("open_questions").alias("open_questions"), first_text(F.col("summary"), F.col("reason_to_remember"), content_value(content, "context_summary", "summary")).alias("context_summary"),
         F.get_json_object(content, "$.active_constraints").alias("active_constraints"),
+        ingest._json(context=ingest._json(capture_content=_as_json(content), capture_context=_as_json(F.col("context")) if "context" in ready.columns else F.lit(None).cast("string"), reason_to_remember=ingest.text_json(F.col("reason_to_remember")))).alias("environment"),
     )
     own = ingest.ingest(asked, records.limit(0), terms.limit(0), as_of)
     said = ready.select(F.col("id").alias("record_id"), "scope", F.explode("i_mentions").alias("m")).select(
@@ -258,9 +265,39 @@ def capture_batch(requests: DataFrame, records: DataFrame, entities: DataFrame,
     facts = facts_of(ready, as_of).join(ready.select("request_id", F.col("id").alias("source_id")), "request_id")
     facts = canonical_sides(facts, found.select("record_id", "surface", F.lit(None).cast("array<string>").alias("aliases"), "entity_id"))
     facts = facts.withColumn("id", F.concat(F.lit("fact-"), F.substring(F.sha2(F.concat_ws("\x1f", "source_id", "subject", "predicate", "object"), 256), 1, 16)))
+    about = ready.select(F.col("id").alias("source_id"), F.col("i_summary").alias("__s"), F.col("i_labels").alias("__l"), "tags", "source")
+    own_ids = F.array_distinct(F.filter(F.array("subject_entity", "object_entity"), lambda x: x.isNotNull()))
+    meaning = derived_interpretation(F.col("__s"), F.col("__l"), F.coalesce("extraction_confidence", F.lit(0.0)), own_ids)
+    facts = facts.join(about, "source_id").withColumns({"interpretation_json": F.to_json(meaning), "tags": unique_folded(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.col("__l")))}).drop("__s", "__l")
     links = links.unionByName(link(facts, "derived_semantic", "id", full))
     for side in ("subject", "object"):
         links = links.unionByName(link(facts.where(F.col(f"{side}_entity").isNotNull()).select(F.col("id").alias("source_id"), f"{side}_entity"), f"{side}_entity", f"{side}_entity", full))
     status = ready.select("id", F.col("i_summary").alias("summary"), F.col("i_labels").alias("topical_labels")).join(open_.select(F.col("source_id").alias("id"), F.lit(True).alias("__open")).distinct(), "id", "left")
     status = status.withColumn("status", F.when(F.col("__open"), "tentative").otherwise("resolved")).drop("__open")
     return {"records": own.records, "facts": facts, "entities": new, "edges": edge_pairs(links, as_of), "audit": own.audit, "interpretations": status}
+
+
+def write(snap: Snapshot, batch: dict[str, DataFrame], as_of: Column) -> Snapshot:
+    """The snapshot with a batch of ``capture_batch``: records, facts, new entities and edges with their audit entries, or
+    nothing of it. What is there already (of an earlier run of the same batch) is not written again."""
+    j = ingest.text_json
+    meaning = batch["interpretations"].select("id", F.to_json(F.struct("status", "summary", "topical_labels")).alias("interpretation_json"))
+    records = batch["records"].drop("interpretation_json").join(meaning, "id", "left").select(*snap.records.columns)
+    object_ = F.when(F.col("object_entity").isNotNull(), j(F.col("object"))).otherwise(_as_json(F.col("object")))
+    evidence = F.concat(F.lit('[{"source_type":"episodic","source_id":'), j(F.col("source_id")), F.lit(',"timestamp":'), ingest.when_json(as_of), F.lit("}]"))
+    body = ingest._json(kind=j(F.lit("semantic")), subject=j(F.col("subject")), predicate=j(F.col("predicate")), object=object_, validity=F.lit('{"mode":"global"}'), evidence=evidence)
+    times = {"created_at": as_of, "updated_at": as_of, "last_reinforced_at": as_of}
+    facts = batch["facts"].withColumns({"type": F.lit("semantic"), "payload_json": body, "created_by": F.col("source"), **times})
+    alias = F.to_json(F.transform("aliases", lambda a: F.struct(a.alias("value"))))
+    self_ = F.to_json(F.array(F.struct(F.lit("self").alias("namespace"), F.col("entity_id").alias("value"))))
+    name = ingest._json(kind=j(F.lit("entity")), canonical_name=j(F.col("canonical_name")), primary_type=j(F.col("primary_type")), types=F.to_json(F.array("primary_type")), aliases=alias, identifiers=self_, summary=j(F.col("canonical_name")))
+    entities = batch["entities"].withColumns({"id": F.col("entity_id"), "type": F.lit("entity"), "payload_json": name, "created_by": F.lit("capture"), **times})
+    new = records.unionByName(store.as_records(facts)).unionByName(store.as_records(entities)).dropDuplicates(["id"])
+    new = stage(new.join(snap.records.select("id"), "id", "left_anti").select(*snap.records.columns))
+    log = lambda df, why: df.select(F.col("id").alias("record_id"), F.lit("create").alias("action"), "created_by", F.lit(why).alias("rationale"))
+    made = log(facts, "Derived semantic record during capture interpretation").unionByName(log(entities, "Created canonical entity during capture resolution"))
+    made = made.select("record_id", "action", F.coalesce("created_by", F.lit("capture")).alias("actor"), as_of.alias("at"), "rationale", F.unix_micros(as_of).alias("seq"))
+    audit = batch["audit"].select(*snap.audit.columns).unionByName(made.select(*snap.audit.columns)).dropDuplicates(["record_id"])
+    audit = audit.join(new.select(F.col("id").alias("record_id")), "record_id", "left_semi").select(*snap.audit.columns)
+    edges = batch["edges"].withColumn("seq", F.unix_micros(as_of)).select(*snap.relations.columns)
+    return store.create(snap, new, edges, audit)

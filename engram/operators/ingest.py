@@ -14,11 +14,11 @@ from engram.operators import store
 from engram.operators.flatten import with_text
 from engram.operators.store import Snapshot
 
-#: The columns of a request; those of other kinds are null. ``args``, ``result``, ``object`` and ``active_constraints``: JSON.
+#: The columns of a request; those of other kinds are null. ``args``, ``result``, ``object``, ``active_constraints`` and ``environment``: JSON.
 REQUESTS = (
     "request_id string, kind string, source string, timestamp timestamp, tags array<string>, scope string, sensitivity string, event_kind string, ref string, summary string, "
     "tool_name string, args string, result string, depends_on array<string>, subject string, predicate string, object string, target_record_id string, outcome string, "
-    "thread_id string, state string, next_actions array<string>, open_questions array<string>, context_summary string, active_constraints string"
+    "thread_id string, state string, next_actions array<string>, open_questions array<string>, context_summary string, active_constraints string, environment string"
 )
 ACTOR = "ingestion-service"
 # What a source of each kind counts as, and the columns each kind must have.
@@ -84,7 +84,7 @@ def payload(node: Column, subject: Column, object_: Column) -> Column:
     )
     call = _json(id=j(node), tool=j(F.col("tool_name")), args=F.col("args"), result=F.col("result"), timestamp=at, depends_on=_list(F.col("depends_on")))
     wrap = lambda c: F.concat(F.lit("["), c, F.lit("]"))
-    episode = _json(kind=j(F.lit("episodic")), timeline=wrap(event), tool_graph=F.when(tool, wrap(call)))
+    episode = _json(kind=j(F.lit("episodic")), timeline=wrap(event), tool_graph=F.when(tool, wrap(call)), environment=F.col("environment"))
     evidence = _json(source_type=j(F.lit("observation")), source_id=j(F.col("source")), timestamp=at)
     fact = _json(kind=j(F.lit("semantic")), subject=j(subject), predicate=j(F.col("predicate")), object=object_, validity=F.lit('{"mode":"global"}'), evidence=wrap(evidence), revision_policy=j(F.lit("replace")))
     work = _json(

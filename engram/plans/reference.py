@@ -12,6 +12,7 @@ from engram.functions import exprs as ex
 from engram.functions.text import norm
 from engram.operators import capture, consolidate, evalkit, flatten, graph, ingest, lifecycle, metrics, retrieve, revise, store, texts, trust, vectors
 from engram.plans import views as v
+from engram.plans.staging import stage
 from engram.plans.general import INTERPRETATION_ARRAYS
 from engram.plans.general import _JSON as JSON_OF
 from engram.plans.general import _items as items_sql
@@ -156,7 +157,7 @@ def hybrid_all(spark, d):
 def index_recall(spark, d):
     """The inverted-file index measured against all vectors: whether the mean recall of the 10 nearest reaches 0.9."""
     emb, asked = _searches(spark, d)
-    got = vectors.recall(vectors.build(emb, DIMENSIONS, lists=64), asked, 10, probes=24)
+    got = vectors.recall(vectors.build(emb, DIMENSIONS, lists=64), asked, 10, probes=40)
     return got.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
@@ -252,7 +253,7 @@ def _graph(spark, d, hops):
     e = v.ent(spark, d)
     roots = e.where(norm("canonical_name") == "obsidian-registry").select(F.col("entity_id").alias("id"), F.lit(0).alias("root_rank"))
     all_ = v.rec(spark, d).select("id").unionByName(e.select(F.col("entity_id").alias("id")))
-    return graph.expand(roots, _links(spark, d), all_, None, graph.Limits(1, None, None, hops))
+    return graph.expand(roots, stage(_links(spark, d)), all_, None, graph.Limits(1, None, None, hops))
 
 
 @query("ref_graph_1hop", sql("rec ent mention", """SELECT source_id, predicate, target_id FROM links WHERE source_id = (SELECT entity_id FROM ent WHERE lower(trim(canonical_name)) = 'obsidian-registry')
@@ -292,7 +293,7 @@ GRAPH = dict(
 
 def _found(spark, d):
     said = v.mention(spark, d).where(F.col("id").isNotNull()).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mention_id", "surface", "aliases"))), lambda m: F.struct(m["surface"].alias("surface"), m["aliases"].alias("aliases"))).alias("mentions"))
-    return graph.retrieve_graph(v.everything(spark, d), _links(spark, d), v.named(spark, d), said, CONTEXT, as_of(), NAME)
+    return graph.retrieve_graph(v.everything(spark, d), stage(_links(spark, d)), v.named(spark, d), said, CONTEXT, as_of(), NAME)
 
 
 @query("ref_graph_roots", sql("rec ent mention", "SELECT id, root_rank::INTEGER AS root_rank FROM roots", **GRAPH))

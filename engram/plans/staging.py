@@ -20,7 +20,8 @@ def staging_dir(spark: SparkSession) -> str:
     tests); on a cluster the executors would each write to their own disk, so that is refused."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:

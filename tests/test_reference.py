@@ -519,6 +519,16 @@ def test_capture_batch(spark):
     assert kinds == sorted([("mentions_entity", True), ("mentioned_in", False), ("references_record", True), ("referenced_by", False), ("mentions_entity", False), ("mentioned_in", False), ("derived_semantic", False), ("derived_from", False), ("subject_entity", False), ("fact_subject_of", False)])
     assert {e["weight"] for e in out["edges"]} == {1.0} and out["facts"][0]["subject"] == out["entities"][0]["entity_id"] and out["entities"][0]["aliases"] == ["Orchid"]
     assert len(out["audit"]) == 3 and all(json.loads(r["payload_json"])["timeline"] for r in out["records"]) and {r["status"] for r in out["interpretations"]} == {"resolved"}
+    payload = json.loads(next(r for r in out["records"] if r["provenance"][0]["ref"] == "evt-1")["payload_json"])
+    assert payload["environment"] == {"context": {"capture_content": {"ref": "evt-1", "text": "t", "project": "Orchid"}, "reason_to_remember": "why"}}
+    snap = snapshot(spark, record("old"))
+    after = capture.write(snap, capture.capture_batch(req, snap.records, ents, terms, line, AS_OF), AS_OF)
+    rows = {r["id"]: r for r in after.records.collect()}
+    assert sorted(r["type"] for r in rows.values()) == ["entity", "episodic", "episodic", "episodic", "semantic", "semantic"] and after.relations.count() == 10 and after.audit.count() == 5
+    fact = next(r for i, r in rows.items() if r["type"] == "semantic" and i != "old")
+    assert json.loads(fact["payload_json"])["object"] == "staging" and json.loads(fact["interpretation_json"])["mentions"][0]["canonical_entity_id"] in rows and fact["salience"] == 1.0
+    again = capture.write(after, capture.capture_batch(req, after.records, ents, terms, line, AS_OF), AS_OF)
+    assert again.records.count() == len(rows) and again.relations.count() == 10 and again.audit.count() == 5
     none = {k: df.collect() for k, df in capture.capture_batch(req.limit(0), records(spark, record("old")), ents, terms, line, AS_OF).items()}
     assert all(v == [] for v in none.values())
 
