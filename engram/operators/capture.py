@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from engram.functions.exprs import TASK_STATES, clamp01, entity_type, first_text, freshness, half_life, record_type, source_confidence, term_match, unique_folded
 from engram.functions.text import norm
-from engram.functions.values import derived_interpretation
+from engram.functions.values import derived_interpretation, unique_mentions
 from engram.operators import ingest, store
 from engram.operators.store import Snapshot, both_ways
+from engram.operators.texts import INTERPRETATION, looks_like_entity_id
 from engram.plans.staging import stage
 
 #: Candidates read for a request, and kept.
@@ -79,6 +80,33 @@ def fallback(requests: DataFrame) -> DataFrame:
     )
 
 
+def interpreted(requests: DataFrame) -> DataFrame:
+    """Requests of ``fallback`` with what an interpreter found where it found something: column ``interpretation``, a struct
+    as ``texts.INTERPRETATION`` (null: none). Its lists replace the inferred ones, labels are united, and its relation
+    candidates, proposed type and confidence are the request's where they are set."""
+    i = F.col("interpretation")
+    filled = lambda k: F.coalesce(F.size(i[k]), F.lit(0)) > 0
+    none = F.array().cast("array<string>")
+    mentions = F.transform(
+        i["mentions"], lambda m: F.struct(m["surface"].alias("surface"), m["entity_kind"].alias("entity_kind"), m["canonical_entity_id"].alias("canonical_entity_id"), m["confidence"].alias("confidence"), F.coalesce(m["aliases"], none).alias("aliases"))
+    )
+    guessed = F.transform(
+        "i_mentions", lambda m: F.struct(m["surface"].alias("surface"), m["entity_kind"].alias("entity_kind"), F.when(looks_like_entity_id(m["surface"]), m["surface"]).alias("canonical_entity_id"), m["confidence"].alias("confidence"), none.alias("aliases"))
+    )
+    refs = F.transform(i["reference_candidates"], lambda r: F.struct(r["ref"].alias("ref"), r["confidence"].alias("confidence")))
+    relations = F.transform(i["relation_candidates"], lambda r: F.struct(*[r[k].alias(k) for k in ("predicate", "target_record_id", "target_entity_id", "confidence")]))
+    kind = "array<struct<surface:string,entity_kind:string,canonical_entity_id:string,confidence:double,aliases:array<string>>>"
+    out = {
+        "i_summary": F.coalesce(F.nullif(i["summary"], F.lit("")), "i_summary"), "i_labels": unique_folded(F.concat(F.col("i_labels"), F.coalesce(i["topical_labels"], none))),
+        "i_mentions": unique_mentions(F.when(filled("mentions"), mentions.cast(kind)).otherwise(guessed.cast(kind))),
+        "i_references": F.when(filled("reference_candidates"), refs.cast("array<struct<ref:string,confidence:double>>")).otherwise(F.col("i_references").cast("array<struct<ref:string,confidence:double>>")),
+        "proposed_type": F.coalesce(F.nullif(i["proposed_type"], F.lit("")), "proposed_type"),
+        "extraction_confidence": F.when(i["extraction_confidence"] > 0, i["extraction_confidence"]).otherwise(F.col("extraction_confidence")),
+        "relations": F.coalesce(relations, requests["relations"]) if "relations" in requests.columns else relations,
+    }
+    return requests.withColumns(out).drop("interpretation")
+
+
 def score_candidates(requests: DataFrame, candidates: DataFrame, as_of: Column, pool: int = POOL, kept: int = KEPT) -> DataFrame:
     """(request_id, id, score, rank): existing records that a request may refer to.
 
@@ -219,14 +247,16 @@ def capture_batch(requests: DataFrame, records: DataFrame, entities: DataFrame,
 
     ``requests``: request_id, source, source_kind, content, summary, reason_to_remember, tags, scope, sensitivity,
     proposed_type, extraction_confidence and, from an interpreter, relations (predicate, target_record_id,
-    target_entity_id, confidence). Every request has one record of its own, made as ``ingest`` makes it; mentions resolve
+    target_entity_id, confidence) or a whole interpretation (see ``interpreted``). Every request has one record of its own, made as ``ingest`` makes it; mentions resolve
     to existing or new entities, references and relations to existing records and entities (one to itself makes no
     edge); observations, proposed facts and sure interpretations also become facts, whose sides are the entities
     mentioned. Edges go both ways and weigh 1, those of relations their confidence. Requests of one id are one request,
     whichever row comes first in order of content.
     """
     one = requests.where(F.col("request_id").isNotNull()).groupBy("request_id").agg(F.min(F.struct("content", *[c for c in requests.columns if c not in ("request_id", "content")])).alias("r")).select("request_id", "r.*")
-    ready = stage(fallback(policy(one)).withColumn("id", F.concat(F.lit("rec-"), F.substring(F.sha2("request_id", 256), 1, 32))))
+    if "interpretation" not in one.columns:
+        one = one.withColumn("interpretation", F.lit(None).cast(INTERPRETATION))
+    ready = stage(interpreted(fallback(policy(one))).withColumn("id", F.concat(F.lit("rec-"), F.substring(F.sha2("request_id", 256), 1, 32))))
     content = F.col("content")
     working = F.col("source_kind") == "working_state"
     tool = F.col("source_kind") == "tool_output"
@@ -243,9 +273,7 @@ def capture_batch(requests: DataFrame, records: DataFrame, entities: DataFrame,
         ingest._json(context=ingest._json(capture_content=_as_json(content), capture_context=_as_json(F.col("context")) if "context" in ready.columns else F.lit(None).cast("string"), reason_to_remember=ingest.text_json(F.col("reason_to_remember")))).alias("environment"),
     )
     own = ingest.ingest(asked, records.limit(0), terms.limit(0), as_of)
-    said = ready.select(F.col("id").alias("record_id"), "scope", F.explode("i_mentions").alias("m")).select(
-        "record_id", "scope", "m.surface", "m.entity_kind", F.when(F.startswith("m.surface", F.lit("entity-")), F.col("m.surface")).alias("canonical_entity_id"), "m.confidence"
-    )
+    said = ready.select(F.col("id").alias("record_id"), "scope", F.inline("i_mentions"))
     found, new = resolve_mentions(said, entities, terms)
     found = stage(found)
     link = lambda df, p, target, conf: df.select("source_id", F.lit(p).alias("predicate"), F.col(target).alias("target_id"), conf.alias("confidence"))
@@ -257,13 +285,12 @@ def capture_batch(requests: DataFrame, records: DataFrame, entities: DataFrame,
     # a reference to what the request itself is called is its own, if nobody else's
     own_refs = asked.join(ready.select("request_id", F.col("id").alias("source_id")), "request_id").select("source_id", norm("ref").alias("key")).distinct()
     open_ = linked.where(F.col("target_id").isNull()).withColumn("key", norm("ref")).join(own_refs, ["source_id", "key"], "left_anti").select("source_id")
-    if "relations" in ready.columns:
-        ids = records.select("id").unionByName(entities.select(F.col("entity_id").alias("id")))
-        related = resolve_relations(ready.select(F.col("id").alias("source_id"), F.inline("relations")), ids)
-        links = links.unionByName(related.where("resolved").select("source_id", "predicate", "target_id", F.col("confidence").cast("double").alias("confidence")))
-        open_ = open_.unionByName(related.where(~F.col("resolved") & (norm("predicate") != "")).select("source_id"))
+    ids = records.select("id").unionByName(entities.select(F.col("entity_id").alias("id")))
+    related = resolve_relations(ready.select(F.col("id").alias("source_id"), F.inline("relations")), ids)
+    links = links.unionByName(related.where("resolved").select("source_id", "predicate", "target_id", F.col("confidence").cast("double").alias("confidence")))
+    open_ = open_.unionByName(related.where(~F.col("resolved") & (norm("predicate") != "")).select("source_id"))
     facts = facts_of(ready, as_of).join(ready.select("request_id", F.col("id").alias("source_id")), "request_id")
-    facts = canonical_sides(facts, found.select("record_id", "surface", F.lit(None).cast("array<string>").alias("aliases"), "entity_id"))
+    facts = canonical_sides(facts, found.select("record_id", "surface", "aliases", "entity_id"))
     facts = facts.withColumn("id", F.concat(F.lit("fact-"), F.substring(F.sha2(F.concat_ws("\x1f", "source_id", "subject", "predicate", "object"), 256), 1, 16)))
     about = ready.select(F.col("id").alias("source_id"), F.col("i_summary").alias("__s"), F.col("i_labels").alias("__l"), "tags", "source")
     own_ids = F.array_distinct(F.filter(F.array("subject_entity", "object_entity"), lambda x: x.isNotNull()))

@@ -1,4 +1,4 @@
-"""The seam to embedding models: any function from texts to vectors, applied in Arrow batches."""
+"""The seams to models: any function from texts to vectors, or from texts to answers, applied in Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import values
-from engram.functions.exprs import cosine01
+from engram.functions.exprs import cosine01, without_fences
 from engram.operators import store, texts
 from engram.operators.retrieve import as_vector
 
@@ -29,6 +29,24 @@ def embedding(text: Column, model: Model) -> Column:
     return embed(text)
 
 
+def answers(text: Column, model: Callable[[Sequence[str]], Sequence[str | None]]) -> Column:
+    """A language model's answer to each text; null for null and blank ones, which are not asked."""
+
+    @F.pandas_udf("string")
+    def ask(texts: pd.Series) -> pd.Series:
+        asked = texts.where(texts.notna() & (texts.fillna("").str.strip() != ""))
+        keys = asked.dropna().unique().tolist()
+        known = dict(zip(keys, model(keys))) if keys else {}
+        return asked.map(lambda t: known.get(t) if isinstance(t, str) else None)
+
+    return ask(text)
+
+
+def interpretation(answer: Column) -> Column:
+    """The interpretation that an answer holds, in or without a code fence, as ``texts.INTERPRETATION``; null if it holds none."""
+    return F.from_json(without_fences(answer), texts.INTERPRETATION)
+
+
 def record_texts(records: DataFrame) -> DataFrame:
     """(id, text): what each record of a store is embedded by; entities and unreadable payloads have no text."""
     p = {k: values.payload_of(F.col("payload_json"), k) for k in values.VARIANTS}

@@ -126,9 +126,10 @@ def expand(roots: DataFrame, relations: DataFrame, records: DataFrame, trust: Tr
     return nodes, edges
 
 
-def order_nodes(nodes: DataFrame, records: DataFrame, trust: Trust | None) -> DataFrame:
-    """What a context may see of the nodes: roots first, then by hop, salience and id."""
-    return nodes.join(visible(records, trust), "id").orderBy(F.desc("root"), "hop", F.desc("salience"), "id")
+def order_nodes(nodes: DataFrame, records: DataFrame, trust: Trust | None, by: str = "salience") -> DataFrame:
+    """What a context may see of the nodes: roots first, then by hop, salience and id, or (``by`` 'id') by hop and id."""
+    order = [F.desc("salience")] if by == "salience" else []
+    return nodes.join(visible(records, trust), "id").orderBy(F.desc("root"), "hop", *order, "id")
 
 
 @dataclass(frozen=True)

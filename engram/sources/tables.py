@@ -35,10 +35,10 @@ def one_row_each(rows: DataFrame, key: str | list[str], pick: Callable[[Column],
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     cols = [c for c in rows.columns if c not in keys]
-    again = stage(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys))
+    again = stage(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select(*keys))
     many = if_small(again, limit)
-    best = rows.join(many, keys, "left_semi").groupBy(*keys).agg(pick(F.struct(*cols)).alias("best"))
-    return rows.join(many, keys, "left_anti").select(*keys, *cols).unionByName(best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in cols]))
+    best = rows.join(many, keys, "left_semi").groupBy(*keys).agg(pick(F.struct(*cols)).alias("__best"))
+    return rows.join(many, keys, "left_anti").select(*keys, *cols).unionByName(best.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in cols]))
 
 
 def newest(df: DataFrame, key: Column, order: list[str], keep: list[str], key_name: str = "key", wide: bool = False) -> DataFrame:

@@ -234,6 +234,9 @@ def test_redacted_nodes_show_nothing(spark):
     nodes = spark.createDataFrame([("root", 0, 0, True), ("mid", 1, 1, False)], "id string, hop int, place long, root boolean")
     got = {x["id"]: (x["redacted"], x["payload_json"]) for x in graph.order_nodes(nodes, r, trust.Trust("low")).collect()}
     assert got["mid"] == (True, None) and got["root"][1]
+    same = records(spark, *[record(i, salience=x) for i, x in (("a", 0.1), ("b", 0.9), ("c", 0.5))])
+    flat = spark.createDataFrame([("c", 0, 0, True), ("b", 1, 1, False), ("a", 1, 2, False)], "id string, hop int, place long, root boolean")
+    assert [[x["id"] for x in graph.order_nodes(flat, same, None, by).collect()] for by in ("salience", "id")] == [["c", "b", "a"], ["c", "a", "b"]]
 
 
 def test_retrieve_graph(spark):
@@ -276,6 +279,9 @@ def test_store(spark, tmp_path):
             store.create(snap, records(spark, record("c", **bad)))
     with pytest.raises(store.NotFound):
         store.link(snap, rel.limit(1).withColumn("source_id", F.lit("zz")))
+    assert [r["target_id"] for r in store.relations_of(snap, "a").collect()] == ["b"] and [r["id"] for r in retrieve.by_type(snap.records, "semantic", trust.Trust("low")).collect()] == ["a", "b"]
+    with pytest.raises(store.NotFound):
+        store.relations_of(snap, "zz")
     assert store.get(snap, "a").first()["relations"][0]["target_id"] == "b" and [r["id"] for r in store.get_batch(snap, ["b", "zz", "a"]).collect()] == ["b", "a"]
     with pytest.raises(store.NotFound):
         store.get(snap, "zz")
@@ -293,6 +299,10 @@ def test_store(spark, tmp_path):
     assert store.current(spark, path).records.count() == 2 and store.current(spark, path).audit.count() == 2
     emb = spark.createDataFrame([("a", [1.0, 2.0], NOW)], "record_id string, embedding array<float>, created_at timestamp")
     kept = store.store_embeddings(snap.embeddings, emb, "m", 2)
+    assert [list(r["embedding"]) for r in store.get_embeddings(kept, spark.createDataFrame([("a",), ("a",), ("q",)], "id string")).collect()] == [[1.0, 2.0]]
+    facts = spark.createDataFrame([("f2", "s", "p", "o"), ("f1", "s", "p", "o"), ("f3", "s", "p", None)], "id string, subject string, predicate string, object string")
+    asked = spark.createDataFrame([("s", "p", "o"), ("s", "p", "x")], "subject string, predicate string, object string")
+    assert {r["object"]: r["id"] for r in store.find_exact(facts, asked).collect()} == {"o": "f1", "x": None}
     with pytest.raises(store.Invalid):
         store.store_embeddings(kept, emb, "other", 2)
 
@@ -533,6 +543,26 @@ def test_capture_batch(spark):
     assert all(v == [] for v in none.values())
 
 
+def test_capture_with_an_interpreter(spark):
+    from engram.operators import embed
+
+    said = {
+        "summary": "a deploy", "proposed_type": "semantic", "topical_labels": ["b", "A"], "extraction_confidence": 0.9,
+        "mentions": [{"surface": "The flower", "entity_kind": "project", "aliases": ["Orchid"]}, {"surface": "the FLOWER "}, {"surface": "known", "canonical_entity_id": "entity-9"}],
+        "reference_candidates": [{"ref": "nothing"}], "relation_candidates": [{"predicate": " Supports ", "target_record_id": "old", "confidence": 0.4}, {"predicate": "uses", "target_record_id": "gone"}],
+    }
+    model = lambda ts: ["```json\n" + json.dumps(said) + "\n```" if "orchid" in t else None for t in ts]
+    rows = [("r1", "app", "event", json.dumps({"text": "orchid", "subject": "the flower", "predicate": "is", "object": "red"}), None, None, ["a"], "s1", None, None, None), ("r2", "app", "event", '{"project":"Rose"}', None, None, [], "s1", None, None, None)]
+    req = spark.createDataFrame(rows, REQUEST).withColumn("interpretation", embed.interpretation(embed.answers(F.col("content"), model)))
+    ents = spark.createDataFrame([("entity-1", "Orchid", "s1"), ("entity-9", "nine", "")], "entity_id string, canonical_name string, scope string")
+    terms = ents.select(F.lower("canonical_name").alias("term"), "entity_id", "scope")
+    out = {k: df.collect() for k, df in capture.capture_batch(req, records(spark, record("old")), ents, terms, spark.createDataFrame([], "id string, ref string"), AS_OF).items()}
+    edges = {(e["predicate"], e["target_id"], e["weight"]) for e in out["edges"]}
+    assert {("mentions_entity", "entity-1", 1.0), ("mentions_entity", "entity-9", 1.0), ("supports", "old", 0.4)} <= edges and not any(p == "uses" for p, _, _ in edges) and [e["canonical_name"] for e in out["entities"]] == ["Rose"]
+    assert [(f["subject"], f["object"], f["confidence"]) for f in out["facts"]] == [("entity-1", "red", 0.9)] and out["facts"][0]["tags"] == ["a", "b"]
+    assert sorted((r["status"], r["summary"]) for r in out["interpretations"]) == [("resolved", None), ("tentative", "a deploy")]
+
+
 def test_run_all(spark):
     recs = records(spark, *[record(f"e{i}", type="episodic", created_at=ago(hours=30 + i)) for i in range(2)]).withColumn("outcome", F.lit("success"))
     line = spark.createDataFrame([("e0", 1, "build", "ok"), ("e1", 1, "known", "ok")], "record_id string, place int, event_kind string, summary string")
