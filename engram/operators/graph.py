@@ -152,9 +152,9 @@ def entity_roots(entities: DataFrame, trust: Trust, query: str, limit: int) -> D
 
 def boosts(records: DataFrame, relations: DataFrame, entities: DataFrame, mentions: DataFrame, query: str, trust: Trust | None) -> DataFrame:
     """(id, boost) of the given records: by their own names, by what they mention, and by the entities they are linked to."""
-    q, zero = F.lit(query), F.lit(0)
-    own = entities.select("id", entity_boost(q).alias("own"))
-    said = mentions.select("id", mention_boost(F.col("mentions"), q).alias("said"))
+    q, zero, asked = F.lit(query), F.lit(0), records.select("id")
+    own = entities.join(asked, "id", "left_semi").select("id", entity_boost(q).alias("own"))
+    said = mentions.join(asked, "id", "left_semi").select("id", mention_boost(F.col("mentions"), q).alias("said"))
     near = relations.join(records.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     linked = linked_boost(near, entities, q, trust)
     out = records.select("id").join(own, "id", "left").join(said, "id", "left").join(linked, "id", "left")

@@ -120,14 +120,12 @@ def with_similarity(records: DataFrame, embeddings: DataFrame, vector: Sequence[
     return records.join(stored, "id", "left")
 
 
-def hybrid_order(ranked: DataFrame, selected: DataFrame | None = None) -> DataFrame:
-    """``place`` in the three bands: selected procedures by score, hits by 0.7 vector + 0.3 salience, the rest by salience."""
-    df = ranked if selected is None else ranked.join(selected.select("id", "selection_score"), "id", "left")
-    chosen = F.col("selection_score").isNotNull() if selected is not None else F.lit(False)
-    hybrid = 0.7 * F.col("vector_score") + 0.3 * F.col("salience")
-    df = df.withColumn("hybrid_score", hybrid).withColumn("band", F.when(chosen, 0).when(F.col("vector_score").isNotNull(), 1).otherwise(2))
-    key = F.when(F.col("band") == 0, F.col("selection_score") if selected is not None else F.lit(None)).when(F.col("band") == 1, F.col("hybrid_score")).otherwise(F.col("salience"))
-    return df.withColumn("order_key", key)
+def hybrid_order(ranked: DataFrame) -> DataFrame:
+    """``place`` in the three bands: selected procedures by score (where there is a ``selection_score``), hits by 0.7 vector + 0.3 salience, the rest by salience."""
+    score = F.col("selection_score") if "selection_score" in ranked.columns else F.lit(None).cast("double")
+    df = ranked.withColumn("hybrid_score", 0.7 * F.col("vector_score") + 0.3 * F.col("salience"))
+    df = df.withColumn("band", F.when(score.isNotNull(), 0).when(F.col("vector_score").isNotNull(), 1).otherwise(2))
+    return df.withColumn("order_key", F.when(F.col("band") == 0, score).when(F.col("band") == 1, F.col("hybrid_score")).otherwise(F.col("salience")))
 
 
 def layers_of(types: Sequence[str] = ()) -> list[str]:
@@ -155,12 +153,18 @@ def pick_lists(c: Column, values: dict[str, list[int]]) -> Column:
     return out
 
 
-def selected(found: DataFrame, as_of: Column, embeddings: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
-    """The procedures among candidates, each once, scored; by similarity where there is a vector of theirs to compare."""
-    picks = found.where(F.col("type").isin(*PROCEDURES)).drop("layer").dropDuplicates()
+def scored(found: DataFrame, as_of: Column, embeddings: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
+    """Candidates with ``selection_score``, null but for procedures; by similarity where there is a vector of theirs to compare."""
     if vector is None or embeddings is None:
-        return select(picks, as_of)
-    return select(with_similarity(picks, embeddings, vector), as_of, F.col("similarity")).drop("similarity")
+        out = select(found, as_of)
+    else:
+        out = select(with_similarity(found, embeddings, vector).withColumnRenamed("similarity", "__near"), as_of, F.col("__near")).drop("__near")
+    return out.withColumn("selection_score", F.when(F.col("type").isin(*PROCEDURES), F.col("selection_score")))
+
+
+def selected(found: DataFrame, as_of: Column, embeddings: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
+    """(id, selection_score) of the procedures among candidates, each once."""
+    return scored(found.where(F.col("type").isin(*PROCEDURES)), as_of, embeddings, vector).select("id", "selection_score").dropDuplicates(["id"])
 
 
 def retrieve(
@@ -173,17 +177,17 @@ def retrieve(
     query text: selected procedures first, the others by salience. Else by salience. Status is not looked at.
     """
     found = candidates(records, trust, min_salience, types)
-    picks = selected(found, as_of, embeddings, vector)
+    plain = {"band": F.lit(2), "order_key": F.col("salience")}
     if vector is not None and embeddings is not None:
-        ranked = vector_rank(found, embeddings, vector)
-        out = hybrid_order(ranked, picks)
+        ranked = vector_rank(found, embeddings, vector).withColumnRenamed("similarity", "__hit")
+        out = hybrid_order(scored(ranked, as_of, embeddings, vector).withColumnRenamed("__hit", "similarity"))
         if embeddings.isEmpty():
-            out = out.withColumn("band", F.lit(2)).withColumn("order_key", F.col("salience"))
+            out = out.withColumns(plain)
     elif query.strip():
-        out = found.join(picks.select("id", "selection_score"), "id", "left")
+        out = scored(found, as_of)
         out = out.withColumn("band", F.when(F.col("selection_score").isNotNull(), 0).otherwise(2)).withColumn("order_key", F.coalesce("selection_score", "salience"))
     else:
-        out = found.withColumn("band", F.lit(2)).withColumn("order_key", F.col("salience"))
+        out = found.withColumns(plain)
     out = out.orderBy("band", F.desc("order_key"), "id")
     return out.limit(limit) if limit else out
 
